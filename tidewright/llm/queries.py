@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import exact_dedup, mixing, packing, quality, warc
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op4_quality_rules": quality.op4_quality_rules,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_warc_round_trip": warc.op8_warc_round_trip,
+        "op9_pack_documents": packing.op9_pack_documents,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.OP2_SQL,
+        "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op8_warc_round_trip": warc.OP8_SQL,
     }
