@@ -59,7 +59,7 @@ def open_uri(uri: str, mode: str):
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
-    return system.open_output_stream(path) if mode == "w" else system.open_input_file(path)
+    return system.open_output_stream(path, compression=None) if mode == "w" else system.open_input_file(path)
 
 
 def writer_of(folder: str, file_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
