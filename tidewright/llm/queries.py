@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, warc
+from . import exact_dedup, language, minhash, mixing, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_language_id": language.op5_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_warc_round_trip": warc.op8_warc_round_trip,
         "op9_pack_documents": packing.op9_pack_documents,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
