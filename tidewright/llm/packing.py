@@ -13,7 +13,6 @@ that are partially filled, not the documents.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -23,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import batch_texts, documents, runs_of_texts
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 200_000
-#: White space other than blanks and line feeds, or blanks that are not single ones between words.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  | \n|\n |^ | $")
+CACHE_WORDS = 400_000
+#: White space other than blanks and line feeds, and pairs of these two.
+_ODD = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", " \n", "\n ", "\n\n")
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,9 +40,10 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's own pre-tokeniser never joins what stands on the two sides of a single blank between two words, and
-    the blank goes with the word after it. So a text is cut there and the ids of each piece are remembered; texts with
-    any other white space than line feeds inside words are encoded whole.
+    The vocabulary's own pre-tokeniser never joins what stands on the two sides of a single blank or line feed between
+    two words; the blank goes with the word after it, the line feed stands alone. So a text is cut there and the ids of
+    each piece are remembered; texts with any other white space are encoded whole. Pieces not met before are encoded
+    together, and the ids are dealt to them by their lengths in bytes.
     """
 
     def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
@@ -53,36 +53,61 @@ class Encoder:
         with open(path or vocabulary_path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._most = cache_words
-        outer = self
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> bytes:
-                self[piece] = found = outer.whole(piece)
-                return found
-
-        self._first, self._later = Known(), {}
-
-        class Later(dict):
-            def __missing__(self, piece: str) -> bytes:
-                self[piece] = found = outer.whole(" " + piece)
-                return found
-
-        self._later = Later()
+        self._lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self._lengths[rank] = len(token)
+        self._most, self._later, self._first, self._newline = cache_words, {}, {}, self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self._encode(text), dtype="<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self.whole(text)
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces that follow a blank."""
+        ids = np.array(self._encode("".join([" " + p for p in pieces])), dtype="<u4")
+        ends = np.cumsum(self._lengths[ids])
+        cuts = np.searchsorted(ends, np.cumsum([len(p.encode("utf-8", "replace")) + 1 for p in pieces]), side="left") + 1
+        data, start = ids.tobytes(), 0
+        for piece, end in zip(pieces, (4 * cuts).tolist(), strict=True):
+            self._later[piece] = data[start:end]
+            start = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self._later) + len(self._first) > self._most:
             self._later.clear()
             self._first.clear()
-        pieces = text.split(" ")
-        return self._first[pieces[0]] + b"".join(map(self._later.__getitem__, pieces[1:]))
+        later, first, cut, new = self._later, self._first, [], {}
+        for text in texts:
+            if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)):
+                cut.append(None)
+                continue
+            lines = []
+            for line in text.split("\n"):
+                head, *rest = line.split(" ")
+                found = list(map(later.get, rest))
+                if None in found:
+                    new.update(dict.fromkeys(p for p, f in zip(rest, found, strict=True) if f is None))
+                    lines.append((head, rest, None))
+                else:
+                    lines.append((head, None, found))
+            cut.append(lines)
+        if new:
+            self._learn(list(new))
+        out = []
+        for text, lines in zip(texts, cut, strict=True):
+            if lines is None:
+                out.append(self.whole(text) if text else b"")
+                continue
+            parts = []
+            for head, rest, found in lines:
+                ids = first.get(head)
+                if ids is None:
+                    ids = first[head] = self.whole(head)
+                parts.append(ids + b"".join(found if rest is None else map(later.__getitem__, rest)))
+            out.append(self._newline.join(parts))
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        return self.encode([text])[0]
 
 
 class Packer:
@@ -168,7 +193,7 @@ def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool)
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        encode, end = Encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = Encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         keys: dict[int, tuple[int | None, int]] = {}  # doc_id, tokens; of documents that are not emitted yet
         left: dict[int, int] = {}  # tokens of each still to be emitted
         rows: list[tuple] = []
@@ -189,14 +214,16 @@ def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool)
         packer = Packer(emit, first_sequence=(context.partitionId() if context else 0) << 40, window=window)
         number = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py() or "") + end
-                keys[number] = (doc_id, len(ids) // 4)
-                left[number] = len(ids) // 4
-                packer.add(number, ids)
-                number += 1
-                if len(rows) >= FLUSH_ROWS:
-                    yield flushed()
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch_texts(batch.column("text"))
+            for a, b in runs_of_texts(texts):
+                for doc_id, ids in zip(doc_ids[a:b], encoder.encode([t.decode("utf-8", "replace") for t in texts[a:b]]), strict=True):
+                    ids += end
+                    keys[number] = (doc_id, len(ids) // 4)
+                    left[number] = len(ids) // 4
+                    packer.add(number, ids)
+                    number += 1
+                    if len(rows) >= FLUSH_ROWS:
+                        yield flushed()
         packer.finish()
         if rows:
             yield flushed()

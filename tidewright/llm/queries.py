@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, minhash, mixing, packing, quality, toxicity, warc
+from . import exact_dedup, language, minhash, mixing, packing, quality, sentence_spans, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_language_id": language.op5_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_sentence_spans": sentence_spans.op7_sentence_spans,
         "op8_warc_round_trip": warc.op8_warc_round_trip,
         "op9_pack_documents": packing.op9_pack_documents,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.OP2_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op7_sentence_spans": sentence_spans.OP7_SQL,
         "op8_warc_round_trip": warc.OP8_SQL,
     }
