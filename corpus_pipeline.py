@@ -1,6 +1,62 @@
-STAGES = []
+"""A training corpus from raw documents: language, exact copies, near copies, mixture, packed windows.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again before the next. All stages
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewright.llm.common import documents, materialize
+from tidewright.llm.exact_dedup import keep_exact
+from tidewright.llm.language import fit_language_model, held_out_of, keep_identified, learnable
+from tidewright.llm.minhash import keep_near
+from tidewright.llm.mixing import apply_mix, mix_sources
+from tidewright.llm.packing import pack_documents
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language stay."""
+    return keep_identified(docs, fit_language_model(learnable(docs, held_out_of())))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest as written stays."""
+    return keep_exact(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return keep_near(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them, twice at most."""
+    return apply_mix(docs, mix_sources(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows, with their token ids (little-endian unsigned 32-bit numbers)."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("identify languages", identify),
+    ("drop exact copies", drop_exact_copies),
+    ("drop near copies", drop_near_copies),
+    ("mix sources", mix),
+    ("pack windows", pack),
+]
+
+#: SQL cannot express learning, signatures or tokenising; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{number}")
+    return docs

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, minhash, mixing, packing, quality, sentence_spans, toxicity, warc
+from . import exact_dedup, language, minhash, mixing, packing, quality, sentence_spans, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op4_quality_rules": quality.op4_quality_rules,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": suffix_dedup.OP1_SQL,
         "op2_mix_sources": mixing.OP2_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op7_sentence_spans": sentence_spans.OP7_SQL,
