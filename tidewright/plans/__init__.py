@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from . import climate
+    from . import climate, space
 
-    return [climate.registry]
+    return [climate.registry, space.registry]
 
 
 def queries() -> dict:

@@ -170,12 +170,12 @@ STATS = """SELECT point_id, count(*) AS n_days_total, count(*) FILTER ("CWEF_W_m
     sum("CWEF_W_m") * 86400 / 1e6 AS total_energy_MJ_m, avg("Hs_nearshore_m") AS Hs_mean_m, max("Hs_nearshore_m") AS Hs_max_m FROM daily GROUP BY 1"""
 STORMS = 'SELECT d.point_id, count(*) FILTER ("CWEF_W_m" >= p90_W_m) AS n_storm_days_p90 FROM daily d JOIN stats s ON s.point_id = d.point_id GROUP BY 1'
 _KEYS = ("mean_W_m", "median_W_m", "std_W_m", "p75_W_m", "p90_W_m", "p95_W_m", "p99_W_m", "max_W_m", "total_energy_MJ_m", "Hs_mean_m", "Hs_max_m")
-_rounded = lambda df: df.withColumns({k: F.round(k, 6) for k in _KEYS})
-ROUNDED = ", ".join(f'round({k}, 6) AS "{k}"' for k in _KEYS)
+_rounded = lambda df: df.withColumns({k: F.round(k, 8) for k in _KEYS})
+ROUNDED = ", ".join(f'round({k}, 8) AS "{k}"' for k in _KEYS)
 add("A-01", lambda s, d: _rounded(C.cwef_summary(daily(s, d))), with_views(f"SELECT s.point_id, n_days_total, n_days_active, n_storm_days_p90, {ROUNDED} FROM stats s JOIN storms t ON t.point_id = s.point_id", *DV, **DQ, stats=STATS, storms=STORMS))
 add("A-02", lambda s, d: _rounded(C.cwef_summary_all(view(s, d, "v_points"), daily(s, d).where("point_id % 4 <> 0"))), with_views(f"SELECT p.point_id, coalesce(n_days_total, 0) AS n_days, n_days_active, n_storm_days_p90, {ROUNDED} FROM v_points p LEFT JOIN stats s ON s.point_id = p.point_id AND p.point_id % 4 <> 0 LEFT JOIN storms t ON t.point_id = s.point_id", *DV, **DQ, stats=STATS, storms=STORMS))
-GROUPED = 'round(avg("CWEF_W_m"), 6) AS cwef_mean, round(sum("CWEF_W_m"), 3) AS cwef_sum, round(avg("Hs_nearshore_m"), 6) AS hs_mean, max("Hs_nearshore_m") AS hs_max, count("CWEF_W_m") AS n'
-_grouped = lambda df: df.withColumns({"cwef_mean": F.round("cwef_mean", 6), "cwef_sum": F.round("cwef_sum", 3), "hs_mean": F.round("hs_mean", 6)})
+GROUPED = 'round(avg("CWEF_W_m"), 6) AS cwef_mean, round(sum("CWEF_W_m"), 3) AS cwef_sum, round(avg("Hs_nearshore_m"), 8) AS hs_mean, max("Hs_nearshore_m") AS hs_max, count("CWEF_W_m") AS n'
+_grouped = lambda df: df.withColumns({"cwef_mean": F.round("cwef_mean", 6), "cwef_sum": F.round("cwef_sum", 3), "hs_mean": F.round("hs_mean", 8)})
 add("A-03", lambda s, d: _grouped(C.cwef_by_direction(daily(s, d))).orderBy(F.desc("cwef_sum")), with_views(f"SELECT direction, {GROUPED} FROM daily GROUP BY 1", *DV, **DQ))
 SECTOR = "CAST(floor((direction + 11.25) / 22.5) AS INTEGER) % 16"
 NAMES = "['" + "', '".join(angles.COMPASS_16) + "']"
