@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from . import climate, space
+    from . import climate, coast, space
 
-    return [climate.registry, space.registry]
+    return [climate.registry, space.registry, coast.registry]
 
 
 def queries() -> dict:
