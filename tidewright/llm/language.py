@@ -44,8 +44,8 @@ def ngram_counts(text: str, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray] |
     if not letter.any():
         return None
     # a blank for each run of other characters, and one before the first and after the last letter
-    last = np.concatenate([[True], letter[:-1]])
-    codes = np.concatenate([[32], np.where(letter, codes, 32)[letter | last], [32]]).astype(np.uint64)
+    after = np.concatenate([[False], letter[:-1]])
+    codes = np.concatenate([[32], np.where(letter, codes, 32)[letter | after], [32] * int(letter[-1])]).astype(np.uint64)
     shift, found, h = np.uint64(64 - dims.bit_length() + 1), [], np.zeros(len(codes), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         if len(codes) < n:
