@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from tidewright.session import build_session
 
-    session = build_session(cores="8", shuffle_partitions=8)
+    session = build_session(cores="8", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     if not session.conf.get("spark.checkpoint.dir", None):
         session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-checkpoint-"))
