@@ -293,7 +293,7 @@ def near_classes(
     )
     units = placed.select("node", F.explode(others).alias("at")).select(F.col("node").alias("doc_id"), "at.unit", "at.part")
     units = units.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "part")).alias("units"))
-    chosen = texts.join(units, "doc_id").select("doc_id", "text", F.explode("units").alias("at")).select("at.unit", "at.part", "doc_id", "text")
+    chosen = texts.join(units.hint("merge"), "doc_id").select("doc_id", "text", F.explode("units").alias("at")).select("at.unit", "at.part", "doc_id", "text")
     sets = chosen.mapInArrow(set_rows(words), "unit string, part int, doc_id long, shingles binary, counts binary")
     links = sets.groupBy("unit").applyInArrow(link_groups(similarity, weighted), "src long, dst long")
     classes = connected_components(materialize(links, "near-links"))
@@ -307,7 +307,7 @@ def near_classes(
 def keep_near(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, with one document of each near-duplicate class: that with the smallest doc_id."""
     kept = near_classes(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
