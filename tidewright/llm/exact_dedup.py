@@ -139,7 +139,7 @@ def keep_exact(docs: DataFrame) -> DataFrame:
     Rows without a doc_id go: nothing tells them apart.
     """
     kept = exact_classes(docs).where("kept").groupBy("doc_id").agg(F.max("n_points").alias("_points"))
-    joined = docs.join(kept, "doc_id", "left_semi")
+    joined = docs.join(kept.hint("merge"), "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")))  # the join has dealt out and sorted by doc_id
     return joined.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 

@@ -135,7 +135,7 @@ def mix_sources(
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix passes over it; rows that share a doc_id share the decision."""
     times = mixed.where("passes > 0").groupBy("doc_id").agg(F.max("passes").alias("_passes"))
-    joined = docs.join(times, "doc_id")
+    joined = docs.join(times.hint("merge"), "doc_id")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[docs[c] for c in docs.columns])
 
 

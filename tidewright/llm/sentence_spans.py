@@ -143,7 +143,7 @@ def remove_repeated_spans(docs: DataFrame, **options) -> DataFrame:
     """
     repeats = repeated_spans(docs, **options).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("repeats"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats")
+    joined = texts.join(repeats.hint("merge"), "doc_id", "left").select("doc_id", "text", "repeats")
     return joined.mapInArrow(cleaned_rows, "doc_id long, kept_text string, n_sentences long, n_removed long, n_bytes_removed long")
 
 
