@@ -34,14 +34,9 @@ VQ = {"v": "SELECT line_id, pos, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y
 SEGS = {"segs": "SELECT *, sum(length) OVER (PARTITION BY line_id ORDER BY pos) - length AS start FROM (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS length FROM (SELECT line_id, pos, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY line_id ORDER BY pos)) WHERE x1 IS NOT NULL)"}
 
 
-def sparse_edges(s, d):
-    """A forest-like part of the fixture's edges."""
-    return view(s, d, "v_edges").where("(u * 7 + v) % 97 = 0")
-
-
 def tree(s, d):
-    """A fixed tree over the segments: node i hangs on i div 2, lengths from the fixture."""
-    v = view(s, d, "v_segments").where("seg_id between 2 and 200")
+    """A fixed tree over all segments: node i hangs on i div 2, lengths from the fixture; 0 is the root."""
+    v = view(s, d, "v_segments").where("seg_id > 0")
     return v.select(F.floor(F.col("seg_id") / 2).alias("u"), F.col("seg_id").alias("v"), (F.col("seg_id") * 37 % 101 + 1).cast("double").alias("weight"))
 
 
@@ -58,12 +53,12 @@ add("C-02", lambda s, d: L.node_segments(view(s, d, "v_segments")).groupBy("seg_
     SELECT seg_id, (qx * sy - qy * sx) / cr AS t, (qx * ry - qy * rx) / cr AS u FROM (SELECT a.seg_id, (a.x1 - a.x0) AS rx, (a.y1 - a.y0) AS ry, (b.x1 - b.x0) AS sx, (b.y1 - b.y0) AS sy, b.x0 - a.x0 AS qx, b.y0 - a.y0 AS qy, (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0) AS cr
       FROM v_segments a JOIN v_segments b ON a.seg_id <> b.seg_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) WHERE abs(cr) >= 1e-9) c ON c.seg_id = s.seg_id AND t > 0 AND t < 1 AND u >= 0 AND u <= 1 GROUP BY 1""", "v_segments"))
 add("C-03", lambda s, d: Q.build_edges(view(s, d, "v_edges").unionByName(view(s, d, "v_edges").select(F.col("v").alias("u"), F.col("u").alias("v"), (F.col("weight") * 2).alias("weight")))), with_views("SELECT u, v, weight * 2 AS weight FROM v_edges", "v_edges"))
-add("C-04", lambda s, d: Q.components(sparse_edges(s, d)), with_views("SELECT node, component FROM cc", "v_edges", **SPARSE, **CC))
-add("C-05", lambda s, d: Q.maximum_spanning_forest(sparse_edges(s, d)).agg(F.count(F.lit(1)).alias("n")), with_views("SELECT count(*) - count(DISTINCT component) AS n FROM cc", "v_edges", **SPARSE, **CC))
+add("C-04", lambda s, d: Q.components(view(s, d, "v_edges")), with_views("SELECT node, component FROM cc", "v_edges", **SPARSE, **CC))
+add("C-05", lambda s, d: Q.maximum_spanning_forest(view(s, d, "v_edges")).agg(F.count(F.lit(1)).alias("n")), with_views("SELECT count(*) - count(DISTINCT component) AS n FROM cc", "v_edges", **SPARSE, **CC))
 add("C-06", lambda s, d: Q.leaf_branches(tree(s, d)), with_views("""SELECT leaf, here AS "end", length FROM (WITH RECURSIVE w AS (SELECT u AS a, v AS b, weight FROM t UNION ALL SELECT v, u, weight FROM t), deg AS (SELECT a AS node, count(*) AS k FROM w GROUP BY 1),
     walk(leaf, came, here, length) AS (SELECT w.a, w.a, w.b, w.weight FROM w JOIN deg ON deg.node = w.a AND k = 1 UNION ALL SELECT leaf, here, w.b, length + w.weight FROM walk JOIN deg ON deg.node = here AND k = 2 JOIN w ON w.a = here AND w.b <> came)
     SELECT walk.* FROM walk JOIN deg ON deg.node = here AND k <> 2)""", "v_segments", **TREE))
-add("C-07", lambda s, d: Q.prune_short_leaves(tree(s, d), 80.0, 2))
+add("C-07", lambda s, d: Q.prune_short_leaves(tree(s, d), 80.0))
 add("C-08", lambda s, d: Q.diameter_path(tree(s, d)).agg(F.max("distance").alias("length"), F.count(F.lit(1)).alias("n")), with_views("""SELECT length, n FROM (WITH RECURSIVE w AS (SELECT u AS a, v AS b, weight FROM t UNION ALL SELECT v, u, weight FROM t),
     p(src, came, here, length, n) AS (SELECT a, a, b, weight, 2 FROM w UNION ALL SELECT src, here, b, length + weight, n + 1 FROM p JOIN w ON w.a = here AND w.b <> came) SELECT length, CAST(n AS BIGINT) AS n FROM p ORDER BY length DESC, n LIMIT 1)""", "v_segments", **TREE))
 add("C-09", lambda s, d: Q.crossings(view(s, d, "v_edges"), 3), with_views("SELECT node, count(*) AS degree FROM (SELECT u AS node FROM v_edges UNION ALL SELECT v FROM v_edges) GROUP BY 1 HAVING count(*) >= 3", "v_edges"))
@@ -97,8 +92,10 @@ add("C-23", lambda s, d: L.simplify_lines(vertices(s, d), 120.0))
 
 
 def normals(s, d):
-    p = vertices(s, d).where("pos < 60")
-    pts = L.equal_step_points(p, 500.0, include_ends=False).select("line_id", "chainage_m", "x", "y", (F.col("line_id") * 10000 + F.col("point_order")).alias("point_id"))
+    p, i = vertices(s, d), F.col("point_order").cast("long")
+    # from 10,000 points of a line on, its numbers go on above those of the other lines
+    number = F.col("line_id") * 10000 + i % 10000 + F.floor(i / 10000) * 70000
+    pts = L.equal_step_points(p, 500.0, include_ends=False).select("line_id", "chainage_m", "x", "y", number.alias("point_id"))
     return L.shore_normals(p, pts)
 
 
