@@ -92,3 +92,24 @@ def test_normals_are_of_whole_lines(spark):
     assert all(found[i] == pytest.approx(want[i], abs=2e-6) for i in want)
     assert QUERIES["C-24"](spark, LARGER).first().asDict() | {"n": len(want), "is_valid": True, "is_monotone": True, "n_repeated": 0} == QUERIES["C-24"](spark, LARGER).first().asDict()
     assert QUERIES["C-25"](spark, LARGER).first()["n"] == QUERIES["C-27"](spark, LARGER).count() == len(want)
+
+
+def test_profiles_are_of_all_points(spark):
+    points = view(spark, SMALL, "v_points").count()
+    for name in ("B-05", "B-13"):
+        rows = {(r["point_id"], r["direction"], r["step"]) for r in QUERIES[name](spark, SMALL).collect()}
+        assert len(rows) == points * 2 * 200 and max(r[2] for r in rows) == 199
+    ends = QUERIES["B-08"](spark, SMALL).collect()
+    assert len(ends) == points * 2 and {r["distance_m"] for r in ends} == {20_000.0}
+
+
+def test_geodesic_rays_meet_the_whole_coast(spark, monkeypatch):
+    from tidewright.operators import fetch
+    from tidewright.plans import space
+
+    seen = []
+    monkeypatch.setattr(fetch, "geodesic_steps", lambda *a, f=fetch.geodesic_steps: seen.append(a[3]) or f(*a))
+    for name in ("G-08", "G-09", "G-10"):
+        QUERIES[name](spark, SMALL)
+    assert seen == [200] * 3
+    assert space._blocked(spark, SMALL).count() == view(spark, SMALL, "v_segments").count()

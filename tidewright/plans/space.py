@@ -104,12 +104,12 @@ add("G-07", lambda s, d: _r(traced(s, d)).where("not skipped_by_land_sector").se
 
 
 def _blocked(s, d):
-    return view(s, d, "v_segments").where("seg_id % 5 = 0").select(F.floor((36.6 + F.col("x0") / 41666.0) / 0.01).alias("cx"), F.floor((43.0 + F.col("y0") / 50000.0) / 0.01).alias("cy"))
+    return view(s, d, "v_segments").select(F.floor((36.6 + F.col("x0") / 41666.0) / 0.01).alias("cx"), F.floor((43.0 + F.col("y0") / 50000.0) / 0.01).alias("cy"))
 
 
-add("G-08", lambda s, d: G.geodesic_fetch(view(s, d, "v_points"), _blocked(s, d), list(range(0, 360, 45)), steps=50))
-add("G-09", lambda s, d: G.geodesic_fetch(view(s, d, "v_points"), _blocked(s, d), [90.0], steps=50))
-add("G-10", lambda s, d: G.geodesic_fetch(view(s, d, "v_points").repartition(4, "point_id"), _blocked(s, d), list(range(0, 360, 90)), steps=50))
+add("G-08", lambda s, d: G.geodesic_fetch(view(s, d, "v_points"), _blocked(s, d), list(range(0, 360, 45))))
+add("G-09", lambda s, d: G.geodesic_fetch(view(s, d, "v_points"), _blocked(s, d), [90.0]))
+add("G-10", lambda s, d: G.geodesic_fetch(view(s, d, "v_points").repartition(4, "point_id"), _blocked(s, d), list(range(0, 360, 90))))
 
 
 def _direct(s, d):
@@ -153,7 +153,7 @@ add("B-03", lambda s, d: B.grid_summary(view(s, d, "v_grid")), with_views("SELEC
 _wider = lambda s, d: view(s, d, "v_points").withColumn("lon", F.col("lon") + (F.col("point_id") % 2) * 0.4)
 WIDER = "SELECT point_id, lon + (point_id % 2) * 0.4 AS lon, lat FROM v_points"
 add("B-04", lambda s, d: B.depth_at(_wider(s, d), view(s, d, "v_grid"), **GRID).withColumn("z", F.round("z", 6)), with_views("SELECT point_id, round(z, 6) AS z, outside FROM bi", "v_points", "v_grid", wider=WIDER, bi=BILINEAR.format(p="wider")))
-_profile = lambda s, d, surface="sphere": B.transects(view(s, d, "v_points").where("point_id % 10 = 0"), [45.0, 225.0], 20_000.0, 20, surface)
+_profile = lambda s, d, surface="sphere": B.transects(view(s, d, "v_points"), [45.0, 225.0], surface=surface)
 add("B-05", lambda s, d: _profile(s, d, "ellipsoid").withColumns({"lon": F.round("lon", 9), "lat": F.round("lat", 9)}))
 add("B-06", lambda s, d: B.profile_summary(view(s, d, "v_profile").withColumn("distance_m", F.col("step") * 100.0), ("profile_id",)), with_views("SELECT profile_id, max(step) * 100.0::DOUBLE AS length_m, min(z) AS z_min, max(z) AS z_max, count(*) AS n FROM v_profile GROUP BY 1", "v_profile"))
 
@@ -167,7 +167,7 @@ SPHERE = "degrees(asin(sin(radians({lat})) * cos(dd) + cos(radians({lat})) * sin
 LAM = "{lon} + degrees(atan2(sin(radians({az})) * sin(dd) * cos(radians({lat})), cos(dd) - sin(radians({lat})) * sin(radians(lat2))))"
 _on = {"lat": "lat", "lon": "lon", "az": "normal_azimuth_deg"}
 add("B-07", _sphere, with_views(f"SELECT point_id, round({LAM.format(**_on)}, 8) AS lon, round(lat2, 8) AS lat FROM (SELECT *, {SPHERE.format(**_on)} AS lat2 FROM (SELECT *, 20000.0 / 6371000.0 AS dd FROM v_points))", "v_points"))
-add("B-08", lambda s, d: _profile(s, d, "ellipsoid").where("step = 19").withColumns({"lon": F.round("lon", 9), "lat": F.round("lat", 9)}))
+add("B-08", lambda s, d: _profile(s, d, "ellipsoid").where("step = 199").withColumns({"lon": F.round("lon", 9), "lat": F.round("lat", 9)}))
 CLIP = "SELECT point_id, greatest(least(lon, 39.0 - 1e-4), 36.5 + 1e-4) AS lon, greatest(least(lat, 45.4 - 1e-4), 42.9 + 1e-4) AS lat FROM wider"
 add("B-09", lambda s, d: B.depth_at(B.clip_into(_wider(s, d), 36.5, 42.9, 39.0, 45.4), view(s, d, "v_grid"), **GRID).withColumn("z", F.round("z", 6)), with_views("SELECT point_id, round(z, 6) AS z, outside FROM bi", "v_points", "v_grid", wider=WIDER, clip=CLIP, bi=BILINEAR.format(p="clip")))
 add("B-10", lambda s, d: B.depth_at(_wider(s, d), view(s, d, "v_grid"), **GRID).select("point_id", F.round(B.signed_depth(F.col("z"), "abs"), 6).alias("depth")), with_views("SELECT point_id, round(abs(z), 6) AS depth FROM bi", "v_points", "v_grid", wider=WIDER, bi=BILINEAR.format(p="wider")))
