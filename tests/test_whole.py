@@ -112,4 +112,48 @@ def test_geodesic_rays_meet_the_whole_coast(spark, monkeypatch):
     for name in ("G-08", "G-09", "G-10"):
         QUERIES[name](spark, SMALL)
     assert seen == [200] * 3
-    assert space._blocked(spark, SMALL).count() == view(spark, SMALL, "v_segments").count()
+    assert space._coast(spark, SMALL).count() == view(spark, SMALL, "v_segments").count()
+
+
+def test_geodesic_fetch_against_all_segments(spark):
+    from tidewright.functions import geodesy
+    from tidewright.operators import fetch
+    from tidewright.plans import space
+
+    lon, lat = geodesy.direct(np.array([36.7]), np.array([43.2]), np.array([77.0]), 150_000.0)
+    r = spark.range(1).select(*geodesy.geodesic_destination(*map(_lit, (36.7, 43.2, 77.0, 150_000.0)))).first()
+    assert (lon[0], lat[0]) == pytest.approx(tuple(r), abs=1e-9)
+    assert geodesy.distance(np.array([36.7]), np.array([43.2]), lon, lat)[0] == pytest.approx(150_000, abs=1e-3)
+
+    points = view(spark, LARGER, "v_points").where("point_id < 12")
+    coast = space._coast(spark, SMALL).toPandas()[["x0", "y0", "x1", "y1"]].to_numpy()
+    held = {x["point_id"]: x for x in points.collect()}
+    found = fetch.geodesic_fetch(points, space._coast(spark, SMALL), [10.0, 100.0, 190.0, 280.0]).collect()
+    every = fetch.geodesic_fetch(points, space._coast(spark, SMALL), [10.0, 100.0, 190.0, 280.0], land_sector=False).collect()
+    assert len(found) == len(every) == 4 * len(held)
+    assert not any(x["skipped_by_land_sector"] for x in every) and any(x["hit_found"] and x["fetch_m"] % 1000 for x in every)
+    for x in found + every:
+        p = held[x["point_id"]]
+        if x["skipped_by_land_sector"]:
+            assert abs((x["azimuth_deg"] - p["normal_azimuth_deg"]) % 360 - 180) <= 90 and x["fetch_m"] == 1.0 and not x["hit_found"]
+            continue
+        want, az = 200_000.0, np.array([x["azimuth_deg"]])
+        at = geodesy.direct(np.array([p["lon"]]), np.array([p["lat"]]), az, 1.0)
+        for _ in range(200):
+            to = geodesy.direct(*at, az, 1000.0)
+            dx, dy = to[0] - at[0], to[1] - at[1]
+            ex, ey, qx, qy = coast[:, 2] - coast[:, 0], coast[:, 3] - coast[:, 1], coast[:, 0] - at[0], coast[:, 1] - at[1]
+            c = dx * ey - dy * ex
+            t, u = (np.divide(v, c, out=np.full(len(c), -1.0), where=c != 0) for v in (qx * ey - qy * ex, qx * dy - qy * dx))
+            good = t[(t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)]
+            if len(good):
+                want = geodesy.distance(np.array([p["lon"]]), np.array([p["lat"]]), at[0] + good.min() * dx, at[1] + good.min() * dy)[0]
+                break
+            at = to
+        assert x["fetch_m"] == pytest.approx(want, abs=0.01) and x["hit_found"] == (want < 200_000)
+
+
+def _lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)

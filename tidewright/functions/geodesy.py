@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +67,52 @@ def geodesic_destination(lon: Column | str, lat: Column | str, azimuth: Column |
     return col(lon) + F.degrees(length), F.degrees(phi2)
 
 
+def _series(cos2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u_sq = cos2 * (A * A - B * B) / (B * B)
+    return 1 + u_sq / 16384 * (4096 + u_sq * (-768 + u_sq * (320 - 175 * u_sq))), u_sq / 1024 * (256 + u_sq * (-128 + u_sq * (74 - 47 * u_sq)))
+
+
+def _delta(big_b: np.ndarray, sin: np.ndarray, cos: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return big_b * sin * (m + big_b / 4 * (cos * (-1 + 2 * m * m) - big_b / 6 * m * (-3 + 4 * sin * sin) * (-3 + 4 * m * m)))
+
+
+def direct(lon: np.ndarray, lat: np.ndarray, azimuth: np.ndarray, distance_m: float, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """geodesic_destination on arrays."""
+    phi, az = np.radians(lat), np.radians(azimuth)
+    u1 = np.arctan((1 - FLATTENING) * np.tan(phi))
+    sin_alpha = np.cos(u1) * np.sin(az)
+    cos2 = 1 - sin_alpha * sin_alpha
+    sigma1 = np.arctan2(np.tan(u1), np.cos(az))
+    big_a, big_b = _series(cos2)
+    sigma = base = distance_m / (B * big_a)
+    for _ in range(rounds):
+        sigma = base + _delta(big_b, np.sin(sigma), np.cos(sigma), np.cos(2 * sigma1 + sigma))
+    m = np.cos(2 * sigma1 + sigma)
+    x = np.sin(u1) * np.sin(sigma) - np.cos(u1) * np.cos(sigma) * np.cos(az)
+    phi2 = np.arctan2(np.sin(u1) * np.cos(sigma) + np.cos(u1) * np.sin(sigma) * np.cos(az), (1 - FLATTENING) * np.sqrt(sin_alpha * sin_alpha + x * x))
+    lam = np.arctan2(np.sin(sigma) * np.sin(az), np.cos(u1) * np.cos(sigma) - np.sin(u1) * np.sin(sigma) * np.cos(az))
+    c = FLATTENING / 16 * cos2 * (4 + FLATTENING * (4 - 3 * cos2))
+    length = lam - (1 - c) * FLATTENING * sin_alpha * (sigma + c * np.sin(sigma) * (m + c * np.cos(sigma) * (-1 + 2 * m * m)))
+    return lon + np.degrees(length), np.degrees(phi2)
+
+
+def distance(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Metres along the ellipsoid: Vincenty's inverse formula with a fixed number of rounds, for points that are not antipodal."""
+    u1, u2 = (np.arctan((1 - FLATTENING) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    lam = length = np.radians(lon2 - lon1)
+    for _ in range(rounds):
+        sin = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
+        cos = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
+        sigma = np.arctan2(sin, cos)
+        sin_alpha = np.cos(u1) * np.cos(u2) * np.sin(lam) / np.where(sin == 0, 1, sin)
+        cos2 = 1 - sin_alpha * sin_alpha
+        m = np.where(cos2 == 0, 0, cos - 2 * np.sin(u1) * np.sin(u2) / np.where(cos2 == 0, 1, cos2))
+        c = FLATTENING / 16 * cos2 * (4 + FLATTENING * (4 - 3 * cos2))
+        lam = length + (1 - c) * FLATTENING * sin_alpha * (sigma + c * sin * (m + c * cos * (-1 + 2 * m * m)))
+    big_a, big_b = _series(cos2)
+    return B * big_a * (sigma - _delta(big_b, sin, cos, m))
+
+
 def utm_zone(lon: Column | str) -> Column:
     return (F.floor((col(lon) + 180) / 6) % 60 + 1).cast("int")
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.angles import in_land_sector, offset_x, offset_y
-from ..functions.geodesy import geodesic_destination
+from ..functions.geodesy import direct, distance
 
 MAX_M = 100_000.0
 OFFSET_M = 10.0
 EXCLUSION_M = 1.0
 PRECISION_M = 0.05
 CELL_M = 5_000.0
+DEGREE_M = 100_000.0
 
 
 def snap(c: Column | str, precision: float = PRECISION_M) -> Column:
@@ -64,8 +69,8 @@ def ray_cells(rays: DataFrame, cell: float = CELL_M) -> DataFrame:
     return rows.withColumn("cy", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
 
 
-def hits(rays: DataFrame, segments: DataFrame, cell: float = CELL_M) -> DataFrame:
-    """point_id, direction_id, hit_x, hit_y of every crossing of a ray and a segment; of a shared stretch both ends."""
+def hits(rays: DataFrame, segments: DataFrame, cell: float = CELL_M, keys: tuple[str, ...] = ("point_id", "direction_id")) -> DataFrame:
+    """keys, hit_x, hit_y of every crossing of a ray and a segment; of a shared stretch both ends."""
     pairs = ray_cells(rays, cell).join(segment_cells(segments, cell), ["cx", "cy"])
     rx, ry = F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y")
     sx, sy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -79,8 +84,8 @@ def hits(rays: DataFrame, segments: DataFrame, cell: float = CELL_M) -> DataFram
     found = F.when(collinear, F.filter(F.array(t0, t1, F.when((t0 * t1 < 0), F.lit(0.0)), F.when((t0 - 1) * (t1 - 1) < 0, F.lit(1.0))), lambda v: v.isNotNull() & inside(v))).when(
         (F.abs(cross) >= 1e-9) & inside(t) & inside(u), F.array(t)
     )
-    at = pairs.select("point_id", "direction_id", "start_x", "start_y", rx.alias("rx"), ry.alias("ry"), F.explode(found).alias("t"))
-    return at.select("point_id", "direction_id", (F.col("start_x") + F.col("t") * F.col("rx")).alias("hit_x"), (F.col("start_y") + F.col("t") * F.col("ry")).alias("hit_y"))
+    at = pairs.select(*dict.fromkeys((*keys, "start_x", "start_y")), rx.alias("rx"), ry.alias("ry"), F.explode(found).alias("t"))
+    return at.select(*keys, (F.col("start_x") + F.col("t") * F.col("rx")).alias("hit_x"), (F.col("start_y") + F.col("t") * F.col("ry")).alias("hit_y"))
 
 
 def first_hits(rays: DataFrame, found: DataFrame, default_m: float = MAX_M, exclusion_m: float = EXCLUSION_M) -> DataFrame:
@@ -150,16 +155,54 @@ def ray_layer(traced: DataFrame) -> DataFrame:
 
 
 def geodesic_steps(points: DataFrame, azimuths: list, step_m: float = 1000.0, steps: int = 200, offset_m: float = 1.0) -> DataFrame:
-    """point_id, direction_id (from 0), azimuth_deg, i, lon, lat: vertices of geodesic rays, shifted along the ray itself."""
-    rays = points.select("point_id", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), F.posexplode(F.array(*[F.lit(float(a)) for a in azimuths])).alias("direction_id", "azimuth_deg"))
-    at = rays.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    lon, lat = geodesic_destination("lon0", "lat0", "azimuth_deg", F.col("i") * step_m + offset_m)
-    return at.select("point_id", "direction_id", "azimuth_deg", "i", lon.alias("lon"), lat.alias("lat"))
-
-
-def geodesic_fetch(points: DataFrame, blocked: DataFrame, azimuths: list, step_m: float = 1000.0, steps: int = 200, cell: float = 0.01) -> DataFrame:
-    """point_id, azimuth_deg, fetch_m: distance to the first vertex that lies in a blocked cell (cx, cy), or the whole length."""
-    v = geodesic_steps(points, azimuths, step_m, steps).withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
-    stop = v.where("i > 0").join(blocked.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi").groupBy("point_id", "direction_id").agg(F.min("i").alias("stop"))
-    rays = v.where("i = 0").select("point_id", "direction_id", "azimuth_deg")
-    return rays.join(stop, ["point_id", "direction_id"], "left").select("point_id", "direction_id", "azimuth_deg", (F.coalesce("stop", F.lit(steps)) * step_m).alias("fetch_m"), F.col("stop").isNotNull().alias("hit_found"))
+    """point_id, direction_id (from 0), azimuth_deg, normal_azimuth_deg, lon0, lat0, i, start_x, start_y, end_x, end_y: the steps of geodesic rays.
+
+    The first step begins offset_m from the point along the ray; each step sets out at the ray's azimuth again.
+    """
+    every = F.posexplode(F.array(*[F.lit(float(a)) for a in azimuths])).alias("direction_id", "azimuth_deg")
+    rays = points.select("point_id", F.col("normal_azimuth_deg").cast("double").alias("normal_azimuth_deg"), F.col("lon").cast("double").alias("lon0"), F.col("lat").cast("double").alias("lat0"), every)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                held = batch.iloc[at : at + 1000]
+                azimuth = held["azimuth_deg"].to_numpy()
+                track = [direct(held["lon0"].to_numpy(), held["lat0"].to_numpy(), azimuth, offset_m)]
+                for _ in range(steps):
+                    track.append(direct(*track[-1], azimuth, step_m))
+                lon, lat = np.array(track).transpose(1, 2, 0)
+                out = held.loc[held.index.repeat(steps)].assign(i=np.tile(np.arange(steps), len(held)))
+                yield out.assign(start_x=lon[:, :-1].ravel(), start_y=lat[:, :-1].ravel(), end_x=lon[:, 1:].ravel(), end_y=lat[:, 1:].ravel())
+
+    kept = ", ".join(f"{n} {t}" for n, t in rays.dtypes)
+    return rays.mapInPandas(run, f"{kept}, i int, start_x double, start_y double, end_x double, end_y double")
+
+
+def geodesic_fetch(points: DataFrame, coast: DataFrame, azimuths: list, step_m: float = 1000.0, steps: int = 200, offset_m: float = 1.0, land_sector: bool = True, cell: float = 0.02) -> DataFrame:
+    """point_id, direction_id, azimuth_deg, fetch_m, hit_found, skipped_by_land_sector; coast has x0, y0, x1, y1 in degrees.
+
+    fetch_m is the geodesic distance from the point to the first crossing of the ray's steps with the coast, or the
+    whole length. Rays into the land sector (both edges included) are not traced: their fetch is the offset. Without
+    land_sector all are traced.
+    """
+    land = in_land_sector("azimuth_deg", "normal_azimuth_deg", "closed") if land_sector else F.lit(False)
+    every = F.posexplode(F.array(*[F.lit(float(a)) for a in azimuths])).alias("direction_id", "azimuth_deg")
+    rays = points.select("point_id", "normal_azimuth_deg", every).withColumn("skipped_by_land_sector", land)
+    track = geodesic_steps(points, azimuths, step_m, steps, offset_m).where(~land)
+    ends = ("start_x", "start_y", "end_x", "end_y")
+    # hits() has its tolerances in metres; Spark takes the steps for as few rows as the points, and would broadcast them
+    scaled = track.withColumns({c: F.col(c) * DEGREE_M for c in ends}).hint("merge")
+    keys = ("point_id", "direction_id", "lon0", "lat0", "i", "start_x", "start_y")
+    found = hits(scaled, coast.select(*[(F.col(c) * DEGREE_M).alias(c) for c in ("x0", "y0", "x1", "y1")]), cell * DEGREE_M, keys)
+    away = F.hypot(F.col("hit_x") - F.col("start_x"), F.col("hit_y") - F.col("start_y"))
+    first = found.groupBy("point_id", "direction_id", "lon0", "lat0").agg(F.min(F.struct("i", away.alias("away"), "hit_x", "hit_y")).alias("hit"))
+    first = first.select("point_id", "direction_id", "lon0", "lat0", (F.col("hit.hit_x") / DEGREE_M).alias("lon1"), (F.col("hit.hit_y") / DEGREE_M).alias("lat1"))
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["point_id", "direction_id"]].assign(hit_m=distance(*(b[c].to_numpy() for c in ("lon0", "lat0", "lon1", "lat1"))))
+
+    kinds = dict(rays.dtypes)
+    far = first.mapInPandas(measured, f"point_id {kinds['point_id']}, direction_id int, hit_m double")
+    length = F.when(F.col("skipped_by_land_sector"), F.lit(float(offset_m))).otherwise(F.coalesce("hit_m", F.lit(float(steps * step_m))))
+    return rays.join(far, ["point_id", "direction_id"], "left").select("point_id", "direction_id", "azimuth_deg", length.alias("fetch_m"), F.col("hit_m").isNotNull().alias("hit_found"), "skipped_by_land_sector")

@@ -103,13 +103,15 @@ add("G-06", lambda s, d: _r(G.hits(_sea(s, d), view(s, d, "v_segments"))).distin
 add("G-07", lambda s, d: _r(traced(s, d)).where("not skipped_by_land_sector").select("point_id", "direction_id", "fetch_length_m", "hit_found", "used_default_value"), with_views("SELECT point_id, direction_id, round(fetch_length_m, 3) AS fetch_length_m, hit_found, used_default_value FROM traced WHERE NOT skipped_by_land_sector", *GV, **GQ))
 
 
-def _blocked(s, d):
-    return view(s, d, "v_segments").select(F.floor((36.6 + F.col("x0") / 41666.0) / 0.01).alias("cx"), F.floor((43.0 + F.col("y0") / 50000.0) / 0.01).alias("cy"))
+def _coast(s, d):
+    """The segments in degrees, by the formula of v_points."""
+    degrees = {f"{c}{k}": F.lit(o) + F.col(f"{c}{k}") / m for c, o, m in (("x", 36.6, 41666.0), ("y", 43.0, 50000.0)) for k in (0, 1)}
+    return view(s, d, "v_segments").select(*[v.alias(k) for k, v in degrees.items()])
 
 
-add("G-08", lambda s, d: G.geodesic_fetch(view(s, d, "v_points"), _blocked(s, d), list(range(0, 360, 45))))
-add("G-09", lambda s, d: G.geodesic_fetch(view(s, d, "v_points"), _blocked(s, d), [90.0]))
-add("G-10", lambda s, d: G.geodesic_fetch(view(s, d, "v_points").repartition(4, "point_id"), _blocked(s, d), list(range(0, 360, 90))))
+add("G-08", lambda s, d: G.geodesic_fetch(view(s, d, "v_points"), _coast(s, d), list(range(0, 360, 45))))
+add("G-09", lambda s, d: G.geodesic_fetch(view(s, d, "v_points"), _coast(s, d), [90.0], land_sector=False))
+add("G-10", lambda s, d: G.geodesic_fetch(view(s, d, "v_points").repartition(4, "point_id"), _coast(s, d), list(range(0, 360, 90))))
 
 
 def _direct(s, d):
