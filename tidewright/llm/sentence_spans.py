@@ -1,8 +1,9 @@
 """Substring deduplication by sliding spans of sentences.
 
 From every sentence of a document a span runs over the following ones until it has `sentences` sentences and `words`
-words. Equal spans, anywhere in the corpus, are repeats of the first one by (doc_id, position); the sentences that a
-repeat covers are removed.
+words, and up to every sentence one over those before it; a sentence of `alone` words is a span by itself. Equal spans,
+anywhere in the corpus, are repeats of the first one by (doc_id, position); the sentences that a repeat covers are
+removed: those of every repeated run of so many whole sentences and words, also between sentences that differ.
 
 What a task reads is compared inside the task first: of each span only its first occurrence there goes on, and the
 others are repeats already. So a span shared by a third of all documents sends one row per task to the shuffle.
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import batch_texts, documents, mix64
 
 SENTENCES = 2
-WORDS = 20
+#: A low floor, for abbreviations and decimals are cut into sentences of a word.
+WORDS = 6
+ALONE = 8
 FLUSH_BYTES = 32 << 20
 #: Pieces that make up a text: up to a run of closing marks, up to a line's end, line feeds.
 _PIECES = re.compile(rb"[^.!?\n]*[.!?]+|[^.!?\n]+|\n+")
@@ -40,12 +43,37 @@ def pieces_of(text: bytes) -> tuple[list[bytes], list[int], list[bytes]]:
 def spans_of(found: list[bytes], sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each sentence that starts a span: two independent 64-bit hashes of the span, and its length in sentences."""
     n = len(found)
-    counts = np.fromiter((len(s.split()) for s in found), np.int64, n)
-    upto = np.concatenate([[0], np.cumsum(counts)])
+    upto = _upto(found)
     # the first end with enough words, and with enough sentences
     ends = np.maximum(np.searchsorted(upto, upto[:-1] + words), np.arange(n) + sentences)
     starts = np.flatnonzero(ends <= n)
     lengths = ends[starts] - starts
+    return *_hashes(found, starts, lengths), lengths
+
+
+def runs_of(found: list[bytes], sentences: int, words: int, alone: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes, the start and the length of the shortest span from every sentence on, of that up to every sentence,
+    and of every sentence of at least `alone` words.
+
+    A sentence of a longer run from which no span fits into the run lies in the span up to the run's end.
+    """
+    n = len(found)
+    upto = _upto(found)
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + words), np.arange(n) + sentences)
+    heads = np.minimum(np.searchsorted(upto, upto[1:] - words, side="right") - 1, np.arange(1, n + 1) - sentences)
+    onward, back, single = np.flatnonzero(ends <= n), np.flatnonzero(heads >= 0), np.flatnonzero(np.diff(upto) >= alone)
+    pairs = np.concatenate([onward * (n + 1) + ends[onward], heads[back] * (n + 1) + back + 1, single * (n + 1) + single + 1])
+    starts, ends = np.divmod(np.unique(pairs), n + 1)
+    return *_hashes(found, starts, ends - starts), starts, ends - starts
+
+
+def _upto(found: list[bytes]) -> np.ndarray:
+    """The words before each sentence, and all."""
+    return np.concatenate([[0], np.cumsum(np.fromiter((len(s.split()) for s in found), np.int64, len(found)))])
+
+
+def _hashes(found: list[bytes], starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(found)
     marks = mix64(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n))
     hashes = []
     for power, marks in ((0x9E3779B97F4A7C15, marks), (0xC2B2AE3D27D4EB4F, mix64(marks + np.uint64(1)))):  # noqa: B020
@@ -54,10 +82,10 @@ def spans_of(found: list[bytes], sentences: int, words: int) -> tuple[np.ndarray
         inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(power, -1, 1 << 64), np.uint64)]))
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks * powers[:n])])
         hashes.append(mix64((prefix[starts + lengths] - prefix[starts]) * inverses[starts] + lengths.astype(np.uint64)))
-    return hashes[0], hashes[1], lengths
+    return hashes[0], hashes[1]
 
 
-def span_rows(sentences: int, words: int, flush_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def span_rows(sentences: int, words: int, alone: int, flush_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """doc_id, text -> span, check (both null for a repeat that is known already), doc_id, start, length."""
 
     def flushed(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +109,10 @@ def span_rows(sentences: int, words: int, flush_bytes: int) -> Callable[[Iterato
         parts, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch_texts(batch.column("text")), strict=True):
-                span, check, lengths = spans_of(pieces_of(text)[2], sentences, words)
+                span, check, starts, lengths = runs_of(pieces_of(text)[2], sentences, words, alone)
                 size += len(text)
                 if len(span):
-                    parts.append((span, check, np.full(len(span), doc_id, np.int64), np.arange(len(span)), lengths))
+                    parts.append((span, check, np.full(len(span), doc_id, np.int64), starts, lengths))
                 if size >= flush_bytes and parts:
                     yield from flushed(parts)
                     parts, size = [], 0
@@ -124,10 +152,10 @@ def _cleaned(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def repeated_spans(docs: DataFrame, *, sentences: int = SENTENCES, words: int = WORDS, flush_bytes: int = FLUSH_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, sentences: int = SENTENCES, words: int = WORDS, alone: int = ALONE, flush_bytes: int = FLUSH_BYTES) -> DataFrame:
     """doc_id, start, length (in sentences) of every span that is not the first of its kind."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    spans = texts.mapInArrow(span_rows(sentences, words, flush_bytes), "span long, check long, doc_id long, start int, length int")
+    spans = texts.mapInArrow(span_rows(sentences, words, alone, flush_bytes), "span long, check long, doc_id long, start int, length int")
     # rows without a span are repeats already; they are dealt out by document, not to one task
     group = F.coalesce(F.col("span"), F.xxhash64("doc_id", "start"))
     nth = F.rank().over(Window.partitionBy(group, "check").orderBy("doc_id", "start"))
