@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm.common import documents, materialize
+from tidewright.llm.common import documents, materialize, numbered
 from tidewright.llm.exact_dedup import keep_exact
 from tidewright.llm.language import fit_language_model, held_out_of, keep_identified, learnable
 from tidewright.llm.minhash import keep_near
@@ -33,7 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them, twice at most."""
-    return apply_mix(docs, mix_sources(docs))
+    rows = numbered(docs)
+    return apply_mix(rows, mix_sources(rows))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Tells apart the rows of a table while a decision on them is joined back.
+ROW = "_row_number"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with numbers of its rows in the column ROW, the same each time as long as docs is read in the same order."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())

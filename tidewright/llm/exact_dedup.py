@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, batch_texts, documents
+from .common import ROW, SPACE_BYTES, batch_texts, documents, numbered
 
 #: Primes under 2 ** 31, and a base for each: the products of a chunk can be summed in 64 bits.
 PRIMES = (2147483647, 2147483629)
@@ -63,7 +63,7 @@ def normalized(text: bytes) -> bytes:
 
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, row, n_points, fingerprint, length, text_sha256; row tells apart the rows of a scan."""
+    """doc_id, text, row if there -> doc_id, row, n_points, fingerprint, length, text_sha256; row tells apart the rows of a scan."""
     from pyspark import TaskContext
 
     hasher, row = Fingerprinter(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
@@ -73,7 +73,7 @@ def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.array(range(row, row + len(texts)), pa.int64()),
+                batch.column("row") if "row" in batch.schema.names else pa.array(range(row, row + len(texts)), pa.int64()),
                 pa.array([len(t.decode("utf-8", "replace")) for t in texts], pa.int64()),
                 pa.array([hasher.of(t) for t in clean], pa.int64()),
                 pa.array([len(t) for t in clean], pa.int64()),
@@ -107,15 +107,16 @@ def _chunks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.binary())], names=["fingerprint", "length", "chunk_no", "chunk"])
 
 
-def exact_classes(docs: DataFrame) -> DataFrame:
+def exact_classes(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Per row: doc_id, row, n_points, text_sha256, keep_id, group_size, kept.
 
     docs needs doc_id and text; other columns are ignored. A null text counts as empty, and all texts without a
     character that is not white space are equal. Of equal texts the row with the most code points stays, of these that
     with the smallest doc_id (a null doc_id last), of rows that repeat both the first read. An empty table gives an
-    empty result.
+    empty result. row names a column of numbers that tell apart the rows; without it they are made.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    number = [F.col(row).alias("row")] if row else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *number)
     rows = texts.mapInArrow(fingerprint_rows, "doc_id long, row long, n_points long, fingerprint long, length long, text_sha256 string")
     chunks = texts.select("text").mapInArrow(chunk_rows, "fingerprint long, length long, chunk_no int, chunk binary")
     unequal = (
@@ -134,14 +135,13 @@ def exact_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that exact_classes keeps; of rows that share a kept doc_id, the longest text.
+    """The rows of docs, all columns, that exact_classes keeps, one of each class.
 
-    Rows without a doc_id go: nothing tells them apart.
+    docs is read more than once, and has to give its rows in the same order each time, as a written table does.
     """
-    kept = exact_classes(docs).where("kept").groupBy("doc_id").agg(F.max("n_points").alias("_points"))
-    joined = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")))  # the join has dealt out and sorted by doc_id
-    return joined.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    rows = numbered(docs)
+    kept = exact_classes(rows, ROW).where("kept").select(F.col("row").alias(ROW))
+    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

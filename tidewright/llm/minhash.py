@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_texts, documents, materialize, mix64, runs_of_texts
+from .common import ROW, batch_texts, documents, materialize, mix64, numbered, runs_of_texts
 from .components import connected_components
 
 WORDS = 5
@@ -305,9 +305,16 @@ def near_classes(
 
 
 def keep_near(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, with one document of each near-duplicate class: that with the smallest doc_id."""
-    kept = near_classes(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    """The rows of docs, all columns, one of each near-duplicate class: that with the smallest doc_id (null last).
+
+    Classes are of rows, so rows may share a doc_id or have none. docs is read more than once, and has to give its rows
+    in the same order each time, as a written table does.
+    """
+    rows = numbered(docs)
+    near = near_classes(rows.select(F.col(ROW).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(ROW), "class_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row"))
+    kept = near.join(rows.select(ROW, "doc_id").hint("merge"), ROW).groupBy("class_id").agg(F.min(order)["row"].alias(ROW)).select(ROW)
+    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, documents, materialize, text_or_empty
+from .common import ROW, WORD_PATTERN, documents, materialize, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -62,9 +62,12 @@ def mix_sources(
     mix makes over the document, `epochs` at most. A null source is a source of its own, last in order. Documents
     without words are in the result with taken 0. Repeated rows count each for itself; rows alike in every column used
     here are interchangeable. An empty table gives an empty result. hash_digits hex digits of the shuffle's hash make
-    the ranges in which prefix sums are formed (16 ** hash_digits of them per source).
+    the ranges in which prefix sums are formed (16 ** hash_digits of them per source). Numbers of the rows (`numbered`)
+    are in the result too.
     """
+    row = [ROW] if ROW in docs.columns else []
     base = docs.select(
+        *row,
         F.col("doc_id"),
         F.col("source").isNull().cast("int").alias("absent"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"),
@@ -91,7 +94,7 @@ def mix_sources(
         rows = rows.withColumn(f"time{k}", time).withColumn(f"bin{k}", F.least(F.floor(F.col(f"time{k}") * bins), F.lit(2 * bins)).cast("int"))
         clocks.append((f"time{k}", f"bin{k}"))
     rows = materialize(
-        rows.select("doc_id", "absent", "name", "draw", "size", "source_size", "target", "budget", *[c for pair in clocks for c in pair]), "mix-times"
+        rows.select(*row, "doc_id", "absent", "name", "draw", "size", "source_size", "target", "budget", *[c for pair in clocks for c in pair]), "mix-times"
     )
 
     passes = rows.select(
@@ -128,15 +131,16 @@ def mix_sources(
         for k, (t, b) in enumerate(clocks)
     )
     return rows.crossJoin(cut).withColumn("passes", count.cast("int")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).cast("long").alias("taken"), "passes"
+        *row, "doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).cast("long").alias("taken"), "passes"
     )
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix passes over it; rows that share a doc_id share the decision."""
-    times = mixed.where("passes > 0").groupBy("doc_id").agg(F.max("passes").alias("_passes"))
-    joined = docs.join(times.hint("merge"), "doc_id")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs, each as often as the mix passes over it; without row numbers in both, rows that share a doc_id share the decision."""
+    key = ROW if ROW in docs.columns and ROW in mixed.columns else "doc_id"
+    times = mixed.where("passes > 0").groupBy(key).agg(F.max("passes").alias("_passes"))
+    joined = docs.join(times.hint("merge"), key)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[docs[c] for c in docs.columns if c != ROW])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
