@@ -15,7 +15,9 @@ def col(c: Column | str) -> Column:
 
 
 def wrap360(angle: Column | str) -> Column:
-    return F.pmod(col(angle), F.lit(360.0))
+    """In [0, 360). Negative multiples of 360 give 0.0, not -0.0; so do angles so little below 0 that they round up to 360."""
+    turned = F.pmod(col(angle), F.lit(360.0))
+    return F.when(turned >= 360.0, F.lit(0.0)).otherwise(turned + 0.0)
 
 
 def whole_direction(angle: Column | str) -> Column:

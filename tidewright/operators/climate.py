@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import waves
-from ..functions.angles import circular_distance, sector_name, sector_number, shoreward_cosine, signed_difference
+from ..functions.angles import sector_name, sector_number, shoreward_cosine, signed_difference
 from .normalise import drop_calm, valid_depth
 
 SECONDS = 86400.0
@@ -15,15 +15,26 @@ SECONDS = 86400.0
 def densify_fetch(trace: DataFrame, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:
     """keys, direction 0 .. 359, fetch_m: of the traced direction nearest on the circle, the smaller one of two.
 
-    Done once per point, so that the daily lookup is an equi-join. A point's directions are 360 at most.
+    Done once per point, so that the daily lookup is an equi-join. Every traced direction is expanded to the whole
+    directions that it serves, up to halfway to its neighbours on the circle, so the work is 360 rows a point.
     """
-    clean = trace.withColumn("direction", F.pmod("direction", F.lit(360)))
-    held = clean.groupBy(*keys).agg(F.collect_list(F.struct("direction", "fetch_m")).alias("held"))
-    every = held.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(359))).alias("direction"), "held")
-    nearest = F.array_min(
-        F.transform("held", lambda t: F.struct(circular_distance(t["direction"], F.col("direction")).alias("distance"), t["direction"].alias("at"), t["fetch_m"].alias("fetch_m")))
-    )
-    return every.select(*keys, "direction", nearest["fetch_m"].alias("fetch_m"))
+    held = trace.where("direction is not null").groupBy(*keys, F.pmod("direction", F.lit(360)).alias("at")).agg(F.min("fetch_m").alias("fetch_m"))
+    ring = Window.partitionBy(*keys).orderBy("at")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = held.select(
+        *keys, "at", "fetch_m",
+        F.coalesce(F.lag("at").over(ring), F.last("at").over(whole) - 360).alias("before"),
+        F.coalesce(F.lead("at").over(ring), F.first("at").over(whole) + 360).alias("after"),
+    )
+    # halfway counts for the smaller direction; across north the one after, or before, is the smaller one if it wraps
+    left, right = (F.col("before") + F.col("at")) / 2, (F.col("at") + F.col("after")) / 2
+    low = F.when(F.col("at") < F.pmod("before", F.lit(360)), F.ceil(left)).otherwise(F.floor(left) + 1)
+    high = F.when(F.col("at") < F.pmod("after", F.lit(360)), F.floor(right)).otherwise(F.ceil(right) - 1)
+    alone = F.col("after") - F.col("before") == 720
+    served = F.when(alone, F.sequence(F.lit(0), F.lit(359))).otherwise(F.sequence(low.cast("int"), high.cast("int")))
+    # between fractional directions of less than a degree apart may lie no whole one
+    rows = near.where(alone | (low <= high)).select(*keys, "fetch_m", F.explode(served).alias("direction"))
+    return rows.select(*keys, F.pmod("direction", F.lit(360)).alias("direction"), "fetch_m")
 
 
 def lookup_fetch(wind: DataFrame, trace: DataFrame, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:
@@ -107,15 +118,18 @@ def daily_waves(wind: DataFrame, trace: DataFrame, points: DataFrame, profiles:
 
 
 def cwef_summary(daily: DataFrame, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:
-    """Statistics of the daily flux per key, on the rounded daily columns; days at the 90th percentile count as storms."""
-    values = [0.5, 0.75, 0.9, 0.95, 0.99]
-    base = daily.groupBy(*keys).agg(
+    """Statistics of the daily flux per key, on the rounded daily columns; days at the 90th percentile count as storms.
+
+    daily is read once: the percentiles are a window over a key's days, which the statistics then share.
+    """
+    values = F.array(*[F.lit(v) for v in (0.5, 0.75, 0.9, 0.95, 0.99)])
+    days = daily.select(*keys, "CWEF_W_m", "Hs_nearshore_m").withColumn("q", F.percentile("CWEF_W_m", values).over(Window.partitionBy(*keys)))
+    base = days.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_days_total"), F.count_if(F.col("CWEF_W_m") > 0).alias("n_days_active"), F.avg("CWEF_W_m").alias("mean_W_m"),
-        F.percentile("CWEF_W_m", F.array(*[F.lit(v) for v in values])).alias("q"), F.stddev_samp("CWEF_W_m").alias("std_W_m"), F.max("CWEF_W_m").alias("max_W_m"),
+        F.first("q").alias("q"), F.stddev_samp("CWEF_W_m").alias("std_W_m"), F.max("CWEF_W_m").alias("max_W_m"), F.count_if(F.col("CWEF_W_m") >= F.col("q")[2]).alias("n_storm_days_p90"),
         (F.sum("CWEF_W_m") * SECONDS / 1e6).alias("total_energy_MJ_m"), F.avg("Hs_nearshore_m").alias("Hs_mean_m"), F.max("Hs_nearshore_m").alias("Hs_max_m"),
     )
-    storms = daily.select(*keys, "CWEF_W_m").join(base.select(*keys, F.col("q")[2].alias("p90")), [*keys]).groupBy(*keys).agg(F.count_if(F.col("CWEF_W_m") >= F.col("p90")).alias("n_storm_days_p90"))
-    return base.join(storms, [*keys]).select(
+    return base.select(
         *keys, "n_days_total", "n_days_active", "mean_W_m", F.col("q")[0].alias("median_W_m"), "std_W_m", F.col("q")[1].alias("p75_W_m"), F.col("q")[2].alias("p90_W_m"),
         F.col("q")[3].alias("p95_W_m"), F.col("q")[4].alias("p99_W_m"), "max_W_m", "n_storm_days_p90", "total_energy_MJ_m", "Hs_mean_m", "Hs_max_m",
     )

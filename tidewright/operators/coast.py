@@ -111,26 +111,28 @@ def line_ends(vertices: DataFrame) -> DataFrame:
 def build_chains(ends: list[tuple[int, tuple[float, float], tuple[float, float]]], gap: float = 150.0, passes: int = 20) -> dict[int, int]:
     """Line -> chain. In each pass every chain, in order, takes the nearest free chain whose end is within the gap.
 
-    The order is part of what this computes, so it runs on the ends alone, in one place.
+    The order is part of what this computes, so it runs on the ends alone, in one place. Free ends are looked up in
+    square cells of the gap, so a chain is compared with those around its own ends only.
     """
     chains = {i: [i] for i, _, _ in ends}
     tips = {i: (h, t) for i, h, t in ends}
+    cell = lambda p: (int(p[0] // gap), int(p[1] // gap))
     for _ in range(passes):
-        merged, used = False, set()
+        merged, used, free = False, set(), {}
+        for i, pair in tips.items():
+            for p in pair:
+                free.setdefault(cell(p), set()).add(i)
         for a in sorted(chains):
             if a in used or a not in chains:
                 continue
-            best = None
-            for b in sorted(chains):
-                if b == a or b in used:
-                    continue
-                for mode, (p, q) in enumerate(((tips[a][1], tips[b][0]), (tips[a][1], tips[b][1]), (tips[a][0], tips[b][0]), (tips[a][0], tips[b][1]))):
-                    d = float(np.hypot(p[0] - q[0], p[1] - q[1]))
-                    if d <= gap and (best is None or d < best[0]):
-                        best = (d, b, mode)
-            if best:
-                _, b, mode = best
-                (ah, at), (bh, bt) = tips[a], tips[b]
+            around = {b for p in tips[a] for cx, cy in [cell(p)] for i in (-1, 0, 1) for j in (-1, 0, 1) for b in free.get((cx + i, cy + j), ())}
+            found = []
+            for b in around - used - {a}:
+                ways = ((tips[a][1], tips[b][0]), (tips[a][1], tips[b][1]), (tips[a][0], tips[b][0]), (tips[a][0], tips[b][1]))
+                found += [(d, b, mode) for mode, (p, q) in enumerate(ways) if (d := float(np.hypot(p[0] - q[0], p[1] - q[1]))) <= gap]
+            if found:
+                _, b, mode = min(found)
+                (ah, at), (bh, bt) = tips[a], tips.pop(b)
                 tips[a] = {0: (ah, bt), 1: (ah, bh), 2: (at, bt), 3: (bh, at)}[mode]
                 chains[a] += chains.pop(b)
                 used |= {a, b}
@@ -268,13 +270,24 @@ def simplify_lines(vertices: DataFrame, tolerance: float) -> DataFrame:
     return rows.groupBy("line_id").applyInPandas(run, "line_id long, pos long, x double, y double")
 
 
-def points_at(vertices: DataFrame, chainages: DataFrame) -> DataFrame:
-    """chainages (line_id, chainage_m, ...) with x, y on the line; beyond its ends, the ends."""
-    s = segments_of(vertices).withColumn("last", F.lead("pos").over(along()).isNull()).withColumn("first", F.lag("pos").over(along()).isNull())
-    inside = (F.col("chainage_m") >= F.col("start")) & ((F.col("chainage_m") < F.col("start") + F.col("length")) | F.col("last")) | (F.col("first") & (F.col("chainage_m") < 0))
-    t = F.greatest(F.least(F.try_divide(F.col("chainage_m") - F.col("start"), F.col("length")), F.lit(1.0)), F.lit(0.0))
-    j = chainages.join(s, "line_id").where(inside)
-    return j.select(*chainages.columns, (F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y"))
+def points_at(vertices: DataFrame, chainages: DataFrame, block_m: float = 50_000.0) -> DataFrame:
+    """chainages (line_id, chainage_m, ...) with x, y on the line; beyond its ends, the ends.
+
+    Chainages and segments are put into one order along each line, and a chainage takes the last segment that starts at
+    or before it. The order is made in stretches of block_m, so a line of any length is many groups, not one.
+    """
+    s = segments_of(vertices)
+    block = lambda c: F.floor(c / block_m).cast("bigint")
+    total = s.groupBy("line_id").agg(F.max(F.col("start") + F.col("length")).alias("_total"))
+    marks = chainages.join(total, "line_id").withColumn("_key", F.greatest(F.least("chainage_m", "_total"), F.lit(0.0)))
+    marks = marks.select("line_id", block(F.col("_key")).alias("_block"), "_key", F.lit(None).cast("bigint").alias("pos"), F.struct(*chainages.columns).alias("_mark"))
+    held = s.select("line_id", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + F.col("length")))).alias("_block"), F.col("start").alias("_key"), "pos", F.struct("start", "length", "x0", "y0", "x1", "y1").alias("_seg"))
+    order = Window.partitionBy("line_id", "_block").orderBy("_key", F.col("pos").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    at = held.unionByName(marks, allowMissingColumns=True).withColumn("_seg", F.last("_seg", ignorenulls=True).over(order)).where("_mark is not null")
+    share = F.try_divide(F.col("_key") - F.col("_seg.start"), F.col("_seg.length"))
+    t = F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))
+    on = lambda a, b: (F.col(f"_seg.{a}") + t * (F.col(f"_seg.{b}") - F.col(f"_seg.{a}"))).alias(a[0])
+    return at.select("_mark.*", on("x0", "x1"), on("y0", "y1"))
 
 
 def equal_step_points(vertices: DataFrame, step: float, include_ends: bool = True) -> DataFrame:

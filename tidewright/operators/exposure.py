@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import COMPASS_16, sector_number
@@ -11,45 +11,52 @@ METRICS = ("mean_CWEF_Wm", "E_storm_MJm", "K_dir", "CV")
 STEPS = (0.2, 0.4, 0.6, 0.8)
 
 
+def _sector_sums(flux: str) -> Column:
+    """Array of the flux summed by sector, 0 for a sector without days: an aggregate."""
+    sector = sector_number("direction")
+    return F.array(*[F.coalesce(F.sum(F.when(sector == i, F.col(flux))), F.lit(0.0)) for i in range(16)])
+
+
+def _strongest(sums: str) -> dict[str, Column]:
+    """K_dir, top_start, top3_sectors from an array of sums by sector."""
+    at = lambda i: F.element_at(sums, F.pmod(i, F.lit(16)).cast("int") + 1)
+    top = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct((at(i) + at(i + 1) + at(i + 2)).alias("e"), (-i).alias("start"))))
+    total = F.aggregate(sums, F.lit(0.0), lambda a, e: a + e)
+    names = F.array(*[F.lit(n) for n in COMPASS_16])
+    label = F.concat_ws(",", *[F.element_at(names, F.pmod(-top["start"] + i, F.lit(16)).cast("int") + 1) for i in range(3)])
+    none = total == 0
+    return {"K_dir": F.when(none, 0.0).otherwise(F.try_divide(top["e"], total)), "top_start": F.when(~none, -top["start"]), "top3_sectors": F.when(none, "").otherwise(label)}
+
+
 def top_sectors(daily: DataFrame, keys: tuple[str, ...] = ("point_id",), flux: str = "CWEF_W_m") -> DataFrame:
     """keys, K_dir, top_start, top3_sectors: the three neighbouring sectors, on the ring of 16, with the largest share.
 
     Of equal sums the first start counts. Without energy the share is 0 and no sector is named.
     """
-    sums = daily.groupBy(*keys, sector_number("direction").alias("s")).agg(F.sum(flux).alias("e"))
-    rings = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("s", "e"))).alias("by"))
-    at = lambda i: F.coalesce(F.try_element_at("by", F.pmod(i, F.lit(16)).cast("int")), F.lit(0.0))
-    starts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct((at(i) + at(i + 1) + at(i + 2)).alias("e"), (-i).alias("start")))
-    total = F.aggregate(F.map_values("by"), F.lit(0.0), lambda a, e: a + F.coalesce(e, F.lit(0.0)))
-    found = rings.select(*keys, F.array_max(starts).alias("top"), total.alias("total"))
-    names = F.array(*[F.lit(n) for n in COMPASS_16])
-    start = -F.col("top.start")
-    label = F.concat_ws(",", *[F.element_at(names, F.pmod(start + i, F.lit(16)).cast("int") + 1) for i in range(3)])
-    none = F.col("total") == 0
-    return found.select(
-        *keys, F.when(none, 0.0).otherwise(F.try_divide(F.col("top.e"), F.col("total"))).alias("K_dir"), F.when(~none, start).alias("top_start"), F.when(none, "").otherwise(label).alias("top3_sectors")
-    )
+    sums = daily.groupBy(*keys).agg(_sector_sums(flux).alias("_sums"))
+    return sums.select(*keys, *[c.alias(n) for n, c in _strongest("_sums").items()])
 
 
 def exposure_metrics(daily: DataFrame, keys: tuple[str, ...] = ("point_id",), *, percentile: float = 90.0, threshold: float | None = None, seconds: float = 86400.0, flux: str = "CWEF_W_m") -> DataFrame:
     """Per key: mean, storm energy above the threshold, share of the three strongest sectors, coefficient of variation.
 
-    The threshold is a percentile (linear) of the key's own days unless one is given; storm days lie above it.
+    The threshold is a percentile (linear) of the key's own days unless one is given; storm days lie above it. daily is
+    read once and shuffled once: the percentile is a window over a key's days, and one aggregate does the rest.
     """
     if not 0 < percentile < 100:
         raise ValueError("percentile lies between 0 and 100")
-    base = daily.groupBy(*keys).agg(
-        F.avg(flux).alias("mean"), F.stddev_samp(flux).alias("std"), F.count(flux).alias("n_days"),
-        (F.lit(float(threshold)) if threshold is not None else F.percentile(flux, F.lit(percentile / 100.0))).alias("storm_threshold_Wm"),
-    )
-    over = F.col(flux) > F.col("storm_threshold_Wm")
-    storms = daily.select(*keys, flux).join(base.select(*keys, "storm_threshold_Wm"), [*keys]).groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(over, F.col(flux))) * seconds / 1e6, F.lit(0.0)).alias("E_storm_MJm"), F.count_if(over).alias("n_storm_days")
+    limit = F.lit(float(threshold)) if threshold is not None else F.percentile(flux, F.lit(percentile / 100.0)).over(Window.partitionBy(*keys))
+    days = daily.select(*keys, "direction", flux).withColumn("_limit", limit)
+    over = F.col(flux) > F.col("_limit")
+    base = days.groupBy(*keys).agg(
+        F.avg(flux).alias("mean"), F.stddev_samp(flux).alias("std"), F.count(flux).alias("n_days"), F.first("_limit").alias("storm_threshold_Wm"),
+        F.coalesce(F.sum(F.when(over, F.col(flux))) * seconds / 1e6, F.lit(0.0)).alias("E_storm_MJm"), F.count_if(over).alias("n_storm_days"), _sector_sums(flux).alias("_sums"),
     )
     cv = F.when(F.col("mean").isNull() | (F.col("mean") == 0), 0.0).otherwise(F.try_divide(F.col("std"), F.col("mean")))
-    return base.join(storms, [*keys]).join(top_sectors(daily, keys, flux), [*keys], "left").select(
+    top = _strongest("_sums")
+    return base.select(
         *keys, F.round("mean", 3).alias("mean_CWEF_Wm"), F.round("E_storm_MJm", 3).alias("E_storm_MJm"), F.round("storm_threshold_Wm", 3).alias("storm_threshold_Wm"),
-        F.round(F.coalesce("K_dir", F.lit(0.0)), 4).alias("K_dir"), "top3_sectors", F.round(cv, 4).alias("CV"), "n_days", "n_storm_days",
+        F.round(F.coalesce(top["K_dir"], F.lit(0.0)), 4).alias("K_dir"), top["top3_sectors"].alias("top3_sectors"), F.round(cv, 4).alias("CV"), "n_days", "n_storm_days",
     )
 
 

@@ -91,11 +91,10 @@ def hits(rays: DataFrame, segments: DataFrame, cell: float = CELL_M, keys: tuple
 def first_hits(rays: DataFrame, found: DataFrame, default_m: float = MAX_M, exclusion_m: float = EXCLUSION_M) -> DataFrame:
     """rays with fetch_length_m, hit_found, hit_x, hit_y, used_default_value: the hit nearest to the start.
 
-    Hits within the exclusion of the source or of the start do not count.
+    Hits within the exclusion of the source or of the start do not count. found carries x, y, start_x, start_y of its ray.
     """
-    keyed = found.join(rays.select("point_id", "direction_id", "x", "y", "start_x", "start_y"), ["point_id", "direction_id"])
     away = lambda a, b: F.sqrt(F.pow(F.col("hit_x") - F.col(a), F.lit(2.0)) + F.pow(F.col("hit_y") - F.col(b), F.lit(2.0)))
-    good = keyed.withColumn("d", away("start_x", "start_y")).where((F.col("d") > exclusion_m) & (away("x", "y") > exclusion_m))
+    good = found.withColumn("d", away("start_x", "start_y")).where((F.col("d") > exclusion_m) & (away("x", "y") > exclusion_m))
     best = good.groupBy("point_id", "direction_id").agg(F.min(F.struct("d", "hit_x", "hit_y")).alias("best"))
     return rays.join(best, ["point_id", "direction_id"], "left").select(
         "*", F.coalesce("best.d", F.lit(default_m)).alias("fetch_length_m"), F.col("best").isNotNull().alias("hit_found"), F.col("best.hit_x").alias("hit_x"), F.col("best.hit_y").alias("hit_y"),
@@ -111,7 +110,7 @@ def trace_fetch(points: DataFrame, segments: DataFrame, azimuths: range | list =
     """
     sea, land = split_land_sector(point_azimuths(shifted_starts(points, offset_m), azimuths), edge)
     rays = ray_ends(sea, max_m)
-    traced = first_hits(rays, hits(rays, segments, cell), max_m, exclusion_m).drop("end_x", "end_y")
+    traced = first_hits(rays, hits(rays, segments, cell, ("point_id", "direction_id", "x", "y", "start_x", "start_y")), max_m, exclusion_m).drop("end_x", "end_y")
     skipped = land.select(
         "*", F.lit(float(offset_m)).alias("fetch_length_m"), F.lit(False).alias("hit_found"), F.lit(None).cast("double").alias("hit_x"), F.lit(None).cast("double").alias("hit_y"),
         F.lit(True).alias("used_default_value"), F.lit(True).alias("skipped_by_land_sector"),

@@ -1,19 +1,15 @@
-"""Graphs of shore lines as tables of edges (u, v, weight)."""
+"""Graphs of shore lines as tables of edges (u, v, weight).
+
+Every loop writes its tables to the shared folder (see `shared.written`). None walks a line node by node: labels, walks
+and tours are followed by pointer doubling, so the rounds grow with the logarithm of a line's length.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder of spark.checkpoint.dir: iterations neither grow plans nor lose work with an executor."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewright-"))
-    return df.checkpoint()
+from ..shared import discard, written
 
 
 def build_edges(edges: DataFrame) -> DataFrame:
@@ -25,18 +21,39 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v", "weight").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node), by minima over neighbours and pointer jumping."""
-    links = cut_lineage(both_ways(edges.withColumn("weight", F.lit(0.0)) if "weight" not in edges.columns else edges).select("u", "v").distinct())
-    labels = cut_lineage(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")))
+def flat_roots(parents: DataFrame) -> DataFrame:
+    """node, root: every pointer (node, root) of a forest followed to its end, by doubling; roots have no row."""
     while True:
-        near = links.join(labels.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("component").alias("near"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = labels.join(jump, "component").join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near", "further").alias("component"))
-        moved = cut_lineage(moved)
-        labels = moved.select("node", "component")
-        if moved.where("was <> component").isEmpty():
-            return labels
+        further = parents.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        moved = written(parents.join(further, "root", "left").select("node", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("is_moved")), "roots")
+        done = moved.where("is_moved").isEmpty()
+        discard(parents)
+        parents = moved.select("node", "root")
+        parents._written_to = moved._written_to
+        if done:
+            return parents
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of every node of edges (u, v); a loop is a component of its node.
+
+    Each round hooks every node to its smallest neighbour, if that is smaller, flattens the trees which that makes, and
+    goes on with the edges between their roots. A node that is not hooked is smaller than all its neighbours.
+    """
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    links = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
+    while not links.isEmpty():
+        roots = flat_roots(written(links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root")), "hooks"))
+        named = roots.select(F.col("node").alias("component"), "root")
+        renamed = written(labels.join(named, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+        across = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("ru", "u").alias("a"), F.coalesce("rv", "v").alias("b")).where("a <> b")
+        left = written(across.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
+        discard(links, labels, roots)
+        links, labels = left, renamed
+    discard(links)
+    return labels
 
 
 def main_component(edges: DataFrame) -> DataFrame:
@@ -48,19 +65,22 @@ def main_component(edges: DataFrame) -> DataFrame:
 
 def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
     """Boruvka's rounds: every component takes its heaviest edge to another one (ties by the edge's nodes)."""
-    left, chosen = cut_lineage(build_edges(edges)), None
-    names = components(left).select("node", F.col("node").alias("c"))  # at first each node alone
-    while True:
-        a, b = names.select(F.col("node").alias("u"), F.col("c").alias("cu")), names.select(F.col("node").alias("v"), F.col("c").alias("cv"))
-        crossing = left.join(a, "u").join(b, "v").where("cu <> cv")
-        order = F.struct("weight", (-F.col("u")).alias("nu"), (-F.col("v")).alias("nv"))
-        ends = crossing.select("u", "v", "weight", F.explode(F.array("cu", "cv")).alias("c"))
-        picked = cut_lineage(ends.groupBy("c").agg(F.max_by(F.struct("u", "v", "weight"), order).alias("e")).select("e.*").distinct())
-        if picked.isEmpty():
-            return chosen if chosen is not None else left.limit(0)
-        chosen = picked if chosen is None else cut_lineage(chosen.unionByName(picked).distinct())
-        found = components(chosen).withColumnRenamed("component", "f")
-        names = cut_lineage(names.join(found, "node", "left").select("node", F.coalesce("f", "c").alias("c")))
+    spark = edges.sparkSession
+    # cu and cv are the components of u and v
+    crossing = written(build_edges(edges).select("u", "v", "weight", F.col("u").alias("cu"), F.col("v").alias("cv")), "crossing")
+    chosen = spark.createDataFrame([], crossing.select("u", "v", "weight").schema)
+    order = F.struct("weight", (-F.col("u")).alias("nu"), (-F.col("v")).alias("nv"))
+    while not crossing.isEmpty():
+        ends = crossing.select("u", "v", "weight", "cu", "cv", F.explode(F.array("cu", "cv")).alias("c"))
+        picked = written(ends.groupBy("c").agg(F.max_by(F.struct("u", "v", "weight", "cu", "cv"), order).alias("e")).select("e.*").distinct(), "picked")
+        chosen = chosen.unionByName(picked.select("u", "v", "weight"))  # a union for each round; they are few
+        names = components(picked.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        a, b = names.select(F.col("node").alias("cu"), F.col("component").alias("a")), names.select(F.col("node").alias("cv"), F.col("component").alias("b"))
+        left = written(crossing.join(a, "cu").join(b, "cv").where("a <> b").select("u", "v", "weight", F.col("a").alias("cu"), F.col("b").alias("cv")), "crossing")
+        discard(crossing, names)
+        crossing = left
+    discard(crossing)
+    return chosen
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -71,82 +91,124 @@ def crossings(edges: DataFrame, least: int = 3) -> DataFrame:
     return degrees(edges).where(F.col("degree") >= least)
 
 
+def walks(edges: DataFrame) -> DataFrame:
+    """a, b, length, x, y, a_degree, y_degree of every way a -> b along nodes of degree 2 to the last one, x -> y.
+
+    y is the first node of another degree. Ways round a ring of such nodes have no end and no row.
+    """
+    ways = written(both_ways(edges), "ways")
+    degree = degrees(edges)
+    of = lambda n: degree.select(F.col("node").alias(n), F.col("degree").alias(f"{n}_degree"))
+    arcs = written(ways.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").join(of("a"), "a").join(of("b"), "b"), "arcs")
+    discard(ways)
+    onward = arcs.where("a_degree = 2").select(F.col("a").alias("b"), F.col("b").alias("c"))
+    first = arcs.where("b_degree = 2").join(onward, "b").where("c <> a")
+    # from each way the one to go on with, and the length before that; a way without a row is the last
+    jumps = written(first.select("a", "b", F.col("b").alias("x"), F.col("c").alias("y"), F.col("weight").alias("before")), "jumps")
+    for _ in range(max(1, jumps.count()).bit_length()):  # a ring would go on for ever
+        further = jumps.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("before").alias("more"))
+        moved = jumps.join(further, ["x", "y"], "left").select(
+            "a", "b", F.coalesce("fx", "x").alias("x"), F.coalesce("fy", "y").alias("y"), (F.col("before") + F.coalesce("more", F.lit(0.0))).alias("before"), F.col("fx").isNotNull().alias("is_moved")
+        )
+        moved = written(moved, "jumps")
+        discard(jumps)
+        jumps = moved.drop("is_moved")
+        jumps._written_to = moved._written_to
+        if moved.where("is_moved").isEmpty():
+            break
+    last = arcs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("weight").alias("own"), F.col("b_degree").alias("y_degree")).where("y_degree <> 2")
+    alone = arcs.where("b_degree <> 2").select("a", "b", F.col("weight").alias("length"), F.col("a").alias("x"), F.col("b").alias("y"), "a_degree", F.col("b_degree").alias("y_degree"))
+    far = jumps.join(last, ["x", "y"]).join(of("a"), "a").select("a", "b", (F.col("before") + F.col("own")).alias("length"), "x", "y", "a_degree", "y_degree")
+    return alone.unionByName(far)
+
+
 def leaf_branches(edges: DataFrame) -> DataFrame:
     """leaf, end, length: from every leaf along nodes of degree 2 to the first node of another degree."""
-    ways = cut_lineage(both_ways(edges))
-    degree = cut_lineage(degrees(edges))
-    d = degree.select(F.col("node").alias("at"), "degree")
-    walk = cut_lineage(ways.join(degree.where("degree = 1").select(F.col("node").alias("u")), "u").select(F.col("u").alias("leaf"), F.col("u").alias("came"), F.col("v").alias("at"), F.col("weight").alias("length")))
-    done = None
-    while True:
-        here = walk.join(d, "at")
-        ended = here.where("degree <> 2").select("leaf", F.col("at").alias("end"), "length")
-        done = cut_lineage(ended if done is None else done.unionByName(ended))
-        onward = here.where("degree = 2").join(ways.select(F.col("u").alias("at"), F.col("v").alias("next"), "weight"), "at").where("next <> came")
-        walk = cut_lineage(onward.select("leaf", F.col("at").alias("came"), F.col("next").alias("at"), (F.col("length") + F.col("weight")).alias("length")))
-        if walk.isEmpty():
-            return done
+    return walks(edges).where("a_degree = 1").select(F.col("a").alias("leaf"), F.col("y").alias("end"), "length")
 
 
 def prune_short_leaves(edges: DataFrame, short: float = 80.0, rounds: int = 30) -> DataFrame:
     """Per round all leaf branches of a length in (0, short) go, until none is left or the rounds are over."""
-    held = cut_lineage(build_edges(edges))
+    held = written(build_edges(edges), "held")
     for _ in range(rounds):
         if held.isEmpty():
             return held
-        gone = leaf_branches(held).where((F.col("length") > 0) & (F.col("length") < short))
-        doomed = _branch_nodes(held, gone)
+        found = written(walks(held), "walks")
+        gone = found.where((F.col("a_degree") == 1) & (F.col("length") > 0) & (F.col("length") < short)).select(F.col("a").alias("leaf"))
+        # a node of a branch is the leaf, or has degree 2 and walks into the leaf
+        inside = found.where("a_degree = 2 and y_degree = 1").select(F.col("y").alias("leaf"), F.col("a").alias("node")).join(gone, "leaf").select("node")
+        doomed = written(gone.select(F.col("leaf").alias("node")).union(inside).distinct(), "doomed")
         if doomed.isEmpty():
             return held
-        held = cut_lineage(held.join(doomed.select(F.col("node").alias("u")), "u", "left_anti").join(doomed.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v", "weight"))
+        left = held.join(doomed.select(F.col("node").alias("u")), "u", "left_anti").join(doomed.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v", "weight")
+        left = written(left, "held")
+        discard(held, found, doomed)
+        held = left
     return held
 
 
-def _branch_nodes(edges: DataFrame, branches: DataFrame) -> DataFrame:
-    """The nodes of branches, the leaf and those of degree 2 after it."""
-    ways, degree = both_ways(edges), degrees(edges)
-    nodes = cut_lineage(branches.select(F.col("leaf").alias("node")).distinct())
-    twos = degree.where("degree = 2").select("node")
-    frontier = nodes
-    while True:
-        onward = ways.join(frontier.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node")).distinct().join(twos, "node", "left_semi").join(nodes, "node", "left_anti")
-        frontier = cut_lineage(onward)
-        if frontier.isEmpty():
-            return nodes
-        nodes = cut_lineage(nodes.unionByName(frontier))
+def euler_tour(edges: DataFrame, source: int) -> DataFrame:
+    """u, v, weight, at: the ways of the source's tree in the order of a walk round it that starts there, counted from 0.
+
+    The way after x -> u goes from u to its neighbour after x, in a ring. Places are found by doubling.
+    """
+    by_node = Window.partitionBy("u").orderBy("v")
+    ring = both_ways(edges).withColumn("next", F.coalesce(F.lead("v").over(by_node), F.first("v").over(by_node.rowsBetween(Window.unboundedPreceding, 0))))
+    ring = written(ring, "ring")
+    start = ring.where(F.col("u") == source).agg(F.min("v")).first()[0]
+    ends = (F.col("u") == source) & (F.col("next") == F.lit(start))  # after the way into the source from its last neighbour comes the first way
+    after = lambda c: F.when(~ends, F.col(c))
+    left = written(ring.select(F.col("v").alias("a"), F.col("u").alias("b"), after("u").alias("x"), after("next").alias("y"), F.when(ends, 0).otherwise(1).cast("long").alias("steps")), "tour")
+    for _ in range(left.count().bit_length()):
+        further = left.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("steps").alias("more"))
+        moved = left.join(further, ["x", "y"], "left").select("a", "b", F.col("fx").alias("x"), F.col("fy").alias("y"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        moved = written(moved, "tour")
+        discard(left)
+        left = moved
+    whole = left.where("x is null")  # ways of other trees go round for ever
+    n = whole.count()
+    out = whole.select(F.col("a").alias("u"), F.col("b").alias("v"), (F.lit(n - 1) - F.col("steps")).alias("at"))
+    return written(out.join(ring.select("u", "v", "weight"), ["u", "v"]), "tour")
+
+
+def visits(tour: DataFrame, source: int, block: int = 100_000) -> DataFrame:
+    """node, distance, parent, first, last: places in the tour at which a node is entered and left, seen from the source.
+
+    Distances are sums of weights along the tour, plus on the way down and minus on the way up, added up in blocks.
+    """
+    n = tour.count()
+    begin = tour.where(F.col("u") == source).agg(F.min("at")).first()[0]
+    turned = tour.withColumn("at", F.pmod(F.col("at") - F.lit(begin), F.lit(n)))
+    back = turned.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("at").alias("back_at"))
+    signed = turned.join(back, ["u", "v"]).withColumn("down", F.col("at") < F.col("back_at")).withColumn("signed", F.when(F.col("down"), F.col("weight")).otherwise(-F.col("weight")))
+    signed = written(signed.withColumn("block", F.floor(F.col("at") / block)), "signed")
+    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    before = signed.groupBy("block").agg(F.sum("signed").alias("sum")).select("block", F.coalesce(F.sum("sum").over(upto), F.lit(0.0)).alias("before"))
+    inside = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    run = signed.join(before, "block").withColumn("distance", F.col("before") + F.sum("signed").over(inside))
+    found = run.where("down").select(F.col("v").alias("node"), "distance", F.col("u").alias("parent"), F.col("at").alias("first"), F.col("back_at").alias("last"))
+    root = tour.sparkSession.createDataFrame([(source, 0.0, None, -1, n)], "node long, distance double, parent long, first long, last long")
+    return root.unionByName(found)
 
 
 def distances(edges: DataFrame, source: int) -> DataFrame:
     """node, distance, parent: along the only path of a tree from the source."""
-    ways = cut_lineage(both_ways(edges))
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(source, 0.0, None)], "node long, distance double, parent long")
-    seen = frontier
-    while True:
-        step = ways.join(frontier.select(F.col("node").alias("u"), "distance", "parent"), "u").where("parent is null or v <> parent")
-        frontier = cut_lineage(step.select(F.col("v").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("u").alias("parent")))
-        if frontier.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(frontier))
+    return visits(euler_tour(edges, source), source).select("node", "distance", "parent")
 
 
 def tree_diameter(edges: DataFrame) -> tuple[int, int, float, DataFrame]:
-    """Ends and length of a tree's longest path, and the distances from its first end."""
+    """Ends and length of a tree's longest path, and the visits from its first end."""
     start = edges.agg(F.min(F.least("u", "v"))).first()[0]
+    tour = euler_tour(edges, start)
     far = lambda df: df.orderBy(F.desc("distance"), "node").first()
-    a = far(distances(edges, start))["node"]
-    reach = distances(edges, a)
+    a = far(visits(tour, start))["node"]
+    reach = visits(tour, a)
     b = far(reach)
     return a, b["node"], b["distance"], reach
 
 
 def diameter_path(edges: DataFrame) -> DataFrame:
-    """node, distance of the nodes of a tree's longest path, walked back along the parents."""
+    """node, distance of the nodes of a tree's longest path: those entered no later, and left no earlier, than its end."""
     _, end, _, reach = tree_diameter(edges)
-    reach = cut_lineage(reach)
-    path = frontier = reach.where(F.col("node") == end)
-    while True:
-        frontier = cut_lineage(reach.join(frontier.select(F.col("parent").alias("node")), "node", "left_semi"))
-        if frontier.isEmpty():
-            return path.select("node", "distance")
-        path = cut_lineage(path.unionByName(frontier))
+    at = F.broadcast(reach.where(F.col("node") == end).select(F.col("first").alias("f"), F.col("last").alias("l")))  # one row
+    return reach.crossJoin(at).where("first <= f and last >= l").select("node", "distance")

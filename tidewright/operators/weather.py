@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import wrap360
+from ..shared import written
 
 
 def axis_centers(low: Column | str, high: Column | str, step: float = 0.25, offset: float = 0.125, border: int = 1) -> Column:
@@ -98,7 +99,7 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, k: int = 1, cell: float =
         if r < widest:
             done = ranked.groupBy("point_id").agg(F.max("distance_m").alias("d"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= k) & (F.col("d") <= r * cell)).select("point_id")
             ranked = ranked.join(done, "point_id", "left_semi")
-            p = p.join(done, "point_id", "left_anti")
+            p = written(p.join(done, "point_id", "left_anti"), "points")  # else each round would find all those before it again
         found = ranked if found is None else found.unionByName(ranked)
         if r >= widest or p.isEmpty():
             return found

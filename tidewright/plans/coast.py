@@ -13,6 +13,7 @@ from ..operators import coast as L
 from ..operators import exposure as X
 from ..operators import fetch as G
 from ..operators import graph as Q
+from ..shared import shared_path
 from ..sources import files as S
 from .climate import daily
 from .fixtures import Registry, view, with_views
@@ -40,9 +41,9 @@ def tree(s, d):
     return v.select(F.floor(F.col("seg_id") / 2).alias("u"), F.col("seg_id").alias("v"), (F.col("seg_id") * 37 % 101 + 1).cast("double").alias("weight"))
 
 
-SPARSE = {"e": "SELECT * FROM v_edges WHERE (u * 7 + v) % 97 = 0"}
+EDGES = {"e": "SELECT * FROM v_edges"}
 CC = {"cc": "SELECT node, min(seen) AS component FROM (WITH RECURSIVE reach(node, seen) AS (SELECT u, u FROM e UNION SELECT v, v FROM e UNION SELECT b.b, r.seen FROM reach r JOIN (SELECT u AS a, v AS b FROM e UNION ALL SELECT v, u FROM e) b ON b.a = r.node) SELECT * FROM reach) GROUP BY node"}
-TREE = {"t": "SELECT CAST(floor(seg_id / 2) AS BIGINT) AS u, seg_id AS v, CAST(seg_id * 37 % 101 + 1 AS DOUBLE) AS weight FROM v_segments WHERE seg_id BETWEEN 2 AND 200"}
+TREE = {"t": "SELECT CAST(floor(seg_id / 2) AS BIGINT) AS u, seg_id AS v, CAST(seg_id * 37 % 101 + 1 AS DOUBLE) AS weight FROM v_segments WHERE seg_id > 0"}
 
 # ---- C ------------------------------------------------------------------------------------------------------------
 
@@ -53,8 +54,8 @@ add("C-02", lambda s, d: L.node_segments(view(s, d, "v_segments")).groupBy("seg_
     SELECT seg_id, (qx * sy - qy * sx) / cr AS t, (qx * ry - qy * rx) / cr AS u FROM (SELECT a.seg_id, (a.x1 - a.x0) AS rx, (a.y1 - a.y0) AS ry, (b.x1 - b.x0) AS sx, (b.y1 - b.y0) AS sy, b.x0 - a.x0 AS qx, b.y0 - a.y0 AS qy, (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0) AS cr
       FROM v_segments a JOIN v_segments b ON a.seg_id <> b.seg_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) WHERE abs(cr) >= 1e-9) c ON c.seg_id = s.seg_id AND t > 0 AND t < 1 AND u >= 0 AND u <= 1 GROUP BY 1""", "v_segments"))
 add("C-03", lambda s, d: Q.build_edges(view(s, d, "v_edges").unionByName(view(s, d, "v_edges").select(F.col("v").alias("u"), F.col("u").alias("v"), (F.col("weight") * 2).alias("weight")))), with_views("SELECT u, v, weight * 2 AS weight FROM v_edges", "v_edges"))
-add("C-04", lambda s, d: Q.components(view(s, d, "v_edges")), with_views("SELECT node, component FROM cc", "v_edges", **SPARSE, **CC))
-add("C-05", lambda s, d: Q.maximum_spanning_forest(view(s, d, "v_edges")).agg(F.count(F.lit(1)).alias("n")), with_views("SELECT count(*) - count(DISTINCT component) AS n FROM cc", "v_edges", **SPARSE, **CC))
+add("C-04", lambda s, d: Q.components(view(s, d, "v_edges")), with_views("SELECT node, component FROM cc", "v_edges", **EDGES, **CC))
+add("C-05", lambda s, d: Q.maximum_spanning_forest(view(s, d, "v_edges")).agg(F.count(F.lit(1)).alias("n")), with_views("SELECT count(*) - count(DISTINCT component) AS n FROM cc", "v_edges", **EDGES, **CC))
 add("C-06", lambda s, d: Q.leaf_branches(tree(s, d)), with_views("""SELECT leaf, here AS "end", length FROM (WITH RECURSIVE w AS (SELECT u AS a, v AS b, weight FROM t UNION ALL SELECT v, u, weight FROM t), deg AS (SELECT a AS node, count(*) AS k FROM w GROUP BY 1),
     walk(leaf, came, here, length) AS (SELECT w.a, w.a, w.b, w.weight FROM w JOIN deg ON deg.node = w.a AND k = 1 UNION ALL SELECT leaf, here, w.b, length + w.weight FROM walk JOIN deg ON deg.node = here AND k = 2 JOIN w ON w.a = here AND w.b <> came)
     SELECT walk.* FROM walk JOIN deg ON deg.node = here AND k <> 2)""", "v_segments", **TREE))
@@ -99,9 +100,9 @@ def normals(s, d):
     return L.shore_normals(p, pts)
 
 
-LOC = "SELECT c.line_id, c.point_id, c.chainage_m, c.{k} AS k, s.x0 + least((c.{k} - start) / length, 1) * (x1 - x0) AS x, s.y0 + least((c.{k} - start) / length, 1) * (y1 - y0) AS y FROM chain c JOIN seg60 s ON s.line_id = c.line_id AND c.{k} >= start AND (c.{k} < start + length OR pos = last)"
-NORMALS = {"seg60": "SELECT *, max(pos) OVER (PARTITION BY line_id) AS last FROM segs WHERE pos < 59",
-           "chain": "SELECT *, greatest(chainage_m - 5, 0) AS a, least(chainage_m + 5, total) AS b FROM (SELECT line_id, total, line_id * 10000 + i AS point_id, i * 500.0::DOUBLE AS chainage_m FROM (SELECT *, unnest(range(0, CAST(floor(total / 500) AS BIGINT) + 1)) AS i FROM (SELECT line_id, sum(length) AS total FROM seg60 GROUP BY 1)))",
+LOC = "SELECT c.line_id, c.point_id, c.chainage_m, c.{k} AS k, s.x0 + least((c.{k} - start) / length, 1) * (x1 - x0) AS x, s.y0 + least((c.{k} - start) / length, 1) * (y1 - y0) AS y FROM chain c JOIN whole s ON s.line_id = c.line_id AND c.{k} >= start AND (c.{k} < start + length OR pos = last)"
+NORMALS = {"whole": "SELECT *, max(pos) OVER (PARTITION BY line_id) AS last FROM segs",
+           "chain": "SELECT *, greatest(chainage_m - 5, 0) AS a, least(chainage_m + 5, total) AS b FROM (SELECT line_id, total, line_id * 10000 + i % 10000 + CAST(floor(i / 10000) AS BIGINT) * 70000 AS point_id, i * 500.0::DOUBLE AS chainage_m FROM (SELECT *, unnest(range(0, CAST(floor(total / 500) AS BIGINT) + 1)) AS i FROM (SELECT line_id, sum(length) AS total FROM whole GROUP BY 1)))",
            "la": LOC.format(k="a"), "lb": LOC.format(k="b"), "lc": LOC.format(k="chainage_m"),
            "nrm": "SELECT point_id, line_id, chainage_m, tx, ty, ty AS nx, -tx AS ny, (degrees(atan2(ty, -tx)) + 360) % 360 AS az FROM (SELECT la.point_id, la.line_id, la.chainage_m, (lb.x - la.x) / sqrt(pow(lb.x - la.x, 2) + pow(lb.y - la.y, 2)) AS tx, (lb.y - la.y) / sqrt(pow(lb.x - la.x, 2) + pow(lb.y - la.y, 2)) AS ty FROM la JOIN lb ON lb.point_id = la.point_id)"}
 NQ = VQ | SEGS | NORMALS
@@ -140,21 +141,11 @@ add("F-18", lambda s, d: L.parts_of(_parts(s, d).withColumn("natural", F.lit("co
 # ---- S: sources. Files are written to the shared folder first and read back. --------------------------------------------
 
 
-def scratch(s: SparkSession, name: str) -> str:
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = s.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else "file:///tmp/tidewright"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def collection(s, d, name):
     """The fixture's points as one GeoJSON file."""
     feature = S.feature_json(["point_id", "sea_side"], S.point_geometry())
     whole = view(s, d, "v_points").select(feature.alias("f")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
-    path = scratch(s, name)
+    path = shared_path(s, name)
     whole.coalesce(1).write.text(path)
     return path
 
@@ -209,7 +200,7 @@ for name in ("S-10", "S-11"):
 
 
 def _grid_file(s, d, name):
-    path = scratch(s, name)
+    path = shared_path(s, name)
     view(s, d, "v_grid").write.parquet(path)
     return S.read_grid(s, path, 37.0, 43.0, 38.0, 44.0).select("ix", "iy", "z")
 
@@ -219,7 +210,7 @@ for name in ("S-12", "S-13", "S-14"):
 
 
 def _csv(s, d):
-    path = scratch(s, "s16")
+    path = shared_path(s, "s16")
     view(s, d, "v_trace").write.option("header", "true").csv(path)
     return S.read_csv(s, path, "point_id long, direction int, fetch_m double")
 
@@ -232,7 +223,7 @@ add("S-18", lambda s, d: S.read_geojson(s, collection(s, d, "s18")).groupBy("geo
 
 
 def _round_trip(df, name, properties, geometry, by=None):
-    path = scratch(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name)
     S.write_geojson_lines(df, path, properties, geometry, by)
     return S.read_geojson_lines(df.sparkSession, path)
 
@@ -248,7 +239,7 @@ for name, by in (("K-02", "coastline_role"), ("K-03", None), ("K-16", None)):
 
 
 def _weather_files(s, d):
-    path = scratch(s, "k06")
+    path = shared_path(s, "k06")
     view(s, d, "v_wind").repartition(3, "point_id").write.parquet(path)
     return S.manifest(s.read.parquet(path)).agg(F.sum("n").alias("n"))
 
@@ -257,7 +248,7 @@ add("K-06", _weather_files, with_views("SELECT CAST(count(*) AS BIGINT) AS n FRO
 
 
 def _partitioned(df, name, by):
-    path = scratch(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name)
     df.repartition(by).write.partitionBy(by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -268,7 +259,7 @@ add("K-09", lambda s, d: S.read_csv(s, _saved_csv(s, traced(s, d).where("azimuth
 
 
 def _saved_csv(s, df, name):
-    path = scratch(s, name) + ".csv"
+    path = shared_path(s, name) + ".csv"
     S.save(df, path, [], F.lit(None))
     return path
 
@@ -278,7 +269,7 @@ add("K-12", lambda s, d: S.profile_csv_rows(view(s, d, "v_points").select((F.col
 
 
 def _daily_file(s, d):
-    path = scratch(s, "k13")
+    path = shared_path(s, "k13")
     daily(s, d).write.parquet(path)
     return s.read.parquet(path).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"))
 

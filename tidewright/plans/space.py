@@ -184,8 +184,8 @@ def _service(s, d):
 
 
 _at = {"lat": "lat", "lon": "lon", "az": "direction"}
-TRANSECT = f"SELECT point_id, direction, step, distance_m, {LAM.format(**_at)} AS lon, lat2 AS lat FROM (SELECT *, {SPHERE.format(**_at)} AS lat2 FROM (SELECT point_id, lon, lat, a::DOUBLE AS direction, i AS step, i * (20000.0::DOUBLE / 19) AS distance_m, i * (20000.0::DOUBLE / 19) / 6371000.0 AS dd FROM v_points, (VALUES (45.0), (225.0)) v(a), range(20) r(i) WHERE point_id % 10 = 0))"
-add("B-13", _service, with_views("SELECT t.point_id, t.direction, CAST(t.step AS INTEGER) AS step, round(t.distance_m, 4) AS distance_m, round(z, 4) AS z, outside FROM transect t JOIN bi ON bi.point_id = t.point_id * 100000 + CAST(t.direction AS BIGINT) * 100 + t.step", "v_points", "v_grid", transect=TRANSECT, keyed="SELECT point_id * 100000 + CAST(direction AS BIGINT) * 100 + step AS point_id, lon, lat FROM transect", bi=BILINEAR.format(p="keyed")))
+TRANSECT = f"SELECT point_id, direction, step, distance_m, {LAM.format(**_at)} AS lon, lat2 AS lat FROM (SELECT *, {SPHERE.format(**_at)} AS lat2 FROM (SELECT point_id, lon, lat, a::DOUBLE AS direction, i AS step, i * (20000.0::DOUBLE / 199) AS distance_m, i * (20000.0::DOUBLE / 199) / 6371000.0 AS dd FROM v_points, (VALUES (45.0), (225.0)) v(a), range(200) r(i)))"
+add("B-13", _service, with_views("SELECT t.point_id, t.direction, CAST(t.step AS INTEGER) AS step, round(t.distance_m, 4) AS distance_m, round(z, 4) AS z, outside FROM transect t JOIN bi ON bi.point_id = t.point_id * 1000000 + CAST(t.direction AS BIGINT) * 1000 + t.step", "v_points", "v_grid", transect=TRANSECT, keyed="SELECT point_id * 1000000 + CAST(direction AS BIGINT) * 1000 + step AS point_id, lon, lat FROM transect", bi=BILINEAR.format(p="keyed")))
 add("K-11", lambda s, d: view(s, d, "v_profile").select("profile_id", "step", B.sea_land_split("z")[0].alias("sea"), B.sea_land_split("z")[1].alias("land")), with_views("SELECT profile_id, step, CASE WHEN z < 0 THEN z END AS sea, CASE WHEN z >= 0 THEN z END AS land FROM v_profile", "v_profile"))
 add("S-15", lambda s, d: view(s, d, "v_points").select("point_id", B.source_for_box(F.col("lat") - F.col("point_id") % 40, F.col("lon"), F.col("lat"), F.col("lon") + F.col("point_id") % 9).alias("source")), with_views("SELECT point_id, CASE WHEN lat - point_id % 40 >= 15 AND lon >= -36 AND lat <= 90 AND lon + point_id % 9 <= 43 THEN 'EMODnet_WCS' ELSE 'GEBCO_OpenTopography' END AS source FROM v_points", "v_points"))
 add("S-19", lambda s, d: view(s, d, "v_points").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east")), with_views("SELECT min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east FROM v_points", "v_points"))

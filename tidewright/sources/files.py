@@ -6,7 +6,7 @@ need codecs outside this environment (shapefile, GeoPackage, PBF, GeoTIFF, NetCD
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENCODINGS = ("utf-8", "utf-8", "windows-1251", "iso-8859-1")
@@ -203,6 +203,7 @@ def tolerance_label(t: Column | str) -> Column:
 
 
 def north_up(grid: DataFrame, nodata: float = -9999.0) -> DataFrame:
-    """row (from the north) and its values as an array, null as nodata."""
+    """row (from the north, of a grid that has every iy) and its values as an array, null as nodata."""
     rows = grid.groupBy("iy").agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "z"))), lambda c: F.coalesce(c["z"], F.lit(nodata))).alias("z"))
-    return rows.select((F.row_number().over(Window.orderBy(F.desc("iy"))) - 1).alias("row"), "z")  # one row per grid row
+    top = grid.agg(F.max("iy").alias("top"))  # one row
+    return rows.crossJoin(F.broadcast(top)).select((F.col("top") - F.col("iy")).alias("row"), "z")
