@@ -83,26 +83,53 @@ def test_quality_hash_collisions_change_nothing():
     assert sorted(where[times[group] > 1]) == [0, 5]
 
 
-def test_encoder_equals_the_tokenizer():
+def reference_ids(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     reference.encode_special_tokens = True
-    texts = ["", " ", "a", "a  b", " a", "a\n\nb", "a \nb", "x\ty", "it's 12\n3 é ü 東京 a", "a b.\nc d", "z " * 300, "no break", "end\n"]
-    found = packing.Encoder().encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    return [np.array(e.ids, "<u4").tobytes() for e in reference.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_packer_places_every_token_once():
-    r, pieces = random.Random(5), []
-    packer = packing.Packer(lambda *x: pieces.append(x), window=64)
-    docs = {i: np.array(r.choices(range(1000), k=r.choice([1, 5, 63, 64, 65, 200])), "<u4").tobytes() for i in range(300)}
+def test_encoder_equals_the_tokenizer():
+    texts = ["", " ", "a", "a  b", " a", "a\n\nb", "a \nb", "x\ty", "it's 12\n3 é ü 東京 a", "a b.\nc d", "z " * 300, "no break", "end\n", "<|endoftext|> a", "x 's 't it's"]
+    assert packing.Encoder().encode(texts) == reference_ids(texts)
+
+
+def test_encoder_equals_the_tokenizer_on_all_documents():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    encoder = packing.Encoder(cache_words=3000)
+    assert [x for i in range(0, len(texts), 50) for x in encoder.encode(texts[i : i + 50])] == reference_ids(texts)
+
+
+def test_encoder_equals_the_tokenizer_on_random_characters():
+    r = random.Random(9)
+    letters = " \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000ab1é東'’.,!<|>stre\U0001f600\u0301\u200b\xad" + " abc" * 5
+    texts = ["".join(r.choices(letters, k=r.randrange(1, 40))) for _ in range(5000)]
+    texts += ["".join(chr(r.choice([r.randrange(32, 0xD800), r.randrange(0xE000, 0x110000)])) for _ in range(30)) for _ in range(300)]
+    assert packing.Encoder().encode(texts) == reference_ids(texts)
+
+
+def random_ids(r, n):
+    return {i: np.array(r.choices(range(1000), k=r.choice([1, 5, 30, 63, 64, 65, 200])), "<u4").tobytes() for i in range(n)}
+
+
+def packed(docs, window=64):
+    pieces = []
+    packer = packing.Packer(lambda *x: pieces.append(x), window=window)
     for i, ids in docs.items():
         packer.add(i, ids)
     packer.finish()
+    return pieces
+
+
+def test_packer_places_every_token_once():
+    docs = random_ids(random.Random(5), 300)
     back, fills = {}, {}
-    for doc, start, ids, sequence, offset in sorted(pieces, key=lambda p: (p[0], p[1])):
+    for doc, start, ids, sequence, offset, _ in sorted(packed(docs), key=lambda p: (p[0], p[1])):
         assert len(back.setdefault(doc, b"")) == 4 * start
         back[doc] += ids
         fills.setdefault(sequence, []).append((offset, len(ids) // 4))
@@ -113,6 +140,46 @@ def test_packer_places_every_token_once():
             assert offset == at
             at += length
         assert at == 64 or at & (at - 1) == 0
+    assert packed({}) == []
+
+
+def test_packer_follows_the_sum_of_squares():
+    """Placement against a restatement that tries every level and adds up the squares."""
+    docs, window = random_ids(random.Random(6), 400), 64
+    open_, closed = [], []  # [fill, documents]
+    for i, ids in docs.items():
+        size = len(ids) // 4 % window
+        if not size:
+            continue
+        counts = {}
+        for fill, _ in open_:
+            counts[fill] = counts.get(fill, 0) + 1
+
+        def squares(level):
+            after = dict(counts)  # noqa: B023
+            if level:
+                after[level] -= 1
+            if level + size < window:  # noqa: B023
+                after[level + size] = after.get(level + size, 0) + 1  # noqa: B023
+            return sum(n * n for n in after.values())
+
+        levels = [k for k in sorted(counts) if k + size <= window]
+        best = min(levels, key=lambda k: (squares(k), k), default=0)
+        if not levels or squares(0) < squares(best):
+            open_.append([size, [i]])
+            continue
+        at = max(n for n, (fill, _) in enumerate(open_) if fill == best)
+        fill, held = open_.pop(at)
+        (closed if fill + size == window else open_).append([fill + size, [*held, i]])
+    found = {}
+    for doc, _, _, sequence, _, made_by in packed(docs):
+        if made_by == packing.PLACED:
+            found.setdefault(sequence, []).append(doc)
+    assert sorted(found.values()) == sorted(held for _, held in closed)
+    # of the windows that were still open all but the emptiest, which are given away, keep what they hold
+    ways = {p[3]: p[5] for p in packed(docs)}
+    topped = sum(w == packing.TOPPED for w in ways.values())
+    assert topped == sum(fill for fill, _ in open_) // window and len(found) > 3 * topped
 
 
 def test_warc_ranges_find_every_record_once():

@@ -2,9 +2,10 @@
 
 A document's whole windows stand alone. What remains of it goes, whole, into a partially filled window of that fill
 level which makes the sum of the squared counts of partially filled windows smallest; the counts are held in an array
-indexed by fill level, with opening a window as one more choice. At the end of a task the few windows still partially
-filled are laid out again, cutting where a window ends, and what is left over at the very end is cut into windows whose
-fills are powers of two, which need no padding.
+indexed by fill level, with opening a window as one more choice. At the end of a task the fullest of the windows still
+partially filled are topped up with what the emptiest hold, which is cut for that; all others stay as they were
+placed. What is left of one window at the very end is cut into windows whose fills are powers of two, which need no
+padding. The column made_by of the result says which way each window came about.
 
 Tokenising and packing happen in the task that reads the documents; nothing is shuffled, and a task holds the windows
 that are partially filled, not the documents.
@@ -12,10 +13,10 @@ that are partially filled, not the documents.
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,44 +39,43 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes.
+    """Token ids of texts by the `tokenizers` library, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's own pre-tokeniser never joins what stands on the two sides of a single blank or line feed between
-    two words; the blank goes with the word after it, the line feed stands alone. So a text is cut there and the ids of
-    each piece are remembered; texts with any other white space are encoded whole. Pieces not met before are encoded
-    together, and the ids are dealt to them by their lengths in bytes.
+    two words; the blank goes with the word after it, the line feed stands alone. So a text is cut there and the ids
+    that the tokenizer gives for each piece are remembered; texts with any other white space are encoded whole.
     """
 
     def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
-        import public_tokenizers
-        import tiktoken
-
-        with open(path or vocabulary_path("byte_bpe_50k.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            self._lengths[rank] = len(token)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path or vocabulary_path("byte_bpe_50k.json"))
+        self._tokenizer.encode_special_tokens = True  # names of special tokens in a text are text
+        self._lengths = np.zeros(self._tokenizer.get_vocab_size(), np.int64)  # in bytes: the vocabulary spells a byte as a character
+        for token, i in self._tokenizer.get_vocab().items():
+            self._lengths[i] = len(token)
+        self._encode = lambda texts: self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         self._most, self._later, self._first, self._newline = cache_words, {}, {}, self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self._encode(text), dtype="<u4").tobytes()
+        return np.array(self._encode([text])[0].ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that follow a blank."""
-        ids = np.array(self._encode("".join([" " + p for p in pieces])), dtype="<u4")
+    def _learn(self, known: dict[str, bytes], pieces: list[str], before: str, skip: int) -> None:
+        """Ids of pieces that follow the character before, without the first `skip`: encoded in one text, dealt by their lengths."""
+        ids = np.array(self._encode(["".join([before + p for p in pieces])])[0].ids, dtype="<u4")
         ends = np.cumsum(self._lengths[ids])
         cuts = np.searchsorted(ends, np.cumsum([len(p.encode("utf-8", "replace")) + 1 for p in pieces]), side="left") + 1
         data, start = ids.tobytes(), 0
         for piece, end in zip(pieces, (4 * cuts).tolist(), strict=True):
-            self._later[piece] = data[start:end]
+            known[piece] = data[start + 4 * skip : end]
             start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self._later) + len(self._first) > self._most:
             self._later.clear()
             self._first.clear()
-        later, first, cut, new = self._later, self._first, [], {}
+        later, first, cut, new, new_first = self._later, self._first, [], {}, {}
         for text in texts:
             if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)):
                 cut.append(None)
@@ -83,6 +83,8 @@ class Encoder:
             lines = []
             for line in text.split("\n"):
                 head, *rest = line.split(" ")
+                if head not in first:
+                    new_first[head] = None
                 found = list(map(later.get, rest))
                 if None in found:
                     new.update(dict.fromkeys(p for p, f in zip(rest, found, strict=True) if f is None))
@@ -91,18 +93,15 @@ class Encoder:
                     lines.append((head, None, found))
             cut.append(lines)
         if new:
-            self._learn(list(new))
+            self._learn(later, list(new), " ", 0)
+        if new_first:
+            self._learn(first, list(new_first), "\n", 1)
         out = []
         for text, lines in zip(texts, cut, strict=True):
             if lines is None:
                 out.append(self.whole(text) if text else b"")
                 continue
-            parts = []
-            for head, rest, found in lines:
-                ids = first.get(head)
-                if ids is None:
-                    ids = first[head] = self.whole(head)
-                parts.append(ids + b"".join(found if rest is None else map(later.__getitem__, rest)))
+            parts = [first[head] + b"".join(found if rest is None else map(later.__getitem__, rest)) for head, rest, found in lines]
             out.append(self._newline.join(parts))
         return out
 
@@ -110,18 +109,22 @@ class Encoder:
         return self.encode([text])[0]
 
 
+#: How a window came about: a document's own whole window; pieces placed whole; placed, then topped up; the cut rest.
+WHOLE, PLACED, TOPPED, REST = MADE_BY = ("whole", "placed", "topped", "rest")
+
+
 class Packer:
-    """Places pieces into windows. emit(doc, start, ids, sequence, offset) gets every piece once its place is final."""
+    """Places pieces into windows. emit(doc, start, ids, sequence, offset, made_by) gets every piece once its place is final."""
 
-    def __init__(self, emit: Callable[[int, int, bytes, int, int], None], first_sequence: int = 0, window: int = WINDOW):
+    def __init__(self, emit: Callable[[int, int, bytes, int, int, str], None], first_sequence: int = 0, window: int = WINDOW):
         self.emit, self.window, self.next = emit, window, first_sequence
         self.counts = np.zeros(window + 1, dtype=np.int64)  # of partially filled windows, by fill level
         self.open: dict[int, list[list[tuple[int, int, bytes]]]] = {}
 
-    def _close(self, pieces: list[tuple[int, int, bytes]]) -> None:
+    def _close(self, pieces: list[tuple[int, int, bytes]], made_by: str) -> None:
         offset = 0
         for doc, start, ids in pieces:
-            self.emit(doc, start, ids, self.next, offset)
+            self.emit(doc, start, ids, self.next, offset, made_by)
             offset += len(ids) // 4
         self.next += 1
 
@@ -142,7 +145,7 @@ class Packer:
         """All ids of one document."""
         total, window = len(ids) // 4, self.window
         for start in range(0, total - total % window, window):
-            self._close([(doc, start, ids[4 * start : 4 * (start + window)])])
+            self._close([(doc, start, ids[4 * start : 4 * (start + window)])], WHOLE)
         size = total % window
         if not size:
             return
@@ -158,31 +161,40 @@ class Packer:
             pieces = []
         pieces.append(piece)
         if level + size == window:
-            self._close(pieces)
+            self._close(pieces, PLACED)
         else:
             self.open.setdefault(level + size, []).append(pieces)
             self.counts[level + size] += 1
 
     def finish(self) -> None:
-        """Lays out the partially filled windows again: full ones, then powers of two."""
-        rest = [piece for level in sorted(self.open, reverse=True) for pieces in self.open[level] for piece in pieces]
-        left = sum(len(ids) // 4 for _, _, ids in rest)
+        """Tops up the fullest partially filled windows with what the emptiest hold; powers of two at the very end."""
+        held = deque((level, pieces) for level in sorted(self.open) for pieces in self.open[level])
         self.open, self.counts[:] = {}, 0
-        fills = [self.window] * (left // self.window) + [1 << k for k in range(self.window.bit_length() - 1, -1, -1) if (left % self.window) >> k & 1]
-        pieces, ends = [], list(accumulate(fills))
-        at = window_no = 0
-        for doc, start, ids in rest:
-            while ids:
-                room = ends[window_no] - at
-                part, ids = ids[: 4 * room], ids[4 * room :]
-                pieces.append((doc, start, part))
-                start, at = start + len(part) // 4, at + len(part) // 4
-                if at == ends[window_no]:
-                    self._close(pieces)
-                    pieces, window_no = [], window_no + 1
-
-
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+        giving: deque[tuple[int, int, bytes]] = deque()  # pieces of the emptiest window, which is being given away
+
+        def taken(tokens: int) -> list[tuple[int, int, bytes]]:
+            out = []
+            while tokens:
+                if not giving:
+                    giving.extend(held.popleft()[1])
+                doc, start, ids = giving.popleft()
+                out.append((doc, start, ids[: 4 * tokens]))
+                if len(ids) > 4 * tokens:
+                    giving.appendleft((doc, start + tokens, ids[4 * tokens :]))
+                tokens -= len(out[-1][2]) // 4
+            return out
+
+        left = sum(level for level, _ in held)
+        while held and left >= self.window:
+            level, pieces = held.pop()
+            self._close(pieces + taken(self.window - level), TOPPED)
+            left -= self.window
+        for k in range(self.window.bit_length() - 1, -1, -1):
+            if left >> k & 1:
+                self._close(taken(1 << k), REST)
+
+
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, made_by string, ids binary"
 FLUSH_ROWS = 20_000
 
 
@@ -198,10 +210,10 @@ def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool)
         left: dict[int, int] = {}  # tokens of each still to be emitted
         rows: list[tuple] = []
 
-        def emit(doc: int, start: int, ids: bytes, sequence: int, offset: int) -> None:
+        def emit(doc: int, start: int, ids: bytes, sequence: int, offset: int, made_by: str) -> None:
             doc_id, tokens = keys[doc]
             length = len(ids) // 4
-            rows.append((doc_id, start, length, zlib.crc32(ids), tokens, sequence, offset, ids if with_ids else None))
+            rows.append((doc_id, start, length, zlib.crc32(ids), tokens, sequence, offset, made_by, ids if with_ids else None))
             left[doc] -= length
             if not left[doc]:
                 del keys[doc], left[doc]
@@ -209,7 +221,8 @@ def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool)
         def flushed() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+            kinds = {"ids": pa.binary(), "made_by": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns, strict=True)], names=names)
 
         packer = Packer(emit, first_sequence=(context.partitionId() if context else 0) << 40, window=window)
         number = 0
@@ -232,12 +245,13 @@ def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool)
 
 
 def pack_documents(docs: DataFrame, *, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, made_by and, if asked for, ids.
 
     docs needs doc_id and text; other columns are ignored. A document's tokens are its text's (none for null or empty
     text) and end_id; each lies in exactly one piece. Pieces of a sequence follow one another from offset 0. A sequence
     has at most `window` tokens and is to be padded to that, except where its fill is a power of two. Repeated rows are
-    packed each for itself. An empty table gives an empty result. Sequence ids are unique, not gapless.
+    packed each for itself; rows without a doc_id too. A very long text is many windows. An empty table gives an empty
+    result. Sequence ids are unique, not gapless.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = texts.mapInArrow(pack_rows(window, end_id, vocabulary, with_ids), SCHEMA)
