@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_path, written
+
 #: Words and white space of the contracts: runs of characters other than the six ASCII white-space ones.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
@@ -18,28 +18,33 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share.
-
-    The cluster names that folder in spark.checkpoint.dir; where it is unset (as in tests) one is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-            spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and base.startswith("/"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder all executors share."""
+    return shared_path(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)
+
+
+#: A group is hot if it holds more than one in so many rows; so there are at most as many hot groups.
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str]) -> DataFrame:
+    """rows with the columns of groups (a row for each value of keys; size: its number of rows), null where there is none.
+
+    The rows of a hot group would all be dealt to one task. Hot groups are HOT_GROUPS at most whatever the input, so they
+    are broadcast; their rows are dealt out by the columns `spread`, and only the others by their keys. groups is read
+    several times: it should be a written table.
+    """
+    values = [c for c in groups.columns if c not in keys]
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    held = groups.where(F.col(size) * HOT_GROUPS > total).select(*keys, F.struct(*values).alias("_hot"))
+    marked = rows.join(F.broadcast(held), keys, "left").withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1))
+    cold = groups.where(F.col(size) * HOT_GROUPS <= total).select(*keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_spread"))
+    joined = marked.withColumn("_spread", F.col("_spread").cast("long")).join(cold.hint("merge"), [*keys, "_spread"], "left")
+    return joined.withColumn("_found", F.coalesce("_hot", "_cold")).select(*rows.columns, "_found.*")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,13 @@
-"""Connected components of a graph held as a table of edges."""
+"""Connected components of a graph held as a table of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..operators.graph import components
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, label for every node of edges (src, dst); label is the smallest node of the component.
-
-    Each round takes the smallest label among a node's neighbours, then the label of that label (pointer jumping), so
-    the rounds grow with the logarithm of a component's width. Only minima are aggregated, so a node with very many
-    neighbours is combined map-side; a round's table is written to the shared folder, which cuts the lineage.
-    """
-    links = edges.select("src", "dst").where("src <> dst")
-    links = materialize(links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
-    labels = links.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("near")).select("node", F.least("node", "near").alias("label"))
-    labels = materialize(labels, "labels")
-    while True:
-        near = links.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        # the label of the label is looked up in the table before this round: it is never larger
-        moved = step.join(jump, "label").select("node", "was", F.least("label", "further").alias("label"))
-        moved = materialize(moved, "labels")
-        labels = moved.select("node", "label")
-        if moved.where("was <> label").limit(1).count() == 0:
-            return labels
+def connected_components(links: DataFrame) -> DataFrame:
+    """node, label for every node of links (src, dst); label is the smallest node of the component."""
+    return components(links.select(F.col("src").alias("u"), F.col("dst").alias("v"))).select("node", F.col("component").alias("label"))

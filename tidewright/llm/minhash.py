@@ -1,14 +1,17 @@
 """Near-duplicate classes by DartMinHash signatures, banded candidates and exact verification.
 
 Signatures: hashed darts are thrown at the plane of (element, weight, rank). A dart counts for a document if it lands
-under the element's weight there; each dart belongs to one coordinate of the signature, and of a coordinate's darts the
-one of lowest rank is kept. Two documents agree in a coordinate with the probability of their weighted Jaccard
-similarity. The work is in proportion to the elements plus the coordinates, not to their product.
-
-Documents with the same set of shingles are one from the start. The others are grouped by bands of their signatures;
-each bucket links its documents to its smallest, and what these links connect is a cluster. Inside clusters all pairs
-are decided exactly from the shingle sets, through an inverted index, so whether a link is found rests on the bands
-only (see `missed`). A cluster larger than a block is cut into blocks, and every pair of blocks is a task of its own.
+under the element's weight there, which is how often the shingle occurs; each dart belongs to one coordinate of the
+signature, and of a coordinate's darts the one of lowest rank is kept. Two documents agree in a coordinate with the
+probability of their weighted Jaccard similarity. The work is in proportion to the elements plus the coordinates, not
+to their product.
+
+Documents with the same multiset of shingles are one from the start. The others are grouped by bands of their
+signatures, and links are decided exactly from the shingle counts, so whether one is found rests on the bands only (see
+`missed`). First each document of a bucket is compared with the smallest one there, which is linear in the documents;
+what these links connect is a class already. Only in buckets that still hold several classes are documents of
+different classes compared with one another: clusters of such buckets are cut into blocks, and every pair of blocks is
+a task of its own, with an inverted index of shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, batch_texts, documents, materialize, mix64, numbered, runs_of_texts
+from .common import ROW, batch_texts, documents, join_groups, materialize, mix64, numbered, runs_of_texts
 from .components import connected_components
 
 WORDS = 5
@@ -60,6 +63,15 @@ def _rank_cells() -> Iterator[tuple[float, float]]:
         low, high = high, high + min(max(high, _FIRST), _LONGEST)
 
 
+def _weight_cells(most: float) -> Iterator[tuple[float, float]]:
+    """Start and height of the cells of the weight axis below `most`: 0, 1, 2, 4, 8, ..."""
+    yield 0.0, 1.0
+    base = 1.0
+    while base < most:
+        yield base, base
+        base *= 2
+
+
 def _constant(*parts: int) -> np.uint64:
     x = _SEED
     for part in parts:
@@ -97,10 +109,11 @@ class DartMinHash:
 
     def _throw(self, elements, owner, weights, reach, best) -> None:
         limit = reach[owner]
-        for level in range(int(math.ceil(weights.max()))):  # unit cells of the weight axis
-            here = np.flatnonzero(weights > level)
+        for level, (base, height) in enumerate(_weight_cells(float(weights.max()))):
+            here = np.flatnonzero(weights > base)
             for number, (low, high) in enumerate(_rank_cells()):
-                here = here[limit[here] > low]
+                # a higher cell of the weight axis has shorter cells of the rank axis: areas stay the same
+                here = here[limit[here] * height > low]
                 if not len(here):
                     break
                 area = high - low
@@ -113,13 +126,15 @@ class DartMinHash:
                     continue
                 nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
                 h = mix64(elements[at] + mix64((nth.astype(np.uint64) + np.uint64(1)) * _constant(level, number, 1)))
-                rank = low + area * ((h >> np.uint64(32)).astype(np.float64) / (1 << 32))
+                rank = (low + area * ((h >> np.uint64(32)).astype(np.float64) / (1 << 32))) / height
                 h = mix64(h + np.uint64(_SEED))
-                height = level + (h & np.uint64(0xFFFFFFFF)).astype(np.float64) / (1 << 32)
-                ok = (rank < limit[at]) & (height < weights[at])
+                tall = base + height * (h & np.uint64(0xFFFFFFFF)).astype(np.float64) / (1 << 32)
+                ok = (rank < limit[at]) & (tall < weights[at])
                 at, rank, h = at[ok], rank[ok], h[ok]
                 coordinate = (((h >> np.uint64(32)) * np.uint64(self.k)) >> np.uint64(32)).astype(np.int64)
-                code = ((rank * (1 << 20)).astype(np.uint64) << np.uint64(32)) | (mix64(h + np.uint64(1)) >> np.uint64(32))
+                # the bits of a positive float order as it does, whatever its size
+                upper = rank.astype(np.float32).view(np.uint32).astype(np.uint64)
+                code = (upper << np.uint64(32)) | (mix64(h + np.uint64(1)) >> np.uint64(32))
                 np.minimum.at(best, owner[at] * self.k + coordinate, code)
 
 
@@ -187,25 +202,25 @@ def signature_rows(words: int, bands: int, rows: int, weighted: bool) -> Callabl
 
 
 def set_rows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the shingle set (and counts) of text, in place of text."""
+    """node, text -> node, its shingles and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             for a, b in runs_of_texts(texts := batch_texts(batch.column("text")), 4 << 20):
                 sets = [shingle(t) for t in texts[a:b]]
-                arrays = [batch.column(c).slice(a, b - a) for c in ("unit", "part", "doc_id")]
                 blobs = [pa.array([s.astype("<u8").tobytes() for s, _ in sets], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays + blobs, names=["unit", "part", "doc_id", "shingles", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), *blobs], names=["node", "shingles", "counts"])
 
     return run
 
 
-def similar_links(sets: list[np.ndarray], counts: list[np.ndarray], similarity: float, weighted: bool, first: int) -> list[tuple[int, int]]:
+def similar_links(sets: list[np.ndarray], counts: list[np.ndarray], similarity: float, weighted: bool, first: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links enough to connect what pairs of at least this similarity connect.
 
     Pairs inside the first `first` sets, and inside the rest, are left out where both parts are given (first > 0): other
-    tasks have these. With first = 0 all pairs count. Every pair that shares a shingle is counted exactly.
+    tasks have these. With first = 0 all pairs count. Every pair that shares a shingle is counted exactly. known: the
+    classes of the sets so far; links inside one are not needed.
     """
     n = len(sets)
     sizes = np.array([int(c.sum()) if weighted else len(s) for s, c in zip(sets, counts, strict=True)], dtype=np.int64)
@@ -223,6 +238,9 @@ def similar_links(sets: list[np.ndarray], counts: list[np.ndarray], similarity:
             x = parent[x]
         return x
 
+    named: dict[int, int] = {}
+    for x, label in enumerate(known or ()):
+        parent[x] = named.setdefault(label, x)
     links = []
     for x in range(max(1, first), n):
         own = number[ends[x] : ends[x + 1]]
@@ -248,42 +266,67 @@ def similar_links(sets: list[np.ndarray], counts: list[np.ndarray], similarity:
 
 def link_groups(similarity: float, weighted: bool) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("part", "ascending"), ("doc_id", "ascending")])
-        ids = table.column("doc_id").to_pylist()
+        table = table.sort_by([("part", "ascending"), ("node", "ascending")])
+        ids = table.column("node").to_pylist()
         sets = [np.frombuffer(x, "<u8").astype(np.uint64) for x in table.column("shingles").to_pylist()]
         counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
+        known = table.column("known").to_pylist()
         first = sum(p == 0 for p in table.column("part").to_pylist()) if table.column("part")[0].as_py() >= 0 else 0
-        links = similar_links(sets, counts, similarity, weighted, first) if len(ids) > 1 and (first < len(ids)) else []
+        links = similar_links(sets, counts, similarity, weighted, first, known) if len(set(known)) > 1 and first < len(ids) else []
         return pa.table({"src": pa.array([ids[a] for a, _ in links], pa.int64()), "dst": pa.array([ids[b] for _, b in links], pa.int64())})
 
     return run
 
 
+LINKS = "src long, dst long"
+
+
 def near_classes(
-    docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, block: int = BLOCK
+    docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, block: int = BLOCK
 ) -> DataFrame:
     """Per row: doc_id, class_id, class_size, kept.
 
     docs needs doc_id and text; other columns are ignored. class_id is the smallest doc_id of all documents that links
-    of at least `similarity` connect; similarity is that of the sets of shingles, or of the multisets if weighted. A
-    text without a word is a class of its own; one of fewer words than a shingle has one shingle. Repeated rows share a
-    class; all rows with the smallest doc_id are kept. Rows with a null doc_id are classes of their own (class_id null).
-    An empty table gives an empty result.
+    of at least `similarity` connect; similarity is that of the multisets of shingles, or of the sets if not weighted. A
+    text without a word (null, empty or blank) is a class of its own; one of fewer words than a shingle has one shingle.
+    Very long texts have all their shingles. Repeated rows share a class; all rows with the smallest doc_id are kept.
+    Rows that share a doc_id but not the text are joined through it. Rows with a null doc_id are classes of their own
+    (class_id null, class_size 1). An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = texts.mapInArrow(signature_rows(words, bands, rows, weighted), "doc_id long, mark_a long, mark_b long, n_shingles int, bands array<long>")
     signed = materialize(signed, "signatures")
-    # equal sets are one node, named by their smallest document
-    nodes = signed.where("mark_a is not null and doc_id is not null").groupBy("mark_a", "mark_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
-    nodes = materialize(nodes, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    marks = ["mark_a", "mark_b", "n_shingles"]
+    # equal multisets are one node, named by their smallest document
+    nodes = signed.where("mark_a is not null and doc_id is not null").groupBy(*marks)
+    nodes = materialize(nodes.agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("copies")), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("band")).distinct()
     buckets = banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    candidates = banded.join(buckets, "band").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst")).distinct()
-    clusters = connected_components(candidates)
-
-    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = clusters.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a node for each bucket that it shares; nodes of several texts under one doc_id are one node here
+    shared = materialize(banded.join(buckets, "band").select("band", "first", "node"), "shared-bands")
+    stars = shared.where("node <> first").select("first", "node").distinct()
+
+    wanted = shared.select("node").distinct()
+    sets = texts.withColumnRenamed("doc_id", "node").join(wanted.hint("merge"), "node", "left_semi").mapInArrow(set_rows(words), "node long, shingles binary, counts binary")
+    sets = materialize(sets, "shingle-sets")
+    # the smallest node of a bucket against the others, in units of a block
+    sizes = stars.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    placed = stars.join(sizes, "first").select("first", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)).alias("own"))
+    unit = F.concat_ws("/", "first", "own")
+    units = placed.select(unit.alias("unit"), F.lit(1).alias("part"), "node").union(placed.select(unit.alias("unit"), F.lit(0).alias("part"), F.col("first").alias("node")).distinct())
+    met = units.join(sets.hint("merge"), "node").withColumn("known", F.col("node"))
+    found = materialize(met.groupBy("unit").applyInArrow(link_groups(similarity, weighted), LINKS), "star-links")
+    classes = connected_components(found)
+
+    # buckets whose nodes are of several classes: clusters of them, in blocks
+    named = shared.join(classes, "node", "left").select("band", "node", F.coalesce("label", "node").alias("known"))
+    open_ = named.groupBy("band").agg(F.min("known").alias("least"), F.max("known").alias("most")).where("least <> most")
+    waiting = materialize(named.join(open_.select("band", "least"), "band").select("node", "known", "least").distinct(), "open-bands")
+    clusters = connected_components(waiting.select(F.col("least").alias("src"), F.col("known").alias("dst")))
+    members = waiting.select("node", "known").distinct().join(clusters.select(F.col("node").alias("known"), "label"), "known")
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     # a pair of blocks (i, j), i <= j, is a unit; part -1: all pairs inside the unit, 0 and 1: pairs across the parts only
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(
@@ -291,23 +334,24 @@ def near_classes(
             F.when(j == F.col("own"), -1).when(F.col("own") < j, 0).otherwise(1).alias("part"),
         ),
     )
-    units = placed.select("node", F.explode(others).alias("at")).select(F.col("node").alias("doc_id"), "at.unit", "at.part")
-    units = units.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "part")).alias("units"))
-    chosen = texts.join(units.hint("merge"), "doc_id").select("doc_id", "text", F.explode("units").alias("at")).select("at.unit", "at.part", "doc_id", "text")
-    sets = chosen.mapInArrow(set_rows(words), "unit string, part int, doc_id long, shingles binary, counts binary")
-    links = sets.groupBy("unit").applyInArrow(link_groups(similarity, weighted), "src long, dst long")
-    classes = connected_components(materialize(links, "near-links"))
+    units = members.join(sizes, "label").withColumn("own", own).select("node", "known", others.alias("units"))
+    met = units.join(sets.hint("merge"), "node").select("node", "known", "shingles", "counts", F.explode("units").alias("at")).select("node", "known", "shingles", "counts", "at.unit", "at.part")
+    more = materialize(met.groupBy("unit").applyInArrow(link_groups(similarity, weighted), LINKS), "block-links")
+    classes = connected_components(found.union(more))
 
-    named = signed.join(nodes.select("mark_a", "mark_b", "n_shingles", "node"), ["mark_a", "mark_b", "n_shingles"], "left")
-    named = named.join(classes, "node", "left").select("doc_id", F.coalesce("label", "node", "doc_id").alias("class_id"))
-    counts = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return named.join(counts, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), (F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))).alias("kept"))
+    groups = materialize(nodes.join(classes, "node", "left").select(*marks, F.coalesce("label", "node").alias("class_id"), "copies"), "near-groups")
+    sums = materialize(groups.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "near-classes")
+    groups = materialize(groups.join(sums, "class_id"), "near-groups")
+    named = signed.select("doc_id", *[F.when(F.col("doc_id").isNotNull(), F.col(m)).alias(m) for m in marks], F.monotonically_increasing_id().alias("_n"))
+    out = join_groups(named, groups, marks, "copies", ["_n"])
+    class_id = F.coalesce("class_id", "doc_id")
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
 def keep_near(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, one of each near-duplicate class: that with the smallest doc_id (null last).
 
-    Classes are of rows, so rows may share a doc_id or have none. docs is read more than once, and has to give its rows
+    Texts without a word are no copies of one another. Classes are of rows, so rows may share a doc_id or have none. docs is read more than once, and has to give its rows
     in the same order each time, as a written table does.
     """
     rows = numbered(docs)
