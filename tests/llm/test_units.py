@@ -19,6 +19,8 @@ def test_fingerprints_combine():
     joined = whole.combine(left, right, 63)
     assert joined[0] << 31 | joined[1] == whole.of(text)
     assert whole.of(b"") == 0 != whole.of(b"\0")
+    terms = [whole.shifted(whole.of_chunk(text[i : i + 30]), max(0, 70 - i)) for i in (60, 0, 90, 30)]
+    assert sum(a for a, _ in terms) % whole.primes[0] << 31 | sum(b for _, b in terms) % whole.primes[1] == whole.of(text)
 
 
 @pytest.mark.parametrize("letters", [b"ab", b"abcdefgh"])
