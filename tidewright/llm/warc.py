@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, scratch_path
+from .common import join_groups, materialize, partitions, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 64 << 20
@@ -88,22 +88,28 @@ def writer_of(folder: str, file_bytes: int) -> Callable[[Iterator[pa.RecordBatch
 
 
 def with_record_types(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """pages (page_id, url, html) with record_type and refers_to; html null becomes empty.
+    """pages (page_id, url, html) with record_type and refers_to; other columns are ignored, html null becomes empty.
 
     Of the pages with equal payloads of at least min_revisit_bytes the one with the largest page_id (null counts as the
-    smallest) is the response, the others revisit it; a row that repeats the largest page_id is a revisit too.
+    smallest) is the response, the others revisit it; a row that repeats the largest page_id is a revisit too. A page
+    whose payload occurs once is a response. An empty table gives an empty result. pages is read twice, and has to give
+    its rows in the same order each time, as a table does.
+
+    Only digests that occur twice are looked up, and the pages of a payload that very many share are spread (see
+    common.join_groups), so that no writer gets all of them.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("row", F.monotonically_increasing_id())
-    keyed = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
+    keyed = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
     best = F.max(F.struct(F.col("page_id").isNotNull(), F.col("page_id"), F.col("row")))
     groups = keyed.groupBy("digest", "size").agg(best.alias("best"), F.count(F.lit(1)).alias("copies"))
-    groups = groups.where(f"copies > 1 and size >= {int(min_revisit_bytes)}").select("digest", "size", F.col("best.page_id").alias("first_id"), F.col("best.row").alias("first_row"))
+    groups = groups.where(f"copies > 1 and size >= {int(min_revisit_bytes)}")
+    groups = materialize(groups.select("digest", "size", "copies", F.col("best.page_id").alias("first_id"), F.col("best.row").alias("first_row")), "repeated-payloads")
     revisits = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
-    return keyed.join(groups, ["digest", "size"], "left").select(
+    return join_groups(keyed, groups, ["digest", "size"], "copies", ["row"]).select(
         "page_id", "url", "html",
         F.when(revisits, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         F.when(revisits, F.col("first_id")).alias("refers_to"),
