@@ -235,7 +235,11 @@ def test_letters_only():
     assert language.ngram_counts("12 .,!") is None and language.ngram_counts("") is None
     a, b = language.ngram_counts("Ab, c"), language.ngram_counts("ab   C!")
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
-    assert len(toxicity.Featurizer(1 << 10)(None)) == 0
+    assert [len(x) for x in toxicity.Featurizer(1 << 10)(None)] == [0, 0]
+    words, pairs = toxicity.Featurizer(1 << 20)("One two one THREE")
+    assert len(set(words)) == 3 and len(pairs) == 3 + 2
+    index, value = toxicity.distinct(words, pairs)
+    assert len(index) == 8 and sorted(value) == [toxicity.PAIR] * 5 + [1.0] * 3
 
 
 def test_cut():

@@ -1,10 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression on hashed word n-grams and skip-grams.
 
-Features are the distinct words, their beginnings (which inflected and compound forms share), word pairs and pairs with
-one word between, hashed to `dims` numbers. A learning rate
-per coordinate and an L1 penalty leave few weights other than zero, and only these travel to the executors. The fit
-runs in one task on at most `train_rows` labelled documents (those whose id has the smallest md5); scoring is a pass
-over all documents without a shuffle.
+Features are the distinct words, word pairs and pairs with one word between, hashed to `dims` numbers; a word has the
+value 1, a pair the smaller value PAIR, so that words are learnt first and pairs correct them. A learning rate per
+coordinate and an L1 penalty leave few weights other than zero, and only these travel to the executors. The fit runs in
+one task on at most `train_rows` labelled documents (those whose id has the smallest md5; repeated ones count once);
+scoring is a pass over all documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from .linear import Ftrl
 
 DIMS = 1 << 20
 TRAIN_ROWS = 16000
-STEM = 5
+#: Value of a pair or skip pair beside a word's 1.
+PAIR = 0.3
 EPOCHS = 3
 CUT = 0.3
 _WORD = re.compile(r"\w+")
@@ -31,33 +32,39 @@ _MARKS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint6
 
 
 class Featurizer:
-    """Feature numbers of texts, one for every word, beginning, pair and skip pair (repeats included)."""
+    """Feature numbers of texts: those of the words, then those of pairs and skip pairs (repeats included)."""
 
     def __init__(self, dims: int, most_words: int = 500_000):
         self.shift, self.most, self.known = np.uint64(64 - dims.bit_length() + 1), most_words, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = _WORD.findall(text.lower()) if text else []
         if not words:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         known = self.known
         if len(known) > self.most:
             known.clear()
-        distinct = set(words)
-        for w in distinct.difference(known):
-            known[w] = (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), xxhash.xxh64_intdigest(w[:STEM].encode("utf-8", "surrogatepass"), 1))
-        h = np.array([known[w][0] for w in words], np.uint64)
-        stems = np.array([known[w][1] for w in distinct], np.uint64)
-        parts = [h * _MARKS[0], stems, h[:-1] * _MARKS[1] + h[1:], h[:-2] * _MARKS[2] + h[2:]]
-        return (mix64(np.concatenate(parts)) >> self.shift).astype(np.int64)
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        pairs = np.concatenate([h[:-1] * _MARKS[1] + h[1:], h[:-2] * _MARKS[2] + h[2:]])
+        return tuple((mix64(x) >> self.shift).astype(np.int64) for x in (h * _MARKS[0], pairs))
+
+
+def distinct(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature numbers and their values; a number that words and pairs share is a word's."""
+    index, first = np.unique(np.concatenate([words, pairs]), return_index=True)
+    return index, np.where(first < len(words), 1.0, PAIR)
 
 
 def feature_rows(dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer(dims)
         for batch in batches:
-            found = [np.unique(features(t.as_py())).astype("<u4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("toxic"), pa.array(found, pa.binary())], names=["draw", "toxic", "features"])
+            found = [distinct(*features(t.as_py())) for t in batch.column("text")]
+            # the sign tells a pair
+            blobs = [np.where(v == 1.0, i, -i - 1).astype("<i4").tobytes() for i, v in found]
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("toxic"), pa.array(blobs, pa.binary())], names=["draw", "toxic", "features"])
 
     return run
 
@@ -73,8 +80,8 @@ def fit_rows(dims: int, epochs: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         model = Ftrl(dims, 2, alpha=0.3, beta=1.0, l1=1.0, l2=0.5)
         for _ in range(epochs):
             for _, features, toxic in examples:
-                index = np.frombuffer(features, "<u4").astype(np.int64)
-                model.learn(index, np.ones(len(index)), int(toxic))
+                signed = np.frombuffer(features, "<i4").astype(np.int64)
+                model.learn(np.where(signed < 0, -signed - 1, signed), np.where(signed < 0, PAIR, 1.0), int(toxic))
         margin = model.weights()[:, 1] - model.weights()[:, 0]
         index = np.flatnonzero(margin)
         yield pa.RecordBatch.from_arrays([pa.array([index.astype("<u4").tobytes()], pa.binary()), pa.array([margin[index].astype("<f4").tobytes()], pa.binary())], names=["index", "weight"])
@@ -92,7 +99,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, dims: int = DIMS, train_
     chosen = known.withColumn("draw", F.md5(F.col("doc_id").cast("string"))).orderBy("draw", "doc_id").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").select("draw", "toxic", "text")  # train_rows rows at most
-    features = sample.mapInArrow(feature_rows(dims), "draw string, toxic int, features binary")
+    # rows that repeat a document count once, and texts that share an id are train_rows at most together with all others
+    features = sample.mapInArrow(feature_rows(dims), "draw string, toxic int, features binary").distinct().orderBy("draw", "features").limit(train_rows)
     found = features.repartition(1).mapInArrow(fit_rows(dims, epochs), "index binary, weight binary").collect()
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
@@ -107,9 +115,9 @@ def score_rows(model: tuple[np.ndarray, np.ndarray], dims: int, cut: float) -> C
         for batch in batches:
             scores = []
             for text in batch.column("text"):
-                index = features(text.as_py())
-                index = np.unique(index[heavy[index]])
-                margin = float(weights[dims]) + float(weights[index].sum(dtype=np.float64))
+                words, pairs = features(text.as_py())
+                index, value = distinct(words[heavy[words]], pairs[heavy[pairs]])
+                margin = float(weights[dims]) + float((weights[index] * value).sum(dtype=np.float64))
                 scores.append(float(1 / (1 + np.exp(-np.clip(margin, -500, 500)))))
             predicted = [int(s >= cut) for s in scores]
             yield pa.RecordBatch.from_arrays(
@@ -127,7 +135,8 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, dim
     """Per row: doc_id, held_out, score, predicted.
 
     docs needs doc_id and text; other columns are ignored. A null text counts as empty; an empty text gets the score of
-    the bias alone (0.5 if nothing was learnt). Repeated rows are scored alike; an empty table gives an empty result.
+    the bias alone (0.5 if nothing was learnt). Repeated rows are scored alike, rows without a doc_id like any other
+    (held_out false), very long texts whole. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_of().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score_rows(model, dims, cut), "doc_id long, held_out boolean, score double, predicted int")
