@@ -74,9 +74,10 @@ def _upto(found: list[bytes]) -> np.ndarray:
 
 def _hashes(found: list[bytes], starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(found)
-    marks = mix64(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n))
     hashes = []
-    for power, marks in ((0x9E3779B97F4A7C15, marks), (0xC2B2AE3D27D4EB4F, mix64(marks + np.uint64(1)))):  # noqa: B020
+    # every sentence is hashed with two seeds: what one confuses the other tells apart
+    for power, seed in ((0x9E3779B97F4A7C15, 0), (0xC2B2AE3D27D4EB4F, 0x5EED)):
+        marks = mix64(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in found), np.uint64, n))
         # prefix sums of mark * power ** position; a span's sum is shifted to position 0 by the inverse power
         powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, power, np.uint64)]))
         inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(power, -1, 1 << 64), np.uint64)]))
@@ -196,10 +197,15 @@ WITH pieces AS (
          sum(len(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY number) AS upto,
          len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS words
   FROM stripped WHERE body <> ''
+), onward AS (  -- up to the first sentence with which 6 words and 2 sentences are reached
+  SELECT a.doc_id, a.s, greatest(b.s + 1, a.s + 2) AS e
+  FROM sentences a ASOF JOIN sentences b ON a.doc_id = b.doc_id AND b.upto >= a.upto - a.words + 6
+), back AS (  -- from the last sentence from which they are reached
+  SELECT a.doc_id, least(b.s, a.s - 1) AS s, a.s + 1 AS e
+  FROM sentences a ASOF JOIN sentences b ON a.doc_id = b.doc_id AND b.upto - b.words <= a.upto - 6
+  WHERE a.s >= 1
 ), ends AS (
-  SELECT a.doc_id, a.s, greatest(min(b.s) + 1, a.s + 2) AS e
-  FROM sentences a ASOF JOIN sentences b ON a.doc_id = b.doc_id AND b.upto >= a.upto - a.words + 20
-  GROUP BY a.doc_id, a.s
+  SELECT * FROM onward UNION SELECT * FROM back UNION SELECT doc_id, s, s + 1 FROM sentences WHERE words >= 8
 ), spans AS (
   SELECT e.doc_id, e.s, e.e, string_agg(x.body, chr(1) ORDER BY x.s) AS body
   FROM ends e JOIN sentences x ON x.doc_id = e.doc_id AND x.s >= e.s AND x.s < e.e
