@@ -5,8 +5,8 @@ source's words up to and with it, divided by the source's target. A second pass
 clock. All passes of all sources are then ordered by finish time and taken until the total budget is reached.
 
 At scale: neither a source nor the final order is ever put into one task. Prefix sums inside a source are made in two
-levels (sums of hash ranges, then inside a range); the global cut is found from sums of finish-time bins, and only the
-one bin that the budget falls into is ordered row by row.
+levels (sums of hash ranges, then inside a range); the global cut is found from sums of finish-time bins, the bin that
+the budget falls into is cut into as many bins again, and only the one of these with the cut is ordered row by row.
 """
 
 from __future__ import annotations
@@ -53,6 +53,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     )
 
 
+def crossing_bin(passes: DataFrame, name: str) -> DataFrame:
+    """name, start: the bin (of passes: bin, size, budget, start) in which the sums from start on exceed the budget, and the sum before it.
+
+    A row of nulls if none does.
+    """
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row for each bin
+    filled = passes.groupBy("bin").agg(F.sum("size").alias("bin_size"), F.max("budget").alias("budget"), F.max("start").alias("start"))
+    filled = filled.withColumn("end", F.col("start") + F.sum("bin_size").over(upto)).where(F.col("end") > F.col("budget"))
+    return filled.agg(F.min("bin").alias(name), F.min(F.struct("bin", (F.col("end") - F.col("bin_size")).alias("start")))["start"].alias("start"))
+
+
 def mix_sources(
     docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, hash_digits: int = 3, bins: int = BINS
 ) -> DataFrame:
@@ -101,23 +112,21 @@ def mix_sources(
         "size", "budget",
         F.explode(F.array(*[F.struct(F.col(t).alias("time"), "absent", "name", "draw", "doc_id", F.lit(k).alias("pass"), F.col(b).alias("bin")) for k, (t, b) in enumerate(clocks)])).alias("at"),
     ).where(F.col("at.bin").isNotNull())
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most 2 * bins + 1 rows
-    filled = (
-        passes.groupBy(F.col("at.bin").alias("bin"))
-        .agg(F.sum("size").alias("bin_size"), F.max("budget").alias("budget"))
-        .withColumn("end", F.sum("bin_size").over(upto))
-    )
-    # the bin that the budget falls into; all bins before it are taken whole
-    crossing = filled.where(F.col("end") > F.col("budget")).agg(
-        F.min("bin").alias("cross"), F.min(F.struct("bin", (F.col("end") - F.col("bin_size")).alias("start")))["start"].alias("start")
-    )
-    in_bin = Window.partitionBy("at.bin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        passes.join(F.broadcast(crossing), F.col("at.bin") == F.col("cross"))  # one row
-        .withColumn("run", F.col("start") + F.sum("size").over(in_bin))
+    crossing = crossing_bin(passes.select(F.col("at.bin").alias("bin"), "size", "budget", F.lit(0).cast("long").alias("start")), "cross")
+    # that bin's share of a unit of time, in as many finer bins
+    finer = F.floor((F.col("at.time") * bins - F.col("cross")) * bins).cast("int")
+    inside = materialize(passes.join(F.broadcast(crossing), F.col("at.bin") == F.col("cross")).withColumn("fine", finer), "mix-crossing")  # one row is broadcast
+    fine = crossing_bin(inside.select(F.col("fine").alias("bin"), "size", "budget", "start"), "fine_cross").withColumnRenamed("start", "fine_start")
+    in_bin = Window.partitionBy("fine").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = (
+        inside.join(F.broadcast(fine), F.col("fine") == F.col("fine_cross"))  # one row
+        .withColumn("run", F.col("fine_start") + F.sum("size").over(in_bin))
         .where(F.col("run") <= F.col("budget"))
-        .agg(F.max("at").alias("last"))
+        .select("at")
     )
+    # all of the finer bins before, and what fits of the last
+    before = inside.join(F.broadcast(fine), F.col("fine") < F.col("fine_cross")).select("at")
+    last = ordered.union(before).agg(F.max("at").alias("last"))
     cut = F.broadcast(crossing.select("cross").crossJoin(F.broadcast(last)))  # one row each
     count = sum(
         F.when(F.col(b).isNull(), 0)
@@ -136,7 +145,12 @@ def mix_sources(
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix passes over it; without row numbers in both, rows that share a doc_id share the decision."""
+    """The rows of docs, each as often as the mix passes over it.
+
+    With row numbers (`common.numbered`) in both tables every row has its own decision, rows without a doc_id and rows
+    that share one too. Without them rows that share a doc_id share the decision, and rows without a doc_id go. Empty
+    texts have no words and are passed over like others; an empty table gives an empty result.
+    """
     key = ROW if ROW in docs.columns and ROW in mixed.columns else "doc_id"
     times = mixed.where("passes > 0").groupBy(key).agg(F.max("passes").alias("_passes"))
     joined = docs.join(times.hint("merge"), key)
