@@ -168,10 +168,75 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the counts, base_failed, kept, and the shares that the verdict rests on.
 
     docs needs doc_id and text; other columns are ignored. A null or empty text has no words and fails the base rules.
-    Repeated rows are judged each for itself; an empty table gives an empty result.
+    Repeated rows, and rows without a doc_id, are judged each for itself; very long texts whole. An empty table gives an
+    empty result.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(quality_rows, SCHEMA)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
+
+
+def keep_quality(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep. Columns may have any name; see quality_rules for all else."""
+    names = [f"_in{i}" for i in range(len(docs.columns))]
+    held = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text").cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch_texts(batch.column("_text"))
+            for a, b in runs_of_texts(texts):
+                yield batch.slice(a, b - a).select(names).filter(pa.array(verdicts(measure(texts[a:b]))["kept"]))
+
+    out = held.mapInArrow(run, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
+_TOP_SQL = ", ".join(f"coalesce(max(CASE WHEN n = {n} AND times > 1 THEN times * chars END), 0) AS most_{n}" for n in TOP_LIMITS)
+_REPEATED_SQL = ", ".join(f"coalesce(sum(CASE WHEN n = {n} THEN length(w) END), 0) AS inside_{n}" for n in REPEATED_LIMITS)
+_SHARES_SQL = ", ".join([f"coalesce(most_{n}, 0) / greatest(word_chars, 1) AS top_{n}" for n in TOP_LIMITS] + [f"coalesce(inside_{n}, 0) / greatest(word_chars, 1) AS repeated_{n}" for n in REPEATED_LIMITS])
+_LIMITS_SQL = " AND ".join([f"line_share <= {LINE_LIMIT}::DOUBLE AND line_char_share <= {LINE_CHARS_LIMIT}::DOUBLE"] + [f"top_{n} <= {x}::DOUBLE" for n, x in TOP_LIMITS.items()] + [f"repeated_{n} <= {x}::DOUBLE" for n, x in REPEATED_LIMITS.items()])
+_LEADS_SQL = ", ".join(f"' ' || lead(w, {k}) OVER o AS w{k}" for k in range(1, 10))
+_LONG_SQL = "CASE r.n " + " ".join(f"WHEN {n} THEN w || {' || '.join(f'w{k}' for k in range(1, n))}" for n in REPEATED_LIMITS) + " END"
+OP4_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), counted AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols
+  FROM texts
+), lines AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS nth FROM (
+    SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), by_lines AS (
+  SELECT doc_id, CAST(count(*) FILTER (nth > 1) AS BIGINT) AS n_dup_lines, count(*) FILTER (nth > 1) / count(*) AS line_share,
+         coalesce(sum(length(line)) FILTER (nth > 1), 0) / sum(length(line)) AS line_char_share
+  FROM lines GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM texts
+), runs AS (
+  SELECT doc_id, i, w, {_LEADS_SQL} FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), short AS (
+  SELECT doc_id, n, i, length(replace(gram, ' ', '')) AS chars, count(*) OVER (PARTITION BY doc_id, n, gram) AS times
+  FROM (SELECT doc_id, n, i, CASE n WHEN 2 THEN w || w1 WHEN 3 THEN w || w1 || w2 ELSE w || w1 || w2 || w3 END AS gram FROM runs, range(2, 5) r(n)) WHERE gram IS NOT NULL
+), long AS (  -- a longer run of words occurs twice only where its first four do
+  SELECT doc_id, n, i, 0 AS chars, count(*) OVER (PARTITION BY doc_id, n, gram) AS times
+  FROM (SELECT s.doc_id, r.n, s.i, {_LONG_SQL} AS gram FROM short s JOIN runs w ON w.doc_id = s.doc_id AND w.i = s.i, range(5, 11) r(n) WHERE s.n = 4 AND times > 1) WHERE gram IS NOT NULL
+), grams AS (
+  SELECT * FROM short UNION ALL SELECT * FROM long
+), tops AS (
+  SELECT doc_id, {_TOP_SQL} FROM grams GROUP BY doc_id
+), inside AS (
+  SELECT DISTINCT doc_id, n, i + k AS i FROM grams, range(0, 10) r(k) WHERE times > 1 AND n >= 5 AND k < n
+), covered AS (
+  SELECT doc_id, {_REPEATED_SQL}, CAST(count(*) FILTER (n = {REPEAT_WINDOW}) AS BIGINT) AS n_repeat_words FROM inside JOIN words USING (doc_id, i) GROUP BY doc_id
+), shares AS (
+  SELECT c.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(line_share, 0)::DOUBLE AS line_share, coalesce(line_char_share, 0)::DOUBLE AS line_char_share, {_SHARES_SQL}
+  FROM counted c LEFT JOIN by_lines USING (doc_id) LEFT JOIN tops USING (doc_id) LEFT JOIN covered USING (doc_id)
+)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND {_LIMITS_SQL} AS kept
+FROM shares
+"""

@@ -24,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": suffix_dedup.OP1_SQL,
         "op2_mix_sources": mixing.OP2_SQL,
+        "op4_quality_rules": quality.OP4_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op7_sentence_spans": sentence_spans.OP7_SQL,
         "op8_warc_round_trip": warc.OP8_SQL,
