@@ -17,28 +17,50 @@ from tidewright.llm.packing import pack_documents
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay."""
+    """Documents in a known language stay.
+
+    Null and empty texts, texts without a letter and those in a language that was not learnt go. Rows without a doc_id
+    are judged like any other, repeated rows alike, very long texts whole. If no row has a language to learn from, all
+    go. An empty table stays empty.
+    """
     return keep_identified(docs, fit_language_model(learnable(docs, held_out_of())))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest as written stays."""
+    """Of equal texts the longest as written stays, of these the smallest doc_id (null last), of repeated rows one.
+
+    Null and empty texts, and texts of white space alone, are equal to one another. Different texts that share a doc_id
+    all stay. Very long texts are compared whole. An empty table stays empty.
+    """
     return keep_exact(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, that with the smallest doc_id (null last), of repeated rows one.
+
+    Null and empty texts are no copies of one another. Classes are of rows, so rows may share a doc_id or have none.
+    Very long texts count with all their shingles. An empty table stays empty.
+    """
     return keep_near(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them, twice at most."""
+    """Documents as often as the mixture takes them, twice at most.
+
+    Every row has its own decision, with or without a doc_id. A null source is a source of its own. Texts without a word
+    weigh nothing and are taken with their neighbours in the order. Ties in that order are broken by source and md5. An
+    empty table stays empty.
+    """
     rows = numbered(docs)
     return apply_mix(rows, mix_sources(rows))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows, with their token ids (little-endian unsigned 32-bit numbers)."""
+    """Pieces of documents in windows, with their token ids (little-endian unsigned 32-bit numbers).
+
+    A null or empty text is its end token alone. Rows that repeat, or have no doc_id, are packed each for itself; a very
+    long text fills many windows. An empty table gives an empty result.
+    """
     return pack_documents(docs)
 
 
