@@ -144,7 +144,7 @@ _WEIGHTS = np.array([_constant(7, i) | np.uint64(1) for i in range(64)], dtype=n
 class Shingler:
     """Hashes of the distinct runs of `words` words of a text; a text of fewer words has one run, all it has."""
 
-    def __init__(self, words: int = WORDS, most_known: int = 500_000):
+    def __init__(self, words: int = WORDS, most_known: int = 200_000):
         self.words, self.most, self.known = words, most_known, {}
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
