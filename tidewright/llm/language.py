@@ -129,10 +129,10 @@ def fit_language_model(docs: DataFrame, *, dims: int = DIMS, per_language: int =
         return None
     frequency = np.array([n.get(i, 0) for i in range(dims)], dtype=np.float64)
     idf = np.log((1.0 + n[dims]) / (1.0 + frequency)) + 1.0
-    # a text's md5 as a number in [0, 1): of n such numbers some three times per_language lie below the limit
+    # a text's md5 as a number in [0, 1): of n distinct texts some three times per_language lie below the limit
     rows = rows.withColumn("draw", F.md5(F.encode("text", "UTF-8")))
     share = F.conv(F.substring("draw", 1, 12), 16, 10).cast("double") / float(1 << 48)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", ((3.0 * per_language + 50) / F.col("n")).alias("limit"))
+    counts = rows.groupBy("lang").agg(F.greatest(F.approx_count_distinct("draw"), F.lit(1)).alias("n")).select("lang", ((3.0 * per_language + 50) / F.col("n")).alias("limit"))
     drawn = rows.join(F.broadcast(counts), "lang").where(share < F.col("limit"))  # a row for each language, as in the model
     # rows that repeat a text count once
     sample = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text"))

@@ -50,14 +50,18 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of the scores under which the labels are likeliest (golden-section search on its logarithm)."""
+    """The divisor of the scores under which the labels are likeliest (golden-section search on its logarithm).
+
+    One more text is taken to have any of the labels: where all texts are told apart, scores would else become certain.
+    """
     if not len(labels):
         return 1.0
 
     def loss(log_t: float) -> float:
-        p = softmax(scores / np.exp(log_t))
-        return -float(np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean())
+        logs = np.log(np.maximum(softmax(scores / np.exp(log_t)), 1e-30))
+        return -float((1 - spread) * logs[np.arange(len(labels)), labels].mean() + spread * logs.mean())
 
+    spread = 1 / (len(labels) + 1)
     low, high, ratio = np.log(0.02), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(50):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
