@@ -14,9 +14,11 @@ that are partially filled, not the documents.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import batch_texts, documents, runs_of_texts
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: White space other than blanks and line feeds, and pairs of these two.
 _ODD = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", " \n", "\n ", "\n\n")
 
@@ -109,6 +111,17 @@ class Encoder:
         return self.encode([text])[0]
 
 
+def encoder_of(path: str | None) -> Encoder:
+    """The encoder of this process: the vocabulary is read, and words are learnt, once for all tasks that a worker runs.
+
+    This package's code travels to workers with each task, so its own module variables would be new in each.
+    """
+    held = sys.modules.setdefault("_tidewright_encoders", ModuleType("_tidewright_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 #: How a window came about: a document's own whole window; pieces placed whole; placed, then topped up; the cut rest.
 WHOLE, PLACED, TOPPED, REST = MADE_BY = ("whole", "placed", "topped", "rest")
 
@@ -205,7 +218,7 @@ def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool)
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        encoder, end = Encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = encoder_of(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         keys: dict[int, tuple[int | None, int]] = {}  # doc_id, tokens; of documents that are not emitted yet
         left: dict[int, int] = {}  # tokens of each still to be emitted
         rows: list[tuple] = []
