@@ -58,7 +58,7 @@ class Encoder:
         for token, i in self._tokenizer.get_vocab().items():
             self._lengths[i] = len(token)
         self._encode = lambda texts: self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        self._most, self._later, self._first, self._newline = cache_words, {}, {}, self.whole("\n")
+        self._most, self._older, self._later, self._first, self._newline = cache_words, {}, {}, {}, self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self._encode([text])[0].ids, dtype="<u4").tobytes()
@@ -74,10 +74,11 @@ class Encoder:
             start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._later) + len(self._first) > self._most:
-            self._later.clear()
-            self._first.clear()
-        later, first, cut, new, new_first = self._later, self._first, [], {}, {}
+        if len(self._later) > self._most:  # what was met since the time before last stays known
+            self._older, self._later = self._later, {}
+        if len(self._first) > self._most:
+            self._first = {}
+        older, later, first, cut, pieces, heads = self._older, self._later, self._first, [], set(), set()
         for text in texts:
             if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)):
                 cut.append(None)
@@ -85,26 +86,23 @@ class Encoder:
             lines = []
             for line in text.split("\n"):
                 head, *rest = line.split(" ")
-                if head not in first:
-                    new_first[head] = None
-                found = list(map(later.get, rest))
-                if None in found:
-                    new.update(dict.fromkeys(p for p, f in zip(rest, found, strict=True) if f is None))
-                    lines.append((head, rest, None))
-                else:
-                    lines.append((head, None, found))
+                heads.add(head)
+                pieces.update(rest)
+                lines.append((head, rest))
             cut.append(lines)
-        if new:
-            self._learn(later, list(new), " ", 0)
-        if new_first:
+        new = pieces.difference(later)
+        known = new.intersection(older)
+        later.update({p: older[p] for p in known})
+        if len(new) > len(known):
+            self._learn(later, list(new - known), " ", 0)
+        if new_first := heads.difference(first):
             self._learn(first, list(new_first), "\n", 1)
         out = []
         for text, lines in zip(texts, cut, strict=True):
             if lines is None:
                 out.append(self.whole(text) if text else b"")
-                continue
-            parts = [first[head] + b"".join(found if rest is None else map(later.__getitem__, rest)) for head, rest, found in lines]
-            out.append(self._newline.join(parts))
+            else:
+                out.append(self._newline.join([first[head] + b"".join(map(later.__getitem__, rest)) for head, rest in lines]))
         return out
 
     def __call__(self, text: str) -> bytes:
