@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, minhash, mixing, packing, quality, sentence_spans, suffix_dedup, toxicity, warc
+from . import bpe, exact_dedup, language, minhash, mixing, packing, quality, repair, sentence_spans, suffix_dedup, toxicity, trie, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_warc_round_trip": warc.op8_warc_round_trip,
         "op9_pack_documents": packing.op9_pack_documents,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_repair_conversations": repair.op11_repair_conversations,
+        "op12_conversation_trie": trie.op12_conversation_trie,
+        "op13_byte_bpe": bpe.op13_byte_bpe,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op7_sentence_spans": sentence_spans.OP7_SQL,
         "op8_warc_round_trip": warc.OP8_SQL,
+        "op11_repair_conversations": repair.OP11_SQL,
+        "op12_conversation_trie": trie.OP12_SQL,
     }
