@@ -96,6 +96,13 @@ def direct(lon: np.ndarray, lat: np.ndarray, azimuth: np.ndarray, distance_m: fl
     return lon + np.degrees(length), np.degrees(phi2)
 
 
+def sphere_direct(lon: np.ndarray, lat: np.ndarray, azimuth: np.ndarray, distance_m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """sphere_destination on arrays."""
+    phi, az, d = np.radians(lat), np.radians(azimuth), distance_m / SPHERE
+    phi2 = np.arcsin(np.sin(phi) * np.cos(d) + np.cos(phi) * np.sin(d) * np.cos(az))
+    return lon + np.degrees(np.arctan2(np.sin(az) * np.sin(d) * np.cos(phi), np.cos(d) - np.sin(phi) * np.sin(phi2))), np.degrees(phi2)
+
+
 def distance(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray, rounds: int = 20) -> np.ndarray:
     """Metres along the ellipsoid: Vincenty's inverse formula with a fixed number of rounds, for points that are not antipodal."""
     u1, u2 = (np.arctan((1 - FLATTENING) * np.tan(np.radians(x))) for x in (lat1, lat2))

@@ -43,8 +43,11 @@ def shoaling(h_deep: Column, h_point: Column, clamp: bool = False, reference: fl
 
 
 def shallow_refraction(delta: Column, h_point: Column, h_deep: Column) -> Column:
-    """Cosine of the refracted angle from shallow-water celerities; symmetric about 90 degrees and never negative."""
-    ratio = F.sqrt(G * h_point) / F.sqrt(G * h_deep)
+    """Cosine of the refracted angle from shallow-water celerities; symmetric about 90 degrees and never negative.
+
+    A point's depth counts as 0.1 m at least, as in shoaling.
+    """
+    ratio = F.sqrt(G * F.greatest(h_point, F.lit(0.1))) / F.sqrt(G * h_deep)
     s = F.sin(F.radians(F.abs(delta))) * ratio
     return F.cos(F.asin(F.greatest(F.least(s, F.lit(1.0)), F.lit(-1.0))))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import waves
 from ..functions.angles import sector_name, sector_number, shoreward_cosine, signed_difference
 from .normalise import drop_calm, valid_depth
+from .rasters import Frame, raster_tiles, transect_scalars
 
 SECONDS = 86400.0
 
@@ -94,16 +95,17 @@ def nearshore_b(height: Column, period: Column, delta: Column, h_min: Column, h_
     return {"ks": ks, "height": F.least(height * ks, broken), "h_break": depth, "angle": F.degrees(F.asin(s)), "cosine": F.cos(F.asin(s))}
 
 
-def daily_waves(wind: DataFrame, trace: DataFrame, points: DataFrame, profiles: DataFrame | None = None, *, least_speed: float = 0.1, shoreward_only: bool = False, rounded: bool = True) -> DataFrame:
+def daily_waves(wind: DataFrame, trace: DataFrame, points: DataFrame, profiles: DataFrame | None = None, *, least_speed: float = 0.1, shoreward_only: bool = False, rounded: bool = True, known_profiles_only: bool = False) -> DataFrame:
     """A row per point and day with wind of least_speed km/h and more, for points with wind and a fetch.
 
     wind: point_id, date, ws_kmh, direction. trace: point_id, direction, fetch_m. points: point_id, normal_azimuth_deg.
-    profiles: profile_scalars() by point_id and direction; days without one get the default depths. Physics uses whole
-    values, columns are rounded at the end. shoreward_only: waves from behind the shore line carry nothing.
+    profiles: profile_scalars() by point_id and direction; days without one get the default depths, or go if
+    known_profiles_only. Physics uses whole values, columns are rounded at the end. shoreward_only: waves from behind the
+    shore line carry nothing.
     """
     joined = lookup_fetch(drop_calm(wind), trace).join(points.select("point_id", "normal_azimuth_deg"), "point_id")
     if profiles is not None:
-        joined = joined.join(profiles, ["point_id", "direction"], "left")
+        joined = joined.join(profiles, ["point_id", "direction"], "inner" if known_profiles_only else "left")
     delta = signed_difference("direction", "normal_azimuth_deg")
     u = waves.wind_over_water("ws_kmh")
     height, period = waves.fetch_limited_growth(u, F.col("fetch_m"))
@@ -117,6 +119,23 @@ def daily_waves(wind: DataFrame, trace: DataFrame, points: DataFrame, profiles:
     return joined.select("point_id", "date", "direction", F.col("normal_azimuth_deg").alias("shore_normal_deg"), *[(F.round(c, n) if rounded else c).alias(k) for k, (c, n) in columns.items()])
 
 
+def waves_over_raster(wind: DataFrame, trace: DataFrame, points: DataFrame, nodes: DataFrame, frame: Frame, *, strict: bool = True, radius_m: float = 20_000.0, samples: int = 200, sign_policy: str = "negate_land_null", **options) -> DataFrame:
+    """daily_waves() with depths along each point's own transects, for every direction that has wind.
+
+    points: also lon, lat; nodes: ix, iy, z of the raster. strict: a point of which any such transect leaves the raster
+    goes altogether; otherwise what lies beyond has no depth. Each transect is sampled once, however many days use it.
+    """
+    used = lookup_fetch(drop_calm(wind), trace).select("point_id", "direction").distinct()
+    rays = used.join(points.select("point_id", "lon", "lat"), "point_id")
+    profiles = transect_scalars(rays, raster_tiles(nodes, frame), frame, radius_m=radius_m, samples=samples, sign_policy=sign_policy)
+    if strict:
+        leaves = F.max("outside").over(Window.partitionBy("point_id"))  # a point has 360 directions at most
+        profiles = profiles.withColumn("leaves", leaves)
+    else:
+        profiles = profiles.withColumn("leaves", F.lit(False))
+    return daily_waves(wind, trace, points, profiles.where(~F.col("leaves")), known_profiles_only=True, **options)
+
+
 def cwef_summary(daily: DataFrame, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:
     """Statistics of the daily flux per key, on the rounded daily columns; days at the 90th percentile count as storms.
 

@@ -37,6 +37,19 @@ def top_sectors(daily: DataFrame, keys: tuple[str, ...] = ("point_id",), flux: s
     return sums.select(*keys, *[c.alias(n) for n, c in _strongest("_sums").items()])
 
 
+def _percentile_over(flux: str, keys: tuple[str, ...], share: float) -> tuple[Column, Column, Column]:
+    """_at, _place and, from these two, the linear percentile of each key's values on every row: windows, which spill.
+
+    low + (high - low) * rest: where a key's values have few digits, percentiles lie on halves, and the way of computing
+    them decides how they are rounded.
+    """
+    every = Window.partitionBy(*keys)
+    at = F.row_number().over(every.orderBy(F.asc_nulls_last(flux))) - 1
+    place = F.lit(share) * (F.count(flux).over(every) - 1)
+    low, high = (F.max(F.when(F.col("_at") == f(F.col("_place")), F.col(flux))).over(every) for f in (F.floor, F.ceil))
+    return at, place, low + (high - low) * (F.col("_place") - F.floor("_place"))
+
+
 def exposure_metrics(daily: DataFrame, keys: tuple[str, ...] = ("point_id",), *, percentile: float = 90.0, threshold: float | None = None, seconds: float = 86400.0, flux: str = "CWEF_W_m") -> DataFrame:
     """Per key: mean, storm energy above the threshold, share of the three strongest sectors, coefficient of variation.
 
@@ -45,8 +58,12 @@ def exposure_metrics(daily: DataFrame, keys: tuple[str, ...] = ("point_id",), *,
     """
     if not 0 < percentile < 100:
         raise ValueError("percentile lies between 0 and 100")
-    limit = F.lit(float(threshold)) if threshold is not None else F.percentile(flux, F.lit(percentile / 100.0)).over(Window.partitionBy(*keys))
-    days = daily.select(*keys, "direction", flux).withColumn("_limit", limit)
+    days = daily.select(*keys, "direction", flux)
+    if threshold is not None:
+        days = days.withColumn("_limit", F.lit(float(threshold)))
+    else:
+        at, place, limit = _percentile_over(flux, keys, percentile / 100.0)
+        days = days.withColumns({"_at": at, "_place": place}).withColumn("_limit", limit)
     over = F.col(flux) > F.col("_limit")
     base = days.groupBy(*keys).agg(
         F.avg(flux).alias("mean"), F.stddev_samp(flux).alias("std"), F.count(flux).alias("n_days"), F.first("_limit").alias("storm_threshold_Wm"),

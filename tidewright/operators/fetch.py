@@ -16,7 +16,9 @@ MAX_M = 100_000.0
 OFFSET_M = 10.0
 EXCLUSION_M = 1.0
 PRECISION_M = 0.05
-CELL_M = 5_000.0
+CELL_M = 2_000.0
+#: How far rays go at first; coasts are mostly near.
+FIRST_M = 4_000.0
 DEGREE_M = 100_000.0
 
 
@@ -54,24 +56,25 @@ def segment_cells(segments: DataFrame, cell: float = CELL_M) -> DataFrame:
     ).select("*", F.explode(F.sequence("_a", "_b")).alias("cy")).drop("_a", "_b")
 
 
-def ray_cells(rays: DataFrame, cell: float = CELL_M) -> DataFrame:
-    """Each ray once for every cell it may pass: per column of cells, those between its heights there."""
-    c0, c1 = F.floor(F.least("start_x", "end_x") / cell).cast("bigint"), F.floor(F.greatest("start_x", "end_x") / cell).cast("bigint")
+def ray_cells(rays: DataFrame, cell: float = CELL_M, ends: tuple[str, str, str, str] = ("start_x", "start_y", "end_x", "end_y")) -> DataFrame:
+    """Each ray, or stretch of a ray, once for every cell it may pass: per column of cells, those between its heights there."""
+    sx, sy, ex, ey = ends
+    c0, c1 = F.floor(F.least(sx, ex) / cell).cast("bigint"), F.floor(F.greatest(sx, ex) / cell).cast("bigint")
     columns = rays.withColumn("cx", F.explode(F.sequence(c0, c1)))
-    slope = F.try_divide(F.col("end_y") - F.col("start_y"), F.col("end_x") - F.col("start_x"))
-    at = lambda x: F.col("start_y") + slope * (x - F.col("start_x"))
-    left = F.greatest(F.col("cx") * cell, F.least("start_x", "end_x"))
-    right = F.least((F.col("cx") + 1) * cell, F.greatest("start_x", "end_x"))
-    steep = F.abs(F.col("end_x") - F.col("start_x")) < 1e-9
-    low = F.when(steep, F.least("start_y", "end_y")).otherwise(F.least(at(left), at(right)))
-    high = F.when(steep, F.greatest("start_y", "end_y")).otherwise(F.greatest(at(left), at(right)))
+    slope = F.try_divide(F.col(ey) - F.col(sy), F.col(ex) - F.col(sx))
+    at = lambda x: F.col(sy) + slope * (x - F.col(sx))
+    left = F.greatest(F.col("cx") * cell, F.least(sx, ex))
+    right = F.least((F.col("cx") + 1) * cell, F.greatest(sx, ex))
+    steep = F.abs(F.col(ex) - F.col(sx)) < 1e-9
+    low = F.when(steep, F.least(sy, ey)).otherwise(F.least(at(left), at(right)))
+    high = F.when(steep, F.greatest(sy, ey)).otherwise(F.greatest(at(left), at(right)))
     rows = columns.withColumn("_a", F.floor(low / cell - 1e-9).cast("bigint")).withColumn("_b", F.floor(high / cell + 1e-9).cast("bigint"))
     return rows.withColumn("cy", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
 
 
-def hits(rays: DataFrame, segments: DataFrame, cell: float = CELL_M, keys: tuple[str, ...] = ("point_id", "direction_id")) -> DataFrame:
-    """keys, hit_x, hit_y of every crossing of a ray and a segment; of a shared stretch both ends."""
-    pairs = ray_cells(rays, cell).join(segment_cells(segments, cell), ["cx", "cy"])
+def _crossing() -> tuple[Column, Column, Column]:
+    """Of a ray (start, end) and a segment (x0, y0, x1, y1) in one row: the share t of the ray where they cross, null if
+    nowhere; whether they lie on one line; the shares of the ends of the stretch that they then have in common."""
     rx, ry = F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y")
     sx, sy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     qx, qy = F.col("x0") - F.col("start_x"), F.col("y0") - F.col("start_y")
@@ -81,36 +84,73 @@ def hits(rays: DataFrame, segments: DataFrame, cell: float = CELL_M, keys: tuple
     collinear = (F.abs(cross) < 1e-9) & (F.abs(qx * ry - qy * rx) <= 1e-6 * F.sqrt(length2))
     t0, t1 = (qx * rx + qy * ry) / length2, ((qx + sx) * rx + (qy + sy) * ry) / length2
     inside = lambda v: (v >= 0) & (v <= 1)
-    found = F.when(collinear, F.filter(F.array(t0, t1, F.when((t0 * t1 < 0), F.lit(0.0)), F.when((t0 - 1) * (t1 - 1) < 0, F.lit(1.0))), lambda v: v.isNotNull() & inside(v))).when(
-        (F.abs(cross) >= 1e-9) & inside(t) & inside(u), F.array(t)
-    )
+    shared = F.filter(F.array(t0, t1, F.when((t0 * t1 < 0), F.lit(0.0)), F.when((t0 - 1) * (t1 - 1) < 0, F.lit(1.0))), lambda v: v.isNotNull() & inside(v))
+    return F.when((F.abs(cross) >= 1e-9) & inside(t) & inside(u), t), collinear, shared
+
+
+def hits(rays: DataFrame, segments: DataFrame, cell: float = CELL_M, keys: tuple[str, ...] = ("point_id", "direction_id")) -> DataFrame:
+    """keys, hit_x, hit_y of every crossing of a ray and a segment; of a shared stretch both ends."""
+    pairs = ray_cells(rays, cell).join(segment_cells(segments, cell), ["cx", "cy"])
+    t, collinear, shared = _crossing()
+    found = F.when(collinear, shared).when(t.isNotNull(), F.array(t))
+    rx, ry = F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y")
     at = pairs.select(*dict.fromkeys((*keys, "start_x", "start_y")), rx.alias("rx"), ry.alias("ry"), F.explode(found).alias("t"))
     return at.select(*keys, (F.col("start_x") + F.col("t") * F.col("rx")).alias("hit_x"), (F.col("start_y") + F.col("t") * F.col("ry")).alias("hit_y"))
 
 
-def first_hits(rays: DataFrame, found: DataFrame, default_m: float = MAX_M, exclusion_m: float = EXCLUSION_M) -> DataFrame:
-    """rays with fetch_length_m, hit_found, hit_x, hit_y, used_default_value: the hit nearest to the start.
+def shell_hits(rays: DataFrame, cells: DataFrame, near_m: float, far_m: float, cell: float, exclusion_m: float = EXCLUSION_M) -> DataFrame:
+    """rays with `best` (d, hit_x, hit_y): the first hit up to far_m from the start, null if there is none.
 
-    Hits within the exclusion of the source or of the start do not count. found carries x, y, start_x, start_y of its ray.
+    Only cells between near_m and far_m are looked up, so rays must have no hit up to near_m. cells: segment_cells() of
+    the same cell. Hits within the exclusion of the source or of the start do not count. A ray is shuffled to its cells
+    and once more, with its best hit of each, to be one row again.
     """
-    away = lambda a, b: F.sqrt(F.pow(F.col("hit_x") - F.col(a), F.lit(2.0)) + F.pow(F.col("hit_y") - F.col(b), F.lit(2.0)))
-    good = found.withColumn("d", away("start_x", "start_y")).where((F.col("d") > exclusion_m) & (away("x", "y") > exclusion_m))
-    best = good.groupBy("point_id", "direction_id").agg(F.min(F.struct("d", "hit_x", "hit_y")).alias("best"))
-    return rays.join(best, ["point_id", "direction_id"], "left").select(
-        "*", F.coalesce("best.d", F.lit(default_m)).alias("fetch_length_m"), F.col("best").isNotNull().alias("hit_found"), F.col("best.hit_x").alias("hit_x"), F.col("best.hit_y").alias("hit_y"),
-        F.col("best").isNull().alias("used_default_value"), F.lit(False).alias("skipped_by_land_sector"),
-    ).drop("best")
+    length = F.hypot(F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y"))
+    share = lambda m: F.least(F.greatest(F.lit(m) / length, F.lit(0.0)), F.lit(1.0))
+    along = lambda a, b, m: F.col(a) + share(m) * (F.col(b) - F.col(a))
+    stretch = {"_x0": along("start_x", "end_x", near_m - 1), "_y0": along("start_y", "end_y", near_m - 1), "_x1": along("start_x", "end_x", far_m + 1), "_y1": along("start_y", "end_y", far_m + 1)}
+    passed = ray_cells(rays.withColumns(stretch), cell, tuple(stretch)).drop(*stretch)
+    pairs = passed.join(cells.select("x0", "y0", "x1", "y1", "cx", "cy"), ["cx", "cy"], "left")
+    t, collinear, shared = _crossing()
+
+    def hit(t: Column) -> Column:
+        x, y = F.col("start_x") + t * (F.col("end_x") - F.col("start_x")), F.col("start_y") + t * (F.col("end_y") - F.col("start_y"))
+        away = lambda a, b: F.sqrt(F.pow(x - F.col(a), F.lit(2.0)) + F.pow(y - F.col(b), F.lit(2.0)))
+        d = away("start_x", "start_y")
+        return F.when((d > exclusion_m) & (d <= far_m) & (away("x", "y") > exclusion_m), F.struct(d.alias("d"), x.alias("hit_x"), y.alias("hit_y")))
 
+    found = F.when(collinear, F.array_min(F.transform(shared, hit))).otherwise(F.when(t.isNotNull(), hit(t)))
+    return pairs.groupBy(*rays.columns).agg(F.min(found).alias("best"))
 
-def trace_fetch(points: DataFrame, segments: DataFrame, azimuths: range | list = range(360), *, offset_m: float = OFFSET_M, max_m: float = MAX_M, exclusion_m: float = EXCLUSION_M, edge: str = "half_open", cell: float = CELL_M) -> DataFrame:
+
+def trace_fetch(points: DataFrame, segments: DataFrame, azimuths: range | list = range(360), *, offset_m: float = OFFSET_M, max_m: float = MAX_M, exclusion_m: float = EXCLUSION_M, edge: str = "half_open", cell: float = CELL_M, first_m: float = FIRST_M) -> DataFrame:
     """A row per point and azimuth. points: point_id, x, y, normal_azimuth_deg; segments: x0, y0, x1, y1 (metres).
 
-    Rays into the land sector are not traced: their fetch is the offset. Rays and segments meet in square cells, so a
-    ray is compared with the coast along it, not with all of it.
+    Rays into the land sector are not traced: their fetch is the offset. The others advance from shell to shell of cells,
+    first_m deep and then each time three times as far; one that has hit leaves, so what lies behind its hit is never
+    joined. Each shell is a written table. max_m may lie a little beyond what precision leaves of a ray's length.
     """
+    from ..shared import written
+
     sea, land = split_land_sector(point_azimuths(shifted_starts(points, offset_m), azimuths), edge)
-    rays = ray_ends(sea, max_m)
-    traced = first_hits(rays, hits(rays, segments, cell, ("point_id", "direction_id", "x", "y", "start_x", "start_y")), max_m, exclusion_m).drop("end_x", "end_y")
+    cells = written(segment_cells(segments.select("x0", "y0", "x1", "y1"), cell), "coast-cells")
+    rays, done = ray_ends(sea, max_m), []
+    near, far = 0.0, min(first_m, max_m)
+    while True:
+        last = far >= max_m
+        shell = written(shell_hits(rays, cells, near, 2 * max_m if last else far, cell, exclusion_m), "fetch-shell")
+        done.append(shell if last else shell.where("best is not null"))
+        if last:
+            break
+        rays = shell.where("best is null").drop("best")
+        near, far = far, min(3 * far, max_m)
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    traced = every.select(
+        *[c for c in every.columns if c not in ("end_x", "end_y", "best")], F.coalesce("best.d", F.lit(float(max_m))).alias("fetch_length_m"), F.col("best").isNotNull().alias("hit_found"),
+        F.col("best.hit_x").alias("hit_x"), F.col("best.hit_y").alias("hit_y"), F.col("best").isNull().alias("used_default_value"), F.lit(False).alias("skipped_by_land_sector"),
+    )
     skipped = land.select(
         "*", F.lit(float(offset_m)).alias("fetch_length_m"), F.lit(False).alias("hit_found"), F.lit(None).cast("double").alias("hit_x"), F.lit(None).cast("double").alias("hit_y"),
         F.lit(True).alias("used_default_value"), F.lit(True).alias("skipped_by_land_sector"),

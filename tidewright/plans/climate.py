@@ -9,6 +9,7 @@ from ..operators import climate as C
 from ..operators import exposure as X
 from ..operators import normalise as N
 from ..operators import rose as R
+from ..operators.rasters import Frame
 from .fixtures import Registry, pmod, view, views, with_views
 
 registry = Registry()
@@ -150,14 +151,36 @@ add("W-17", daily, with_views("SELECT * FROM daily", *DV, **DQ))
 add("W-18", lambda s, d: daily(s, d).groupBy("point_id").agg(F.count(F.lit(1)).alias("n_days")), with_views("SELECT point_id, count(*) AS n_days FROM daily GROUP BY 1", *DV, **DQ))
 
 
-def _strict(s, d):
-    """Points of which no transect leaves the grid."""
-    reach = view(s, d, "v_points").select("point_id", "lon", "lat", F.explode(F.array(F.lit(0.0), F.lit(90.0), F.lit(180.0), F.lit(270.0))).alias("az"))
-    outside = reach.where(~((F.col("lon") + 0.2 * F.sin(F.radians("az"))).between(36.5, 39.0) & (F.col("lat") + 0.2 * F.cos(F.radians("az"))).between(42.9, 45.4)))
-    return daily(s, d).join(outside.select("point_id").distinct(), "point_id", "left_anti").groupBy("point_id").agg(F.count(F.lit(1)).alias("n_days"))
-
-
-add("W-19", _strict, with_views("SELECT point_id, count(*) AS n_days FROM daily WHERE point_id NOT IN (SELECT point_id FROM v_points WHERE lon < 36.7 OR lon > 38.8 OR lat < 43.1 OR lat > 45.2) GROUP BY 1", *DV, **DQ))
+FRAME = Frame(west=36.2, south=42.7, step=0.03, nx=101, ny=101, tile=16)
+ORIGIN = "greatest(least({c}, {high} - 1e-4), {low} + 1e-4)"
+USED = "SELECT DISTINCT g.point_id, g.direction FROM grown g WHERE ws_kmh >= 0.1"
+# 200 samples of 20 km, on the sphere
+SAMPLES = f"""SELECT point_id, direction, step, (lon - 36.2) / 0.03 AS fx, (degrees(phi2) - 42.7) / 0.03 AS fy FROM (
+    SELECT *, lon0 + degrees(atan2(sin(az) * sin(dd) * cos(phi), cos(dd) - sin(phi) * sin(phi2))) AS lon FROM (
+      SELECT *, asin(sin(phi) * cos(dd) + cos(phi) * sin(dd) * cos(az)) AS phi2 FROM (
+        SELECT u.point_id, u.direction, i AS step, i * (20000.0::DOUBLE / 199) / 6371000.0 AS dd, radians(u.direction) AS az, {ORIGIN.format(c="lon", low="36.2::DOUBLE", high="39.2::DOUBLE")} AS lon0, radians({ORIGIN.format(c="lat", low="42.7::DOUBLE", high="45.7::DOUBLE")}) AS phi
+        FROM used u JOIN v_points p ON p.point_id = u.point_id, range(200) r(i))))"""
+SOUNDED = """SELECT s.point_id, s.direction, s.step, outside, CASE WHEN NOT outside THEN (1 - tx) * (1 - ty) * a.z + tx * (1 - ty) * b.z + (1 - tx) * ty * c.z + tx * ty * e.z END AS z
+    FROM (SELECT *, fx - ix AS tx, fy - iy AS ty FROM (SELECT *, fx < 0 OR fx > 100 OR fy < 0 OR fy > 100 AS outside, least(floor(fx), 99) AS ix, least(floor(fy), 99) AS iy FROM samples)) s
+    LEFT JOIN v_raster a ON a.ix = s.ix AND a.iy = s.iy LEFT JOIN v_raster b ON b.ix = s.ix + 1 AND b.iy = s.iy LEFT JOIN v_raster c ON c.ix = s.ix AND c.iy = s.iy + 1 LEFT JOIN v_raster e ON e.ix = s.ix + 1 AND e.iy = s.iy + 1"""
+TRANSECTS = """SELECT point_id, direction, bool_or(outside) AS outside, min(h) FILTER (h > 0) AS h_min, max(h) FILTER (h > 0) AS h_max, max(h) FILTER (step = 0) AS h_first, arg_min(h, step) FILTER (h > 0) AS first_valid
+    FROM (SELECT *, CASE WHEN z < 0 THEN -z END AS h FROM sounded) GROUP BY 1, 2"""
+DEPTHS = "SELECT point_id, direction, coalesce(h_max, 20) AS hd, coalesce(CASE WHEN h_first > 0 THEN h_first END, first_valid, 3) AS hp, h_min FROM transects WHERE point_id NOT IN (SELECT point_id FROM transects WHERE outside)"
+DAILY_DEPTHS = f"""SELECT point_id, date, direction, normal_azimuth_deg AS shore_normal_deg, round(fetch_m, 1) AS fetch_m, round(ws_kmh / 3.6 * 1.1, 3) AS "U10_ms", round(hs, 4) AS "Hs_offshore_m", round(hn, 4) AS "Hs_nearshore_m",
+    round(tp, 4) AS "Tp_s", round(ks, 4) AS "Ks", round(hb, 3) AS "h_breaking_m", round(cs, 4) AS cos_shore, round(pw, 3) AS "WavePower_W_m", round(pw * cs, 3) AS "CWEF_W_m"
+    FROM (SELECT *, 1025.0 * 9.81 * 9.81 * hn * hn * tp / (64 * pi()) AS pw FROM (SELECT *, least(hs * ks, 0.55 * hb) AS hn FROM (
+      SELECT *, pow(hd / greatest(hp, 0.1), 0.25) AS ks, CASE WHEN hs * pow(hd / h_min, 0.25) >= 0.55 * h_min THEN h_min ELSE hp END AS hb,
+        greatest(cos(asin(least(sin(radians(abs({DELTA}))) * (sqrt(9.81 * greatest(hp, 0.1)) / sqrt(9.81 * hd)), 1))), 0) AS cs FROM (
+          SELECT g.*, normal_azimuth_deg, hd, hp, h_min, {HS} AS hs, {TP} AS tp FROM grown g JOIN v_points p ON p.point_id = g.point_id JOIN depths d ON d.point_id = g.point_id AND d.direction = g.direction WHERE ws_kmh >= 0.1))))"""
+RV = (*DV, "v_raster")
+RQ = {"dense": DENSE, "grown": GROWN, "used": USED, "samples": SAMPLES, "sounded": SOUNDED, "transects": TRANSECTS, "depths": DEPTHS}
+
+
+def daily_over_raster(s, d, **options):
+    return C.waves_over_raster(*views(s, d, "v_wind", "v_trace", "v_points", "v_raster"), FRAME, **options)
+
+
+add("W-19", daily_over_raster, with_views("SELECT * FROM daily", *RV, **RQ, daily=DAILY_DEPTHS))
 POLICIES = ("raw", "abs", "negate_land_null")
 add("W-20", lambda s, d: s.createDataFrame([(p,) for p in POLICIES], "policy string").crossJoin(s.range(1).select()).join(
     C.profile_scalars(view(s, d, "v_profile"), ("profile_id",), sign_policy="raw").select(F.lit("raw").alias("policy"), "profile_id", "h_min").unionByName(C.profile_scalars(view(s, d, "v_profile"), ("profile_id",), sign_policy="abs").select(F.lit("abs").alias("policy"), "profile_id", "h_min")).unionByName(_sc(s, d).select(F.lit("negate_land_null").alias("policy"), "profile_id", "h_min")), "policy").groupBy("policy").agg(F.count("h_min").alias("n"), F.sum("h_min").alias("total")),
@@ -207,10 +230,10 @@ LEFT_INDEX = """SELECT CAST(p.point_id AS VARCHAR) AS point_id, i."mean_CWEF_Wm"
 
 
 def flagship(s, d):
-    return X.exposure_index(daily(s, d), view(s, d, "v_points"))
+    return X.exposure_index(daily_over_raster(s, d), view(s, d, "v_points"))
 
 
-add("A-14", flagship, with_views(LEFT_INDEX, *DV, **IQ))
+add("A-14", flagship, with_views(LEFT_INDEX, *RV, **(RQ | IQ | {"daily": DAILY_DEPTHS})))
 add("A-15", lambda s, d: X.empty_indices(view(s, d, "v_points").unionByName(view(s, d, "v_points").withColumn("point_id", F.col("point_id") + 100000)), daily(s, d)), with_views('SELECT point_id + 100000 AS point_id, 0 AS n_days, 0 AS n_storm_days, NULL::DOUBLE AS "mean_CWEF_Wm", NULL::DOUBLE AS "E_storm_MJm", NULL::DOUBLE AS "K_dir", NULL::DOUBLE AS "CV" FROM v_points UNION ALL SELECT point_id, 0, 0, NULL, NULL, NULL, NULL FROM v_points WHERE point_id NOT IN (SELECT point_id FROM daily)', *DV, **DQ))
 
 # ---- R: wind roses ------------------------------------------------------------------------------------------------

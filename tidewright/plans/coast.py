@@ -254,7 +254,7 @@ def _partitioned(df, name, by):
 
 
 add("K-07", lambda s, d: _partitioned(view(s, d, "v_wind"), "k07", "point_id").where("point_id = 7").select("date", "ws_kmh"), with_views("SELECT date, ws_kmh FROM v_wind WHERE point_id = 7", "v_wind"))
-add("K-08", lambda s, d: _partitioned(G.long_frame(traced(s, d)), "k08", "azimuth_deg").groupBy(F.col("azimuth_deg").cast("double").alias("azimuth_deg")).agg(F.count(F.lit(1)).alias("n")), with_views("SELECT CAST(a AS DOUBLE) AS azimuth_deg, count(*) AS n FROM v_points, range(0, 360, 15) r(a) GROUP BY 1", "v_points"))
+add("K-08", lambda s, d: _partitioned(G.long_frame(traced(s, d)), "k08", "azimuth_deg").groupBy(F.col("azimuth_deg").cast("double").alias("azimuth_deg")).agg(F.count(F.lit(1)).alias("n")), with_views("SELECT CAST(a AS DOUBLE) AS azimuth_deg, count(*) AS n FROM v_points, range(360) r(a) GROUP BY 1", "v_points"))
 add("K-09", lambda s, d: S.read_csv(s, _saved_csv(s, traced(s, d).where("azimuth_deg = 90").select("point_id", "azimuth_deg", "hit_found"), "k09"), "point_id long, azimuth_deg double, hit_found boolean").select("point_id", "azimuth_deg"), with_views("SELECT point_id, 90.0::DOUBLE AS azimuth_deg FROM v_points", "v_points"))
 
 

@@ -45,6 +45,11 @@ _view(
     "SELECT a.id AS ix, b.id AS iy, 36.5D + 0.125D * a.id AS lon, 42.9D + 0.125D * b.id AS lat, CAST(-((a.id * 7 + b.id * 11) % 97) AS DOUBLE) AS z FROM range(21) a CROSS JOIN range(21) b",
     "SELECT a.i AS ix, b.i AS iy, 36.5::DOUBLE + 0.125::DOUBLE * a.i AS lon, 42.9::DOUBLE + 0.125::DOUBLE * b.i AS lat, CAST(-((a.i * 7 + b.i * 11) % 97) AS DOUBLE) AS z FROM range(21) a(i) CROSS JOIN range(21) b(i)",
 )
+_view(
+    "v_raster",
+    "SELECT CAST((l_orderkey * 31 + l_linenumber * 17) % 101 AS BIGINT) AS ix, CAST((l_partkey + l_suppkey * 7) % 101 AS BIGINT) AS iy, min(20.0D - CAST(l_quantity AS DOUBLE)) AS z FROM {lineitem} GROUP BY 1, 2",
+    "SELECT CAST((l_orderkey * 31 + l_linenumber * 17) % 101 AS BIGINT) AS ix, CAST((l_partkey + l_suppkey * 7) % 101 AS BIGINT) AS iy, min(20.0::DOUBLE - CAST(l_quantity AS DOUBLE)) AS z FROM lineitem GROUP BY 1, 2",
+)
 _view(
     "v_grid_nodes",
     "SELECT CAST(n_nationkey AS BIGINT) AS grid_id, CAST((CAST(n_nationkey AS BIGINT) * 31337) % 100000 AS DOUBLE) AS x, CAST((CAST(n_nationkey AS BIGINT) * 17389) % 100000 AS DOUBLE) AS y FROM {nation}",

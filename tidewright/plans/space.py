@@ -62,17 +62,17 @@ add("T-16", lambda s, d: view(s, d, "v_uv").select("id", *[F.round(c, 6).alias(n
 
 # ---- G: fetch -----------------------------------------------------------------------------------------------------
 
-AZ = list(range(0, 360, 15))
-RAYS = "SELECT p.*, CAST(a AS DOUBLE) AS azimuth_deg, CAST(a / 15 AS INTEGER) + 1 AS direction_id, x + 10 * sin(radians(normal_azimuth_deg)) AS start_x, y + 10 * cos(radians(normal_azimuth_deg)) AS start_y FROM v_points p, range(0, 360, 15) r(a)"
+AZ = list(range(360))
+RAYS = "SELECT p.*, CAST(a AS DOUBLE) AS azimuth_deg, CAST(a AS INTEGER) + 1 AS direction_id, x + 10 * sin(radians(normal_azimuth_deg)) AS start_x, y + 10 * cos(radians(normal_azimuth_deg)) AS start_y FROM v_points p, range(360) r(a)"
 TURN = pmod("azimuth_deg - normal_azimuth_deg", 360)
-SEA = f"SELECT *, round((start_x + 20000 * sin(radians(azimuth_deg))) / 0.05) * 0.05 AS end_x, round((start_y + 20000 * cos(radians(azimuth_deg))) / 0.05) * 0.05 AS end_y FROM rays WHERE NOT ({TURN} >= 90 AND {TURN} < 270)"
+SEA = f"SELECT *, round((start_x + 100000 * sin(radians(azimuth_deg))) / 0.05) * 0.05 AS end_x, round((start_y + 100000 * cos(radians(azimuth_deg))) / 0.05) * 0.05 AS end_y FROM rays WHERE NOT ({TURN} >= 90 AND {TURN} < 270)"
 HITS = """SELECT point_id, direction_id, x, y, start_x, start_y, start_x + t * rx AS hit_x, start_y + t * ry AS hit_y FROM (
     SELECT *, (qx * sy - qy * sx) / cr AS t, (qx * ry - qy * rx) / cr AS u FROM (SELECT *, rx * sy - ry * sx AS cr FROM (
       SELECT r.*, r.end_x - r.start_x AS rx, r.end_y - r.start_y AS ry, s.x1 - s.x0 AS sx, s.y1 - s.y0 AS sy, s.x0 - r.start_x AS qx, s.y0 - r.start_y AS qy FROM sea r, v_segments s
       WHERE s.x0 <= greatest(r.start_x, r.end_x) AND s.x1 >= least(r.start_x, r.end_x) AND s.y0 <= greatest(r.start_y, r.end_y) AND s.y1 >= least(r.start_y, r.end_y))) WHERE abs(cr) >= 1e-9)
     WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1"""
 FIRST = "SELECT point_id, direction_id, min(sqrt(pow(hit_x - start_x, 2) + pow(hit_y - start_y, 2))) AS d, arg_min(row(hit_x, hit_y), sqrt(pow(hit_x - start_x, 2) + pow(hit_y - start_y, 2))) AS h FROM hits WHERE sqrt(pow(hit_x - start_x, 2) + pow(hit_y - start_y, 2)) > 1 AND sqrt(pow(hit_x - x, 2) + pow(hit_y - y, 2)) > 1 GROUP BY 1, 2"
-TRACED = f"""SELECT r.point_id, r.direction_id, normal_azimuth_deg, azimuth_deg, x, y, start_x, start_y, CASE WHEN {TURN} >= 90 AND {TURN} < 270 THEN 10 ELSE coalesce(d, 20000) END::DOUBLE AS fetch_length_m, d IS NOT NULL AS hit_found, h[1] AS hit_x, h[2] AS hit_y,
+TRACED = f"""SELECT r.point_id, r.direction_id, normal_azimuth_deg, azimuth_deg, x, y, start_x, start_y, CASE WHEN {TURN} >= 90 AND {TURN} < 270 THEN 10 ELSE coalesce(d, 100000) END::DOUBLE AS fetch_length_m, d IS NOT NULL AS hit_found, h[1] AS hit_x, h[2] AS hit_y,
     d IS NULL AS used_default_value, {TURN} >= 90 AND {TURN} < 270 AS skipped_by_land_sector FROM rays r LEFT JOIN first_hit f ON f.point_id = r.point_id AND f.direction_id = r.direction_id"""
 GV = ("v_points", "v_segments")
 GQ = {"rays": RAYS, "sea": SEA, "hits": HITS, "first_hit": FIRST, "traced": TRACED}
@@ -84,22 +84,22 @@ def _r(df, n=3):
 
 
 def _sql_r(names, n=3):
-    return ", ".join(f"round({c}, {n}) AS {c}" if c in _COORDS else c for c in names)
+    return ", ".join(f"round({c}, {n}) + 0 AS {c}" if c in _COORDS else c for c in names)  # + 0: no negative zero
 
 
 def traced(s, d):
-    return G.trace_fetch(*views(s, d, *GV), AZ, max_m=20_000.0)
+    return G.trace_fetch(*views(s, d, *GV), AZ)
 
 
 _rays = lambda s, d: G.point_azimuths(G.shifted_starts(view(s, d, "v_points")), AZ)
 add("G-01", lambda s, d: G.point_azimuths(view(s, d, "v_points").select("point_id"), AZ), with_views("SELECT point_id, azimuth_deg, direction_id FROM rays", "v_points", rays=RAYS))
-add("G-02", lambda s, d: _r(G.shifted_starts(view(s, d, "v_points"))).select("point_id", "start_x", "start_y"), with_views("SELECT DISTINCT point_id, round(start_x, 3) AS start_x, round(start_y, 3) AS start_y FROM rays", "v_points", rays=RAYS))
+add("G-02", lambda s, d: _r(G.shifted_starts(view(s, d, "v_points"))).select("point_id", "start_x", "start_y"), with_views("SELECT DISTINCT point_id, round(start_x, 3) + 0 AS start_x, round(start_y, 3) + 0 AS start_y FROM rays", "v_points", rays=RAYS))
 add("G-03", lambda s, d: G.long_frame(traced(s, d)).where("skipped_by_land_sector").select("point_id", "direction_id", "fetch_length_m", "hit_found", "used_default_value"), with_views("SELECT point_id, direction_id, fetch_length_m, hit_found, used_default_value FROM traced WHERE skipped_by_land_sector", *GV, **GQ))
-add("G-04", lambda s, d: _r(G.ray_ends(G.split_land_sector(_rays(s, d))[0], 20_000.0), 2).select("point_id", "direction_id", "end_x", "end_y"), with_views("SELECT point_id, direction_id, round(end_x, 2) AS end_x, round(end_y, 2) AS end_y FROM sea", "v_points", rays=RAYS, sea=SEA))
+add("G-04", lambda s, d: _r(G.ray_ends(G.split_land_sector(_rays(s, d))[0]), 2).select("point_id", "direction_id", "end_x", "end_y"), with_views("SELECT point_id, direction_id, round(end_x, 2) AS end_x, round(end_y, 2) AS end_y FROM sea", "v_points", rays=RAYS, sea=SEA))
 CELLS = "SELECT seg_id, cx, unnest(range(CAST(floor(least(y0, y1) / 5000) AS BIGINT), CAST(floor(greatest(y0, y1) / 5000) AS BIGINT) + 1)) AS cy FROM (SELECT *, unnest(range(CAST(floor(least(x0, x1) / 5000) AS BIGINT), CAST(floor(greatest(x0, x1) / 5000) AS BIGINT) + 1)) AS cx FROM v_segments)"
-add("G-05", lambda s, d: G.segment_cells(view(s, d, "v_segments")).select("seg_id", "cx", "cy"), with_views("SELECT * FROM cells", "v_segments", cells=CELLS))
-_sea = lambda s, d: G.ray_ends(G.split_land_sector(_rays(s, d))[0], 20_000.0)
-add("G-06", lambda s, d: _r(G.hits(_sea(s, d), view(s, d, "v_segments"))).distinct(), with_views("SELECT DISTINCT point_id, direction_id, round(hit_x, 3) AS hit_x, round(hit_y, 3) AS hit_y FROM hits", *GV, rays=RAYS, sea=SEA, hits=HITS))
+add("G-05", lambda s, d: G.segment_cells(view(s, d, "v_segments"), 5000.0).select("seg_id", "cx", "cy"), with_views("SELECT * FROM cells", "v_segments", cells=CELLS))
+_sea = lambda s, d: G.ray_ends(G.split_land_sector(_rays(s, d))[0])
+add("G-06", lambda s, d: _r(G.hits(_sea(s, d), view(s, d, "v_segments"))).distinct(), with_views("SELECT DISTINCT point_id, direction_id, round(hit_x, 3) + 0 AS hit_x, round(hit_y, 3) + 0 AS hit_y FROM hits", *GV, rays=RAYS, sea=SEA, hits=HITS))
 add("G-07", lambda s, d: _r(traced(s, d)).where("not skipped_by_land_sector").select("point_id", "direction_id", "fetch_length_m", "hit_found", "used_default_value"), with_views("SELECT point_id, direction_id, round(fetch_length_m, 3) AS fetch_length_m, hit_found, used_default_value FROM traced WHERE NOT skipped_by_land_sector", *GV, **GQ))
 
 
@@ -124,10 +124,10 @@ add("G-11", _direct)
 add("G-12", lambda s, d: _r(G.ray_layer(traced(s, d))).select("point_id", "direction_id", "end_x", "end_y"), with_views("SELECT point_id, direction_id, round(coalesce(hit_x, start_x + fetch_length_m * sin(radians(azimuth_deg))), 3) AS end_x, round(coalesce(hit_y, start_y + fetch_length_m * cos(radians(azimuth_deg))), 3) AS end_y FROM traced", *GV, **GQ))
 add("G-13", lambda s, d: _r(G.long_frame(traced(s, d))), with_views(f"SELECT {_sql_r(G.LONG)} FROM traced", *GV, **GQ))
 add("G-14", lambda s, d: G.fetch_by_point(_r(traced(s, d))).select("point_id", F.size(N.number_list("fetch_lengths_m")).alias("n"), F.round(F.aggregate(N.number_list("fetch_lengths_m"), F.lit(0.0), lambda a, x: a + x), 2).alias("total"), F.round(N.number_list("azimuths_deg")[5], 3).alias("sixth"), F.size(F.filter(N.number_list("hit_xs"), lambda x: x.isNotNull())).alias("hits")),
-    with_views("SELECT point_id, count(*) AS n, round(sum(round(fetch_length_m, 3)), 2) AS total, 75.0::DOUBLE AS sixth, count(hit_x) AS hits FROM traced GROUP BY 1", *GV, **GQ))
-add("G-15", lambda s, d: _r(G.offset_segments(traced(s, d))).join(G.source_points(traced(s, d)).select("point_id"), "point_id"), with_views("SELECT DISTINCT point_id, round(x, 3) AS x, round(y, 3) AS y, round(start_x, 3) AS start_x, round(start_y, 3) AS start_y FROM traced", *GV, **GQ))
-add("G-16", lambda s, d: _r(G.hit_points(traced(s, d))).select("point_id", "direction_id", "hit_x", "hit_y"), with_views("SELECT point_id, direction_id, round(hit_x, 3) AS hit_x, round(hit_y, 3) AS hit_y FROM traced WHERE hit_found", *GV, **GQ))
-add("G-17", lambda s, d: _r(G.ray_layer(traced(s, d))), with_views("SELECT point_id, direction_id, round(start_x, 3) AS start_x, round(start_y, 3) AS start_y, round(coalesce(hit_x, start_x + fetch_length_m * sin(radians(azimuth_deg))), 3) AS end_x, round(coalesce(hit_y, start_y + fetch_length_m * cos(radians(azimuth_deg))), 3) AS end_y FROM traced", *GV, **GQ))
+    with_views("SELECT point_id, count(*) AS n, round(sum(round(fetch_length_m, 3)), 2) AS total, 5.0::DOUBLE AS sixth, count(hit_x) AS hits FROM traced GROUP BY 1", *GV, **GQ))
+add("G-15", lambda s, d: _r(G.offset_segments(traced(s, d))).join(G.source_points(traced(s, d)).select("point_id"), "point_id"), with_views("SELECT DISTINCT point_id, round(x, 3) AS x, round(y, 3) AS y, round(start_x, 3) + 0 AS start_x, round(start_y, 3) + 0 AS start_y FROM traced", *GV, **GQ))
+add("G-16", lambda s, d: _r(G.hit_points(traced(s, d))).select("point_id", "direction_id", "hit_x", "hit_y"), with_views("SELECT point_id, direction_id, round(hit_x, 3) + 0 AS hit_x, round(hit_y, 3) + 0 AS hit_y FROM traced WHERE hit_found", *GV, **GQ))
+add("G-17", lambda s, d: _r(G.ray_layer(traced(s, d))), with_views("SELECT point_id, direction_id, round(start_x, 3) + 0 AS start_x, round(start_y, 3) + 0 AS start_y, round(coalesce(hit_x, start_x + fetch_length_m * sin(radians(azimuth_deg))), 3) AS end_x, round(coalesce(hit_y, start_y + fetch_length_m * cos(radians(azimuth_deg))), 3) AS end_y FROM traced", *GV, **GQ))
 add("G-18", lambda s, d: view(s, d, "v_points").select("point_id", (F.col("point_id").isNotNull() & F.col("normal_azimuth_deg").between(0, 360)).alias("is_valid")), with_views("SELECT point_id, true AS is_valid FROM v_points", "v_points"))
 
 
@@ -140,7 +140,7 @@ def _there_and_back(s, d):
 
 
 add("G-19", _there_and_back, with_views("SELECT point_id, CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 AS zone, round(lon, 7) AS lon, round(lat, 7) AS lat FROM v_points", "v_points"))
-add("G-20", lambda s, d: G.long_frame(G.trace_fetch(*views(s, d, *GV), [0.0, 90.0], offset_m=0.1, max_m=20_000.0)).groupBy("azimuth_deg").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit_found").alias("hits")), with_views(
+add("G-20", lambda s, d: G.long_frame(G.trace_fetch(*views(s, d, *GV), [0.0, 90.0], offset_m=0.1)).groupBy("azimuth_deg").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit_found").alias("hits")), with_views(
     "SELECT azimuth_deg, count(*) AS n, count(*) FILTER (hit_found) AS hits FROM traced WHERE azimuth_deg IN (0, 90) GROUP BY 1", *GV, **(GQ | {"rays": RAYS.replace("10 * sin", "0.1 * sin").replace("10 * cos", "0.1 * cos")})))
 
 # ---- B: depths ----------------------------------------------------------------------------------------------------
