@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,21 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, as a URI.
 
-    In local mode, where driver and executors are one machine, a temporary folder serves if none is named. On a cluster
-    each machine would write to a folder of its own and later reads would miss files, so there it is an error.
+    A path without a scheme lies in Hadoop's default file system, as for Spark itself. In local mode, where driver and
+    executors are one machine, a temporary folder serves if none is named. On a cluster each machine would write to a
+    folder of its own and later reads would miss files, so there it is an error; so is a path without a scheme where the
+    default file system is each machine's own. A folder that all machines mount is named with the scheme file:.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, local = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master.split("[")[0] == "local"
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        elif spark.sparkContext.master.split("[")[0] == "local":
+        elif local:
             base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
             spark.sparkContext.setCheckpointDir(base)
         else:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    if "://" not in base and base.startswith("/"):
-        base = "file://" + base
+    if not urlsplit(base).scheme:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        if base.startswith("file:") and not local:
+            raise ValueError(f"{base} may be a folder of each machine: name the shared folder in spark.checkpoint.dir with its scheme")
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base.removeprefix("file:")
     return base.rstrip("/")
 
 
