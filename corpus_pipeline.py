@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm.common import documents, materialize, numbered
+from tidewright.llm.common import ROW, WHOLE, documents, materialize, unwrapped, wrapped
 from tidewright.llm.exact_dedup import keep_exact
 from tidewright.llm.language import fit_language_model, held_out_of, keep_identified, learnable
 from tidewright.llm.minhash import keep_near
@@ -51,8 +51,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weigh nothing and are taken with their neighbours in the order. Ties in that order are broken by source and md5. An
     empty table stays empty.
     """
-    rows = numbered(docs)
-    return apply_mix(rows, mix_sources(rows))
+    rows = wrapped(docs)
+    return unwrapped(apply_mix(rows, mix_sources(rows.select(f"{WHOLE}.doc_id", f"{WHOLE}.text", f"{WHOLE}.source", ROW))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,18 +85,21 @@ def test_quality_hash_collisions_change_nothing():
     assert sorted(where[times[group] > 1]) == [0, 5]
 
 
-def reference_ids(texts):
+def reference_ids(texts, special_as_text=False):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
+    reference.encode_special_tokens = special_as_text
     return [np.array(e.ids, "<u4").tobytes() for e in reference.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_equals_the_tokenizer():
     texts = ["", " ", "a", "a  b", " a", "a\n\nb", "a \nb", "x\ty", "it's 12\n3 é ü 東京 a", "a b.\nc d", "z " * 300, "no break", "end\n", "<|endoftext|> a", "x 's 't it's"]
+    texts += ["hello <|endoftext|> x", "a<|endoftext|>b c", "<|endoftext|>", "x <|endoftext", "|> y"]
     assert packing.Encoder().encode(texts) == reference_ids(texts)
+    assert packing.Encoder(special_as_text=True).encode(texts) == reference_ids(texts, True)
+    assert reference_ids(texts) != reference_ids(texts, True)
 
 
 def test_encoder_equals_the_tokenizer_on_all_documents():

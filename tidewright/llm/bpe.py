@@ -16,9 +16,11 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -223,14 +225,15 @@ class ByteBpe:
         return b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_HELD: dict[str | None, ByteBpe] = {}
-
-
 def bpe_of(path: str | None) -> ByteBpe:
-    """The worker's coder of a vocabulary: read once, with the words that it knows."""
-    if path not in _HELD:
-        _HELD[path] = ByteBpe(path)
-    return _HELD[path]
+    """The coder of this process: the vocabulary is read, and words are learnt, once for all tasks that a worker runs.
+
+    This package's code travels to workers with each task, so its own module variables would be new in each.
+    """
+    held = sys.modules.setdefault("_tidewright_coders", ModuleType("_tidewright_coders")).__dict__
+    if path not in held:
+        held[path] = ByteBpe(path)
+    return held[path]
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"

@@ -99,3 +99,16 @@ ROW = "_row_number"
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with numbers of its rows in the column ROW, the same each time as long as docs is read in the same order."""
     return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+#: Holds a row's own columns, whatever their names, while a decision on it is joined back.
+WHOLE = "_in"
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """The columns of docs in one, WHOLE, beside the row's number, ROW; so no name of theirs clashes. As numbered()."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(WHOLE), F.monotonically_increasing_id().alias(ROW))
+
+
+def unwrapped(rows: DataFrame) -> DataFrame:
+    return rows.select(f"{WHOLE}.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE_BYTES, batch_texts, documents, join_groups, materialize, mix64, numbered
+from .common import ROW, SPACE_BYTES, WHOLE, batch_texts, documents, join_groups, materialize, mix64, unwrapped, wrapped
 
 #: Primes under 2 ** 31, and a base for each: the products of a chunk can be summed in 64 bits.
 PRIMES = (2147483647, 2147483629)
@@ -223,9 +223,9 @@ def keep_exact(docs: DataFrame) -> DataFrame:
 
     docs is read more than once, and has to give its rows in the same order each time, as a written table does.
     """
-    rows = numbered(docs)
-    kept = exact_classes(rows, ROW).where("kept").select(F.col("row").alias(ROW))
-    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW)
+    rows = wrapped(docs)
+    kept = exact_classes(rows.select(f"{WHOLE}.doc_id", f"{WHOLE}.text", ROW), ROW).where("kept").select(F.col("row").alias(ROW))
+    return unwrapped(rows.join(kept.hint("merge"), ROW, "left_semi"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,7 +202,7 @@ def keep_identified(docs: DataFrame, model: dict | None, min_score: float | None
     if min_score is None:
         min_score = float(model["min_score"]) if model else 0.0
     kept = F.col("_score") >= min_score
-    named = docs.select(*[F.col(c).alias(f"_in{i}") for i, c in enumerate(docs.columns)], F.col("text").cast("string").alias("_text"))
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)], F.col("text").cast("string").alias("_text"))
     fields = [(f"_in{i}", f.dataType.simpleString()) for i, f in enumerate(docs.schema.fields)]
     out = named.mapInArrow(predict_rows(model), ", ".join(f"{n} {t}" for n, t in [*fields, ("lang_pred", "string"), ("score", "double")]))
     return out.withColumn("_score", F.col("score")).where(kept & (F.col("lang_pred") != UNKNOWN)).select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, batch_texts, documents, join_groups, materialize, mix64, numbered, runs_of_texts
+from .common import ROW, WHOLE, batch_texts, documents, join_groups, materialize, mix64, runs_of_texts, unwrapped, wrapped
 from .components import connected_components
 
 WORDS = 5
@@ -354,11 +354,11 @@ def keep_near(docs: DataFrame, **options) -> DataFrame:
     Texts without a word are no copies of one another. Classes are of rows, so rows may share a doc_id or have none. docs is read more than once, and has to give its rows
     in the same order each time, as a written table does.
     """
-    rows = numbered(docs)
-    near = near_classes(rows.select(F.col(ROW).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(ROW), "class_id")
+    rows = wrapped(docs)
+    near = near_classes(rows.select(F.col(ROW).alias("doc_id"), f"{WHOLE}.text"), **options).select(F.col("doc_id").alias(ROW), "class_id")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row"))
-    kept = near.join(rows.select(ROW, "doc_id").hint("merge"), ROW).groupBy("class_id").agg(F.min(order)["row"].alias(ROW)).select(ROW)
-    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW)
+    kept = near.join(rows.select(ROW, f"{WHOLE}.doc_id").hint("merge"), ROW).groupBy("class_id").agg(F.min(order)["row"].alias(ROW)).select(ROW)
+    return unwrapped(rows.join(kept.hint("merge"), ROW, "left_semi"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WORD_PATTERN, documents, materialize, text_or_empty
+from .common import ROW, WHOLE, WORD_PATTERN, documents, materialize, text_or_empty, unwrapped
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -152,9 +152,10 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     texts have no words and are passed over like others; an empty table gives an empty result.
     """
     key = ROW if ROW in docs.columns and ROW in mixed.columns else "doc_id"
-    times = mixed.where("passes > 0").groupBy(key).agg(F.max("passes").alias("_passes"))
-    joined = docs.join(times.hint("merge"), key)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[docs[c] for c in docs.columns if c != ROW])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if key == "doc_id" or c != ROW])
+    times = mixed.where("passes > 0").groupBy(F.col(key).alias("_key")).agg(F.max("passes").alias("_passes"))
+    joined = docs.select(own.alias(WHOLE), F.col(key).alias("_key")).join(times.hint("merge"), "_key")
+    return unwrapped(joined.select(WHOLE, F.explode(F.sequence(F.lit(1), F.col("_passes")))))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,15 +45,17 @@ class Encoder:
 
     The vocabulary's own pre-tokeniser never joins what stands on the two sides of a single blank or line feed between
     two words; the blank goes with the word after it, the line feed stands alone. So a text is cut there and the ids
-    that the tokenizer gives for each piece are remembered; texts with any other white space are encoded whole.
+    that the tokenizer gives for each piece are remembered; texts with any other white space, or with the name of a
+    special token, are encoded whole. special_as_text: such names are text like any other, not the tokens' ids.
     """
 
-    def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path or vocabulary_path("byte_bpe_50k.json"))
-        self._tokenizer.encode_special_tokens = True  # names of special tokens in a text are text
+        self._tokenizer.encode_special_tokens = special_as_text
+        self._special = () if special_as_text else tuple(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
         self._lengths = np.zeros(self._tokenizer.get_vocab_size(), np.int64)  # in bytes: the vocabulary spells a byte as a character
         for token, i in self._tokenizer.get_vocab().items():
             self._lengths[i] = len(token)
@@ -80,7 +82,7 @@ class Encoder:
             self._first = {}
         older, later, first, cut, pieces, heads = self._older, self._later, self._first, [], set(), set()
         for text in texts:
-            if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)):
+            if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)) or any(map(text.__contains__, self._special)):
                 cut.append(None)
                 continue
             lines = []
