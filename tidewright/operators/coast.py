@@ -39,23 +39,6 @@ def segments_of(vertices: DataFrame) -> DataFrame:
     return s.withColumn("start", F.sum("length").over(along()) - F.col("length"))
 
 
-def node_segments(segments: DataFrame, cell: float = 1000.0) -> DataFrame:
-    """seg_id, t0, t1: segments (seg_id, x0, y0, x1, y1) split where others cross them, as shares of their length."""
-    from .fetch import segment_cells
-
-    c = segment_cells(segments.select("seg_id", "x0", "y0", "x1", "y1"), cell)
-    o = c.select(F.col("seg_id").alias("o_id"), F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), "cx", "cy")
-    p = c.join(o, ["cx", "cy"]).where("seg_id <> o_id").drop("cx", "cy").distinct()
-    rx, ry, sx, sy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0")
-    qx, qy, cross = F.col("u0") - F.col("x0"), F.col("v0") - F.col("y0"), rx * sy - ry * sx
-    t, u = F.try_divide(qx * sy - qy * sx, cross), F.try_divide(qx * ry - qy * rx, cross)
-    cuts = p.where(F.abs(cross) >= 1e-9).select("seg_id", t.alias("t"), u.alias("u")).where("t > 0 and t < 1 and u >= 0 and u <= 1")
-    held = segments.select("seg_id").join(cuts.groupBy("seg_id").agg(F.array_sort(F.collect_set(F.round("t", 9))).alias("ts")), "seg_id", "left")
-    marks = F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0)))
-    rows = held.select("seg_id", marks.alias("m"))
-    return rows.select("seg_id", F.explode(F.arrays_zip(F.slice("m", 1, F.size("m") - 1).alias("t0"), F.slice("m", 2, F.size("m") - 1).alias("t1"))).alias("p")).select("seg_id", "p.t0", "p.t1")
-
-
 def node_key(x: Column | str, y: Column | str, decimals: int = 3) -> Column:
     return F.concat_ws("/", F.format_string(f"%.{decimals}f", x), F.format_string(f"%.{decimals}f", y))
 

@@ -13,6 +13,7 @@ from ..operators import coast as L
 from ..operators import exposure as X
 from ..operators import fetch as G
 from ..operators import graph as Q
+from ..operators import noding as D
 from ..shared import shared_path
 from ..sources import files as S
 from .climate import daily
@@ -50,9 +51,25 @@ TREE = {"t": "SELECT CAST(floor(seg_id / 2) AS BIGINT) AS u, seg_id AS v, CAST(s
 add("C-01", lambda s, d: L.snap_vertices(vertices(s, d), 60.0).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)}), with_views("""SELECT a.line_id, a.pos, round(coalesce(m.b.x, a.x), 6) AS x, round(coalesce(m.b.y, a.y), 6) AS y, m.b IS NOT NULL AS is_snapped FROM v a LEFT JOIN
     (SELECT a.line_id, a.pos, arg_min(struct_pack(x := b.x, y := b.y), row(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.line_id, b.pos)) AS b FROM v a JOIN v b ON a.line_id <> b.line_id AND abs(a.x - b.x) <= 60 AND abs(a.y - b.y) <= 60
      WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 60 GROUP BY 1, 2) m ON m.line_id = a.line_id AND m.pos = a.pos""", "v_segments", **VQ))
-add("C-02", lambda s, d: L.node_segments(view(s, d, "v_segments")).groupBy("seg_id").agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum(F.col("t1") - F.col("t0")), 6).alias("whole")), with_views("""SELECT s.seg_id, 1 + count(DISTINCT round(t, 9)) AS pieces, 1.0::DOUBLE AS whole FROM v_segments s LEFT JOIN (
-    SELECT seg_id, (qx * sy - qy * sx) / cr AS t, (qx * ry - qy * rx) / cr AS u FROM (SELECT a.seg_id, (a.x1 - a.x0) AS rx, (a.y1 - a.y0) AS ry, (b.x1 - b.x0) AS sx, (b.y1 - b.y0) AS sy, b.x0 - a.x0 AS qx, b.y0 - a.y0 AS qy, (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0) AS cr
-      FROM v_segments a JOIN v_segments b ON a.seg_id <> b.seg_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) WHERE abs(cr) >= 1e-9) c ON c.seg_id = s.seg_id AND t > 0 AND t < 1 AND u >= 0 AND u <= 1 GROUP BY 1""", "v_segments"))
+# snap rounding in whole millimetres: floor(a / b) of whole numbers is (a - ((a % b) + b) % b) // b
+_FLOOR = lambda n, m: f"CAST((({n}) - ((({n}) % ({m})) + ({m})) % ({m})) // ({m}) AS BIGINT)"
+_SIDE = lambda i, j: f"((ex - ax) * (2 * (py - ay) + {j}) - (ey - ay) * (2 * (px - ax) + {i}))"
+NODING = {
+    "px": "SELECT seg_id, " + ", ".join(f"CAST(floor(({c}) / 0.001::DOUBLE + 0.5) AS BIGINT) AS {n}" for c, n in (("x0", "ax"), ("y0", "ay"), ("x0 + (x1 - x0) * 15", "ex"), ("y0 + (seg_id % 51 - 25) * 150", "ey"))) + " FROM v_segments",
+    "pairs": """SELECT a.ax, a.ay, a.ex - a.ax AS rx, a.ey - a.ay AS ry, b.ex - b.ax AS sx, b.ey - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM px a JOIN px b ON a.seg_id < b.seg_id
+        AND least(a.ax, a.ex) <= greatest(b.ax, b.ex) AND least(b.ax, b.ex) <= greatest(a.ax, a.ex) AND least(a.ay, a.ey) <= greatest(b.ay, b.ey) AND least(b.ay, b.ey) <= greatest(a.ay, a.ey)""",
+    "met": "SELECT ax, ay, rx, ry, CAST(abs(den) AS HUGEINT) AS den, CAST(t * sign(den) AS HUGEINT) AS t FROM (SELECT *, rx * sy - ry * sx AS den, qx * sy - qy * sx AS t, qx * ry - qy * rx AS u FROM pairs) WHERE den <> 0 AND t * sign(den) BETWEEN 0 AND abs(den) AND u * sign(den) BETWEEN 0 AND abs(den)",
+    "hot": f"SELECT DISTINCT px, py FROM (SELECT ax AS px, ay AS py FROM px WHERE ax <> ex OR ay <> ey UNION ALL SELECT ex, ey FROM px WHERE ax <> ex OR ay <> ey UNION ALL SELECT ax + {_FLOOR('2 * t * rx + den', '2 * den')}, ay + {_FLOOR('2 * t * ry + den', '2 * den')} FROM met)",
+    "passed": f"""SELECT seg_id, px, py, (px - ax) * (ex - ax) + (py - ay) * (ey - ay) AS along FROM px JOIN hot ON px BETWEEN least(ax, ex) AND greatest(ax, ex) AND py BETWEEN least(ay, ey) AND greatest(ay, ey)
+        WHERE (ax <> ex OR ay <> ey) AND (least({_SIDE(-1, -1)}, {_SIDE(-1, 1)}, {_SIDE(1, -1)}, {_SIDE(1, 1)}) < 0 AND greatest({_SIDE(-1, -1)}, {_SIDE(-1, 1)}, {_SIDE(1, -1)}, {_SIDE(1, 1)}) > 0 OR {_SIDE(-1, -1)} = 0)""",
+}
+def _crossing_segments(s, d):
+    """Longer segments from the same places in all directions, which cross one another."""
+    v = view(s, d, "v_segments")
+    return v.withColumns({"x1": F.col("x0") + (F.col("x1") - F.col("x0")) * 15, "y1": F.col("y0") + (F.col("seg_id") % 51 - 25) * 150})
+
+
+add("C-02", lambda s, d: D.node_pieces(_crossing_segments(s, d)), with_views("SELECT * FROM (SELECT seg_id, row_number() OVER w AS piece, px AS ux, py AS uy, lead(px) OVER w AS vx, lead(py) OVER w AS vy FROM passed WINDOW w AS (PARTITION BY seg_id ORDER BY along, px, py)) WHERE vx IS NOT NULL", "v_segments", **NODING))
 add("C-03", lambda s, d: Q.build_edges(view(s, d, "v_edges").unionByName(view(s, d, "v_edges").select(F.col("v").alias("u"), F.col("u").alias("v"), (F.col("weight") * 2).alias("weight")))), with_views("SELECT u, v, weight * 2 AS weight FROM v_edges", "v_edges"))
 add("C-04", lambda s, d: Q.components(view(s, d, "v_edges")), with_views("SELECT node, component FROM cc", "v_edges", **EDGES, **CC))
 add("C-05", lambda s, d: Q.maximum_spanning_forest(view(s, d, "v_edges")).agg(F.count(F.lit(1)).alias("n")), with_views("SELECT count(*) - count(DISTINCT component) AS n FROM cc", "v_edges", **EDGES, **CC))
