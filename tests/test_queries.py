@@ -59,7 +59,7 @@ def test_no_negative_zero(spark):
 
 
 #: Without SQL, each of these is held against brute force in test_whole.py or test_walks.py.
-NO_SQL = {"C-07", "C-14", "C-19", "C-23", "P-04", "G-08", "G-09", "G-10", "G-11", "B-05", "B-08"}
+NO_SQL = {"C-07", "C-14", "P-04", "G-08", "G-09", "G-10", "G-11", "B-05", "B-08"}
 
 
 def test_queries_without_sql_are_known():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,56 +91,36 @@ def line_ends(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("line_id").agg(F.min_by(F.struct("x", "y"), "pos").alias("head"), F.max_by(F.struct("x", "y"), "pos").alias("tail"))
 
 
-def build_chains(ends: list[tuple[int, tuple[float, float], tuple[float, float]]], gap: float = 150.0, passes: int = 20) -> dict[int, int]:
-    """Line -> chain. In each pass every chain, in order, takes the nearest free chain whose end is within the gap.
+def chain_lines(vertices: DataFrame, gap: float = 150.0, passes: int = 20) -> DataFrame:
+    """line_id, chain_id. In each pass every chain, in order of id, takes the nearest free chain whose end is within the gap.
 
-    The order is part of what this computes, so it runs on the ends alone, in one place. Free ends are looked up in
-    square cells of the gap, so a chain is compared with those around its own ends only.
+    A chain has the smallest id of its lines. Passes go on until one joins nothing, `passes` at most. Candidates meet by
+    cells, the choices of a pass are made by greedy_pairs(); a chain is one row, with its two tips.
     """
-    chains = {i: [i] for i, _, _ in ends}
-    tips = {i: (h, t) for i, h, t in ends}
-    cell = lambda p: (int(p[0] // gap), int(p[1] // gap))
+    from ..shared import discard, written
+
+    tips = written(line_ends(vertices).select(F.col("line_id").cast("long").alias("chain_id"), "head", "tail"), "tips")
+    members = written(tips.select(F.col("chain_id").alias("line_id"), "chain_id"), "members")
     for _ in range(passes):
-        merged, used, free = False, set(), {}
-        for i, pair in tips.items():
-            for p in pair:
-                free.setdefault(cell(p), set()).add(i)
-        for a in sorted(chains):
-            if a in used or a not in chains:
-                continue
-            around = {b for p in tips[a] for cx, cy in [cell(p)] for i in (-1, 0, 1) for j in (-1, 0, 1) for b in free.get((cx + i, cy + j), ())}
-            found = []
-            for b in around - used - {a}:
-                ways = ((tips[a][1], tips[b][0]), (tips[a][1], tips[b][1]), (tips[a][0], tips[b][0]), (tips[a][0], tips[b][1]))
-                found += [(d, b, mode) for mode, (p, q) in enumerate(ways) if (d := float(np.hypot(p[0] - q[0], p[1] - q[1]))) <= gap]
-            if found:
-                _, b, mode = min(found)
-                (ah, at), (bh, bt) = tips[a], tips.pop(b)
-                tips[a] = {0: (ah, bt), 1: (ah, bh), 2: (at, bt), 3: (bh, at)}[mode]
-                chains[a] += chains.pop(b)
-                used |= {a, b}
-                merged = True
-        if not merged:
+        every = tips.select("chain_id", F.posexplode(F.array("head", "tail")).alias("is_tail", "p")).select("chain_id", "is_tail", "p.x", "p.y")
+        pairs = near_pairs(every, every, gap, ["chain_id", "is_tail"], ["chain_id", "is_tail"]).where("a_chain_id < b_chain_id")
+        # ways in the order tail-head, tail-tail, head-head, head-tail
+        mode = F.when(F.col("a_is_tail") == 1, F.col("b_is_tail")).otherwise(F.col("b_is_tail") + 2)
+        best = pairs.groupBy(F.col("a_chain_id").alias("a"), F.col("b_chain_id").alias("b")).agg(F.min(F.struct("d", mode.alias("mode"))).alias("way"))
+        found = greedy_pairs(best.select("a", "b", "way.d", "way.mode"))
+        if found.isEmpty():
             break
-    return {i: c for c, members in chains.items() for i in members}
-
-
-def chain_lines(vertices: DataFrame, gap: float = 150.0) -> DataFrame:
-    """line_id, chain_id. Lines that could meet are found by cells first; each group of these is chained in a task of its own."""
-    from .graph import components
-
-    ends = line_ends(vertices)
-    tips = ends.select("line_id", F.explode(F.array("head", "tail")).alias("p")).select("line_id", "p.x", "p.y")
-    near = near_pairs(tips, tips, gap, ["line_id"], ["line_id"]).where("a_line_id < b_line_id").select(F.col("a_line_id").alias("u"), F.col("b_line_id").alias("v"), F.lit(0.0).alias("weight")).distinct()
-    groups = ends.join(components(near).withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-    rows = groups.select("line_id", F.col("head.x").alias("hx"), F.col("head.y").alias("hy"), F.col("tail.x").alias("tx"), F.col("tail.y").alias("ty"), "component")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_id")
-        found = build_chains([(int(r.line_id), (r.hx, r.hy), (r.tx, r.ty)) for r in pdf.itertuples()], gap)
-        return pd.DataFrame({"line_id": list(found), "chain_id": list(found.values())})
-
-    return rows.groupBy("component").applyInPandas(chain, "line_id long, chain_id long")
+        left = tips.select(F.col("chain_id").alias("a"), F.col("head").alias("ah"), F.col("tail").alias("at"))
+        right = tips.select(F.col("chain_id").alias("b"), F.col("head").alias("bh"), F.col("tail").alias("bt"))
+        merged = found.join(left, "a").join(right, "b")
+        head = F.when(F.col("mode") < 2, F.col("ah")).when(F.col("mode") == 2, F.col("at")).otherwise(F.col("bh"))
+        tail = F.when(F.col("mode") == 0, F.col("bt")).when(F.col("mode") == 1, F.col("bh")).when(F.col("mode") == 2, F.col("bt")).otherwise(F.col("at"))
+        taken = found.select(F.explode(F.array("a", "b")).alias("chain_id"))
+        new_tips = written(tips.join(taken, "chain_id", "left_anti").unionByName(merged.select(F.col("a").alias("chain_id"), head.alias("head"), tail.alias("tail"))), "tips")
+        new_members = written(members.join(found.select(F.col("b").alias("chain_id"), "a"), "chain_id", "left").select("line_id", F.coalesce("a", "chain_id").alias("chain_id")), "members")
+        discard(tips, members)
+        tips, members = new_tips, new_members
+    return members
 
 
 def clip_segments(segments: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
@@ -178,32 +158,91 @@ def open_ends(ends: DataFrame, box: tuple[float, float, float, float], tolerance
     return near.join(met, ["origin", "end_id"], "left_anti")
 
 
-def bridge_candidates(ends: DataFrame, tolerance: float, max_gap: float) -> DataFrame:
-    pairs = near_pairs(ends, ends, max_gap, ["origin", "end_id"], ["origin", "end_id"])
-    return pairs.where((F.col("a_origin") != F.col("b_origin")) & (F.col("a_end_id") < F.col("b_end_id")) & (F.col("d") > tolerance))
-
-
-def greedy_bridges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """In the order of first ends each takes its nearest later end of another origin; every end is used once."""
-    used, out = set(), []
-    for a, rows in pdf.sort_values(["a_end_id", "d", "b_end_id"]).groupby("a_end_id", sort=True):
-        if a in used:
-            continue
-        for r in rows.itertuples():
-            if r.b_end_id not in used:
-                used |= {a, r.b_end_id}
-                out.append((int(a), int(r.b_end_id), float(r.d)))
-                break
-    return pd.DataFrame(out, columns=["a_end_id", "b_end_id", "d"])
+def bridge_candidates(ends: DataFrame, tolerance: float, max_gap: float, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """a_end_id < b_end_id, d of ends of different origins more than the tolerance and at most max_gap apart.
 
+    With a box a bridge may not run through its inside, from which a quarter of the tolerance is taken all round.
+    """
+    pairs = near_pairs(ends, ends, max_gap, ["origin", "end_id"], ["origin", "end_id"])
+    pairs = pairs.where((F.col("a_origin") != F.col("b_origin")) & (F.col("a_end_id") < F.col("b_end_id")) & (F.col("d") > tolerance))
+    if box is None:
+        return pairs
+    xmin, ymin, xmax, ymax = box[0] + tolerance / 4, box[1] + tolerance / 4, box[2] - tolerance / 4, box[3] - tolerance / 4
+    if xmin >= xmax or ymin >= ymax:
+        return pairs
+    low, high, inside = F.lit(0.0), F.lit(1.0), F.lit(True)
+    for a, b, least, most in (("ax", "bx", xmin, xmax), ("ay", "by", ymin, ymax)):
+        step = F.col(b) - F.col(a)
+        enter, leave = F.try_divide(least - F.col(a), step), F.try_divide(most - F.col(a), step)
+        level = step == 0
+        low, high = F.greatest(low, F.when(~level, F.least(enter, leave))), F.least(high, F.when(~level, F.greatest(enter, leave)))
+        inside = inside & (~level | ((F.col(a) > least) & (F.col(a) < most)))
+    return pairs.where(~(inside & (low < high)))
+
+
+#: So many choosers are decided in one task, in order.
+CHUNK = 50_000
+
+
+def greedy_pairs(candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The rows (a, b, d, ...) that a loop over a, in order, chooses: its nearest free b (ties: the smaller); each is used once.
+
+    candidates: a < b, a row per pair. In rounds: a chooser decides at once if no undecided one before it could take it or
+    its nearest free partner, for then the loop would choose the same; what it takes is out of reach for all others. The
+    first chooser always can, but where all choices hang on the one before, few others can. Then, and when no more than
+    `chunk` are left, the first `chunk` choosers are decided in order in one task: they depend on no others.
+    """
+    from ..shared import discard, written
+
+    left = written(candidates, "candidates")
+    chosen = []
+    while not left.isEmpty():
+        best = left.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best"))
+        first = left.groupBy("b").agg(F.min("a").alias("first"))
+        n = left.select("a").distinct().count()
+        found = None
+        if n > chunk:
+            ready = best.select("a", F.col("best.b").alias("b")).join(first, "b").where("first = a").drop("first")
+            found = written(left.join(ready.join(first.select(F.col("b").alias("a")), "a", "left_anti"), ["a", "b"]), "chosen")
+            if found.count() * 64 < n:
+                discard(found)
+                found = None
+        if found is None:
+            last = left.select("a").distinct().orderBy("a").limit(max(chunk, 1)).agg(F.max("a").alias("last"))
+            firsts = left.join(F.broadcast(last), F.col("a") <= F.col("last")).drop("last")  # one row
+            found = written(firsts.repartition(1).sortWithinPartitions("a", "d", "b").mapInPandas(_in_order, left.schema), "chosen")
+        chosen.append(found)
+        used = found.select(F.explode(F.array("a", "b")).alias("used"))
+        rest = left.join(used, left["a"] == used["used"], "left_anti").join(used, left["b"] == used["used"], "left_anti")
+        if n <= chunk:
+            break
+        done = left
+        if chosen[-1].isEmpty():  # choosers without a free partner
+            rest = rest.join(F.broadcast(last), F.col("a") > F.col("last")).drop("last")
+        left = written(rest, "candidates")
+        discard(done)
+    out = chosen[0] if chosen else left
+    for more in chosen[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by a, d, b those whose a and b are both still free."""
+    used = set()
+    for batch in batches:
+        kept = []
+        for i, (a, b) in enumerate(zip(batch["a"].tolist(), batch["b"].tolist(), strict=True)):
+            if a not in used and b not in used:
+                used |= {a, b}
+                kept.append(i)
+        yield batch.iloc[kept]
 
-def bridges(ends: DataFrame, tolerance: float = 2.0, max_gap: float = 100.0) -> DataFrame:
-    """Greedy bridges, separately in each group of ends that candidates connect."""
-    from .graph import components
 
-    c = bridge_candidates(ends, tolerance, max_gap).select("a_end_id", "b_end_id", "d")
-    groups = components(c.select(F.col("a_end_id").alias("u"), F.col("b_end_id").alias("v"), F.lit(0.0).alias("weight"))).select(F.col("node").alias("a_end_id"), "component")
-    return c.join(groups, "a_end_id").groupBy("component").applyInPandas(lambda pdf: greedy_bridges(pdf), "a_end_id long, b_end_id long, d double")
+def bridges(ends: DataFrame, tolerance: float = 2.0, max_gap: float = 100.0, box: tuple[float, float, float, float] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """a_end_id, b_end_id, d: in order, each end takes its nearest later end of another origin that a bridge may reach."""
+    c = bridge_candidates(ends, tolerance, max_gap, box).select(F.col("a_end_id").alias("a"), F.col("b_end_id").alias("b"), "d")
+    return greedy_pairs(c, chunk).select(F.col("a").alias("a_end_id"), F.col("b").alias("b_end_id"), "d")
 
 
 def contract_chains(edges: DataFrame) -> DataFrame:
@@ -232,7 +271,8 @@ def douglas_peucker(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarra
         px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
         length2 = dx * dx + dy * dy
         t = np.clip((px * dx + py * dy) / length2, 0, 1) if length2 else np.zeros(len(px))
-        d = np.hypot(px - t * dx, py - t * dy)
+        u, v = px - t * dx, py - t * dy
+        d = np.sqrt(u * u + v * v)
         i = int(np.argmax(d))
         if d[i] > tolerance:
             keep[a + 1 + i] = True
@@ -240,17 +280,61 @@ def douglas_peucker(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarra
     return keep
 
 
-def simplify_lines(vertices: DataFrame, tolerance: float) -> DataFrame:
-    """Douglas-Peucker, a line at a time."""
+#: Stretches of so many vertices are simplified in one task.
+STRETCH = 10_000
+
+
+def simplify_lines(vertices: DataFrame, tolerance: float, stretch: int = STRETCH) -> DataFrame:
+    """Douglas-Peucker: line_id, pos, x, y of the vertices that stay.
+
+    Level by level: each round finds the farthest vertex of every open stretch of every line by one aggregate, which
+    combines in each task first, and splits there; so a line's vertices are spread over all tasks. Stretches that have
+    come down to `stretch` vertices are finished in a task each. Ties go to the first vertex; positions are unique.
+    """
+    from ..shared import discard, written
+
     if tolerance < 0:
         raise ValueError("the tolerance is not negative")
+    rows = vertices.select(F.col("line_id").cast("long").alias("line_id"), F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    ends = rows.groupBy("line_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.min_by(F.struct("x", "y"), "pos").alias("pa"), F.max_by(F.struct("x", "y"), "pos").alias("pb"))
+    kept = [rows.join(ends.select("line_id", "a", "b"), "line_id").where("pos = a or pos = b").drop("a", "b")]
+    left = written(rows.join(ends, "line_id").where("pos > a and pos < b"), "open-vertices")
+    finished = []
+    dx, dy = F.col("pb.x") - F.col("pa.x"), F.col("pb.y") - F.col("pa.y")
+    px, py, length2 = F.col("x") - F.col("pa.x"), F.col("y") - F.col("pa.y"), dx * dx + dy * dy
+    t = F.coalesce(F.greatest(F.least(F.try_divide(px * dx + py * dy, length2), F.lit(1.0)), F.lit(0.0)), F.lit(0.0))
+    far = F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
+    while True:
+        best = left.groupBy("line_id", "a", "b").agg(F.count("*").alias("n"), F.max(F.struct(far.alias("d"), (-F.col("pos")).alias("before"), "x", "y")).alias("far"))
+        splits = written(best.where(F.col("far.d") > tolerance).select("line_id", "a", "b", "n", (-F.col("far.before")).alias("m"), F.struct("far.x", "far.y").alias("pm")), "splits")
+        if splits.isEmpty():
+            break
+        small = left.join(splits.where(F.col("n") <= stretch).select("line_id", "a", "b"), ["line_id", "a", "b"])
+        finished.append(written(small.groupBy("line_id", "a", "b").applyInPandas(_finished(tolerance), rows.schema), "simplified"))
+        large = splits.where(F.col("n") > stretch)
+        kept.append(large.select("line_id", F.col("m").alias("pos"), "pm.x", "pm.y"))
+        at = left.join(large.drop("n"), ["line_id", "a", "b"]).where("pos <> m")
+        below = F.col("pos") < F.col("m")
+        parts = at.select("line_id", "pos", "x", "y", F.when(below, F.col("a")).otherwise(F.col("m")).alias("a"), F.when(below, F.col("m")).otherwise(F.col("b")).alias("b"), F.when(below, F.col("pa")).otherwise(F.col("pm")).alias("pa"), F.when(below, F.col("pm")).otherwise(F.col("pb")).alias("pb"))
+        done = left
+        left = written(parts, "open-vertices")
+        discard(done)
+    out = kept[0]
+    for more in kept[1:] + finished:
+        out = out.unionByName(more)
+    return out
+
+
+def _finished(tolerance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Simplifies a stretch (rows between its ends, whose places each row carries) and returns what stays of its inside."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        return pdf[douglas_peucker(pdf.x.to_numpy(float), pdf.y.to_numpy(float), tolerance)]
+        first, last = pdf.iloc[0]["pa"], pdf.iloc[0]["pb"]
+        x, y = (np.array([first[c], *pdf[c], last[c]], float) for c in ("x", "y"))
+        return pdf[douglas_peucker(x, y, tolerance)[1:-1]][["line_id", "pos", "x", "y"]]
 
-    rows = vertices.select(F.col("line_id").cast("long").alias("line_id"), F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.groupBy("line_id").applyInPandas(run, "line_id long, pos long, x double, y double")
+    return run
 
 
 def points_at(vertices: DataFrame, chainages: DataFrame, block_m: float = 50_000.0) -> DataFrame:

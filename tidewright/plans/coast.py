@@ -102,11 +102,27 @@ _ends = lambda s, d: view(s, d, "v_segments").select(F.when(F.col("seg_id") % 2
 ENDS = {"ends": "SELECT CASE WHEN seg_id % 2 = 0 THEN 'a' ELSE 'b' END AS origin, seg_id AS end_id, x0 AS x, y0 AS y FROM v_segments",
         "nearby": "SELECT *, CASE list_position(ds, list_min(ds)) WHEN 1 THEN 'west' WHEN 2 THEN 'east' WHEN 3 THEN 'south' ELSE 'north' END AS side FROM (SELECT *, [abs(x - 20000), abs(x - 60000), abs(y - 20000), abs(y - 60000)] AS ds FROM ends) WHERE list_min(ds) <= 400"}
 add("C-18", lambda s, d: L.open_ends(_ends(s, d), BOX, 400.0).select("origin", "end_id", "side"), with_views("SELECT origin, end_id, side FROM nearby a WHERE NOT EXISTS (SELECT 1 FROM nearby b WHERE b.origin <> a.origin AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 400)", "v_segments", **ENDS))
-add("C-19", lambda s, d: L.bridges(_ends(s, d), 2.0, 2500.0))
+# in the order of first ends; of candidates that run along neither outside nor edge of the box, the slab between entering and leaving it is empty
+_SLAB = lambda c, o, f: f"{f}(CASE WHEN b.{c} <> a.{c} THEN {o}((20000.5 - a.{c}) / (b.{c} - a.{c}), (59999.5 - a.{c}) / (b.{c} - a.{c})) END, "
+BRIDGES = {"near": f"""SELECT a.end_id AS a, b.end_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM ends a JOIN ends b ON a.origin <> b.origin AND a.end_id < b.end_id AND abs(a.x - b.x) <= 2500 AND abs(a.y - b.y) <= 2500
+    WHERE NOT ({_SLAB("x", "least", "greatest")}{_SLAB("y", "least", "greatest")}0)) < {_SLAB("x", "greatest", "least")}{_SLAB("y", "greatest", "least")}1)) AND (a.x <> b.x OR a.x > 20000.5 AND a.x < 59999.5) AND (a.y <> b.y OR a.y > 20000.5 AND a.y < 59999.5))""",
+    "c": "SELECT * FROM near WHERE d > 2 AND d <= 2500"}
+add("C-19", lambda s, d: L.bridges(_ends(s, d), 2.0, 2500.0, BOX), with_views("""SELECT p.a AS a_end_id, p.b AS b_end_id, p.d AS d FROM (
+    WITH RECURSIVE held AS MATERIALIZED (SELECT a, list_sort(list(struct_pack(d := d, b := b))) AS ways FROM c GROUP BY 1), chooser AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a) AS n, * FROM held),
+    g(n, p, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS STRUCT(a BIGINT, b BIGINT, d DOUBLE)), CAST(repeat('0', (SELECT max(end_id) + 1 FROM ends)) AS BIT) UNION ALL
+      SELECT n, CASE WHEN w IS NOT NULL THEN struct_pack(a := a, b := w.b, d := w.d) END, CASE WHEN w IS NULL THEN used ELSE set_bit(set_bit(used, CAST(a AS INTEGER), 1), CAST(w.b AS INTEGER), 1) END
+      FROM (SELECT chooser.n, a, used, CASE WHEN get_bit(used, CAST(a AS INTEGER)) = 0 THEN list_filter(ways, lambda x: get_bit(used, CAST(x.b AS INTEGER)) = 0)[1] END AS w FROM g JOIN chooser ON chooser.n = g.n + 1))
+    SELECT p FROM g WHERE p IS NOT NULL)""", "v_segments", **ENDS, **BRIDGES))
 add("C-20", lambda s, d: L.contract_chains(tree(s, d)).agg(F.count(F.lit(1)).alias("chains"), F.sum("n_edges").alias("edges"), F.sum("length").alias("length")), with_views("SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT node FROM (SELECT u AS node FROM t UNION ALL SELECT v FROM t) GROUP BY 1 HAVING count(*) = 2)) AS chains, count(*) AS edges, sum(weight) AS length FROM t", "v_segments", **TREE))
 add("C-21", lambda s, d: L.line_summary(vertices(s, d)).withColumn("length_m", F.round("length_m", 4)), with_views("SELECT a.*, round(length_m, 4) AS length_m FROM (SELECT line_id, count(*) AS n_vertices, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM v GROUP BY 1) a JOIN len l ON l.line_id = a.line_id", "v_segments", **VQ, **SEGS, **ROLES))
 add("C-22", lambda s, d: view(s, d, "v_points").select("point_id", geodesy.utm_epsg("lon", "lat").alias("epsg")), with_views("SELECT point_id, CAST(32601 + floor((lon + 180) / 6) AS INTEGER) AS epsg FROM v_points", "v_points"))
-add("C-23", lambda s, d: L.simplify_lines(vertices(s, d), 120.0))
+add("C-23", lambda s, d: L.simplify_lines(vertices(s, d), 120.0), with_views("""SELECT line_id, pos, x, y FROM v JOIN (SELECT DISTINCT line_id, unnest([a, b]) AS pos FROM (
+    WITH RECURSIVE iv(line_id, a, b) AS (SELECT line_id, min(pos), max(pos) FROM v GROUP BY 1 UNION ALL
+      SELECT line_id, p[1], p[2] FROM (SELECT line_id, unnest([[a, m], [m, b]]) AS p FROM (SELECT line_id, a, b, max(d) AS d, arg_max(pos, row(d, -pos)) AS m FROM (
+        SELECT line_id, a, b, pos, sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)) AS d FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(least((px * dx + py * dy) / (dx * dx + dy * dy), 1), 0) ELSE 0 END AS t FROM (
+          SELECT iv.line_id, a, b, v.pos, v.x - va.x AS px, v.y - va.y AS py, vb.x - va.x AS dx, vb.y - va.y AS dy FROM iv JOIN v ON v.line_id = iv.line_id AND v.pos > a AND v.pos < b JOIN v va ON va.line_id = iv.line_id AND va.pos = a JOIN v vb ON vb.line_id = iv.line_id AND vb.pos = b)))
+        GROUP BY 1, 2, 3) WHERE d > 120))
+    SELECT * FROM iv)) USING (line_id, pos)""", "v_segments", **VQ))
 
 
 def normals(s, d):
