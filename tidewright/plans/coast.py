@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geodesy
 from ..operators import bathymetry as B
@@ -16,6 +17,7 @@ from ..operators import graph as Q
 from ..operators import noding as D
 from ..shared import shared_path
 from ..sources import files as S
+from ..streaming.backfill import SeriesStore, backfill
 from .climate import daily
 from .fixtures import Registry, view, with_views
 from .space import traced
@@ -215,10 +217,25 @@ def _archive(s, d):
     daily_rows = view(s, d, "v_wind").groupBy("point_id", "date").agg(F.max("ws_kmh").alias("ws"), F.min("direction").cast("double").alias("wd"))
     held = daily_rows.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("date", "ws", "wd"))).alias("a"))
     body = F.struct(F.lit(43.0).alias("latitude"), F.struct(F.transform("a", lambda x: x["date"].cast("string")).alias("time"), F.transform("a", lambda x: x["ws"]).alias("wind_speed_10m_max"), F.transform("a", lambda x: x["wd"]).alias("wind_direction_10m_dominant")).alias("daily"))
-    return S.parse_archive(held.select("point_id", F.to_json(body).alias("payload")))
+    return held.select("point_id", F.to_json(body).alias("payload"))
 
 
-add("S-08", _archive, with_views("SELECT point_id, date, max(ws_kmh) AS ws, CAST(min(direction) AS DOUBLE) AS wd FROM v_wind GROUP BY 1, 2", "v_wind"))
+def _backfilled(s, d):
+    """Payloads land in three deliveries, the third of which is the first again; the series are read from the stream's state."""
+    folder, sent = shared_path(s, "s08"), F.lit("2024-03-01 00:00:00").cast("timestamp")
+    payloads = _archive(s, d).withColumn("sent", sent).withColumn("path_seq", F.lit(1).cast("long"))
+    for name, rows in (("1", payloads.where("point_id % 2 = 0")), ("2", payloads.where("point_id % 2 = 1")), ("3", payloads.where("point_id % 2 = 0"))):
+        rows.write.parquet(f"{folder}/landed/delivery={name}")
+    landed = s.readStream.schema(payloads.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/landed/*")
+    parsed = S.parse_archive(landed, keep=("sent", "path_seq")).withColumnRenamed("date", "obs_date")
+    store = SeriesStore(s, f"{folder}/state", StructType.fromDDL("point_id bigint, obs_date date, ws double, wd double, path_seq bigint"))
+    query = backfill(parsed, store, f"{folder}/checkpoint")
+    query.awaitTermination()
+    store.compact()
+    return store.series().select("point_id", F.col("obs_date").alias("date"), "ws", "wd")
+
+
+add("S-08", _backfilled, with_views("SELECT point_id, date, max(ws_kmh) AS ws, CAST(min(direction) AS DOUBLE) AS wd FROM v_wind GROUP BY 1, 2", "v_wind"))
 add("S-09", lambda s, d: view(s, d, "v_cached").agg(F.greatest(F.min("obs_date"), F.lit("1940-01-01").cast("date")).alias("date_start"), F.least(F.max("obs_date"), F.lit("2024-01-24").cast("date")).alias("date_end")), with_views("SELECT greatest(min(obs_date), DATE '1940-01-01') AS date_start, least(max(obs_date), DATE '2024-01-24') AS date_end FROM v_cached", "v_cached"))
 
 

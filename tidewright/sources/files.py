@@ -108,12 +108,12 @@ def archive_parameters(points: DataFrame, start: str, end: str) -> DataFrame:
     return points.groupBy("batch").agg(joined("lat").alias("latitude"), joined("lon").alias("longitude")).withColumns({"start_date": F.lit(start), "end_date": F.lit(end)})
 
 
-def parse_archive(payload: DataFrame) -> DataFrame:
-    """point_id, payload -> point_id, date, ws, wd; an error answer fails the query with its reason."""
-    p = payload.select("point_id", F.from_json("payload", ARCHIVE).alias("p"))
+def parse_archive(payload: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """point_id, payload -> point_id, date, ws, wd and the columns to keep; an error answer fails the query with its reason."""
+    p = payload.select("point_id", *keep, F.from_json("payload", ARCHIVE).alias("p"))
     checked = p.withColumn("ok", F.when(F.coalesce("p.error", F.lit(False)), F.raise_error(F.coalesce("p.reason", F.lit("error")))).otherwise(F.lit(True)))
     z = F.arrays_zip(F.col("p.daily.time").alias("date"), F.col("p.daily.wind_speed_10m_max").alias("ws"), F.col("p.daily.wind_direction_10m_dominant").alias("wd"))
-    return checked.where("ok").select("point_id", F.explode(z).alias("z")).select("point_id", F.col("z.date").cast("date").alias("date"), "z.ws", "z.wd")
+    return checked.where("ok").select("point_id", *keep, F.explode(z).alias("z")).select("point_id", F.col("z.date").cast("date").alias("date"), "z.ws", "z.wd", *keep)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

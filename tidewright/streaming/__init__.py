@@ -1 +1 @@
-
+"""Structured Streaming: daily series filled up by deliveries."""
