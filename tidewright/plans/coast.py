@@ -74,13 +74,24 @@ def _crossing_segments(s, d):
 add("C-02", lambda s, d: D.node_pieces(_crossing_segments(s, d)), with_views("SELECT * FROM (SELECT seg_id, row_number() OVER w AS piece, px AS ux, py AS uy, lead(px) OVER w AS vx, lead(py) OVER w AS vy FROM passed WINDOW w AS (PARTITION BY seg_id ORDER BY along, px, py)) WHERE vx IS NOT NULL", "v_segments", **NODING))
 add("C-03", lambda s, d: Q.build_edges(view(s, d, "v_edges").unionByName(view(s, d, "v_edges").select(F.col("v").alias("u"), F.col("u").alias("v"), (F.col("weight") * 2).alias("weight")))), with_views("SELECT u, v, weight * 2 AS weight FROM v_edges", "v_edges"))
 add("C-04", lambda s, d: Q.components(view(s, d, "v_edges")), with_views("SELECT node, component FROM cc", "v_edges", **EDGES, **CC))
-add("C-05", lambda s, d: Q.maximum_spanning_forest(view(s, d, "v_edges")).agg(F.count(F.lit(1)).alias("n")), with_views("SELECT count(*) - count(DISTINCT component) AS n FROM cc", "v_edges", **EDGES, **CC))
+# edge by edge, the heaviest first: one that joins two different labels is taken, and its labels become one
+KRUSKAL = """SELECT edge.u AS u, edge.v AS v, edge.weight AS weight FROM (
+    WITH RECURSIVE node AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS i FROM (SELECT u AS node FROM e UNION SELECT v FROM e)),
+    ranked AS MATERIALIZED (SELECT row_number() OVER (ORDER BY weight DESC, u, v) AS n, u, v, weight, a.i AS iu, b.i AS iv FROM e JOIN node a ON a.node = e.u JOIN node b ON b.node = e.v),
+    g(edge, labels) AS (SELECT CAST(NULL AS STRUCT(n BIGINT, u BIGINT, v BIGINT, weight DOUBLE, iu BIGINT, iv BIGINT)), range(1, (SELECT count(*) + 1 FROM node)) UNION ALL
+      SELECT x, list_transform(labels, lambda l: CASE WHEN l = labels[x.iv] THEN labels[x.iu] ELSE l END)
+      FROM (SELECT arg_min(struct_pack(n := r.n, u := r.u, v := r.v, weight := r.weight, iu := r.iu, iv := r.iv), r.n) AS x, any_value(labels) AS labels FROM g JOIN ranked r ON (g.edge IS NULL OR r.n > g.edge.n) AND labels[r.iu] <> labels[r.iv]) WHERE x IS NOT NULL)
+    SELECT edge FROM g WHERE edge IS NOT NULL)"""
+add("C-05", lambda s, d: Q.maximum_spanning_forest(view(s, d, "v_edges")).select("u", "v", "weight"), with_views(KRUSKAL, "v_edges", **EDGES))
 add("C-06", lambda s, d: Q.leaf_branches(tree(s, d)), with_views("""SELECT leaf, here AS "end", length FROM (WITH RECURSIVE w AS (SELECT u AS a, v AS b, weight FROM t UNION ALL SELECT v, u, weight FROM t), deg AS (SELECT a AS node, count(*) AS k FROM w GROUP BY 1),
     walk(leaf, came, here, length) AS (SELECT w.a, w.a, w.b, w.weight FROM w JOIN deg ON deg.node = w.a AND k = 1 UNION ALL SELECT leaf, here, w.b, length + w.weight FROM walk JOIN deg ON deg.node = here AND k = 2 JOIN w ON w.a = here AND w.b <> came)
     SELECT walk.* FROM walk JOIN deg ON deg.node = here AND k <> 2)""", "v_segments", **TREE))
 add("C-07", lambda s, d: Q.prune_short_leaves(tree(s, d), 80.0))
-add("C-08", lambda s, d: Q.diameter_path(tree(s, d)).agg(F.max("distance").alias("length"), F.count(F.lit(1)).alias("n")), with_views("""SELECT length, n FROM (WITH RECURSIVE w AS (SELECT u AS a, v AS b, weight FROM t UNION ALL SELECT v, u, weight FROM t),
-    p(src, came, here, length, n) AS (SELECT a, a, b, weight, 2 FROM w UNION ALL SELECT src, here, b, length + weight, n + 1 FROM p JOIN w ON w.a = here AND w.b <> came) SELECT length, CAST(n AS BIGINT) AS n FROM p ORDER BY length DESC, n LIMIT 1)""", "v_segments", **TREE))
+add("C-08", lambda s, d: Q.diameter_path(tree(s, d)), with_views("""SELECT p.node AS node, p.distance AS distance FROM (SELECT unnest(path) AS p FROM (WITH RECURSIVE w AS (SELECT u AS a, v AS b, weight FROM t UNION ALL SELECT v, u, weight FROM t),
+    one(node, came, distance) AS (SELECT min(a), CAST(NULL AS BIGINT), 0.0::DOUBLE FROM w UNION ALL SELECT w.b, one.node, distance + weight FROM one JOIN w ON w.a = one.node AND w.b IS DISTINCT FROM came),
+    two(node, came, distance, path) AS (SELECT node, CAST(NULL AS BIGINT), 0.0::DOUBLE, [struct_pack(node := node, distance := 0.0::DOUBLE)] FROM (SELECT node FROM one ORDER BY distance DESC, node LIMIT 1)
+      UNION ALL SELECT w.b, two.node, distance + weight, list_append(path, struct_pack(node := w.b, distance := distance + weight)) FROM two JOIN w ON w.a = two.node AND w.b IS DISTINCT FROM came)
+    SELECT path FROM two ORDER BY distance DESC, node LIMIT 1))""", "v_segments", **TREE))
 add("C-09", lambda s, d: Q.crossings(view(s, d, "v_edges"), 3), with_views("SELECT node, count(*) AS degree FROM (SELECT u AS node FROM v_edges UNION ALL SELECT v FROM v_edges) GROUP BY 1 HAVING count(*) >= 3", "v_edges"))
 _anchors = lambda s, d: vertices(s, d).where("pos % 10 = 0").select((F.col("x") + 0.02).alias("x"), "y")
 add("C-10", lambda s, d: L.protected_vertices(vertices(s, d), _anchors(s, d)).select("line_id", "pos"), with_views("SELECT line_id, pos FROM v WHERE pos % 10 = 0", "v_segments", **VQ))
@@ -115,7 +126,9 @@ add("C-19", lambda s, d: L.bridges(_ends(s, d), 2.0, 2500.0, BOX), with_views(""
       SELECT n, CASE WHEN w IS NOT NULL THEN struct_pack(a := a, b := w.b, d := w.d) END, CASE WHEN w IS NULL THEN used ELSE set_bit(set_bit(used, CAST(a AS INTEGER), 1), CAST(w.b AS INTEGER), 1) END
       FROM (SELECT chooser.n, a, used, CASE WHEN get_bit(used, CAST(a AS INTEGER)) = 0 THEN list_filter(ways, lambda x: get_bit(used, CAST(x.b AS INTEGER)) = 0)[1] END AS w FROM g JOIN chooser ON chooser.n = g.n + 1))
     SELECT p FROM g WHERE p IS NOT NULL)""", "v_segments", **ENDS, **BRIDGES))
-add("C-20", lambda s, d: L.contract_chains(tree(s, d)).agg(F.count(F.lit(1)).alias("chains"), F.sum("n_edges").alias("edges"), F.sum("length").alias("length")), with_views("SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT node FROM (SELECT u AS node FROM t UNION ALL SELECT v FROM t) GROUP BY 1 HAVING count(*) = 2)) AS chains, count(*) AS edges, sum(weight) AS length FROM t", "v_segments", **TREE))
+add("C-20", lambda s, d: L.contract_chains(tree(s, d)).select("n_edges", "length"), with_views("""SELECT n_edges, length FROM (WITH RECURSIVE w AS (SELECT u AS a, v AS b, weight FROM t UNION ALL SELECT v, u, weight FROM t), deg AS (SELECT a AS node, count(*) AS k FROM w GROUP BY 1),
+    walk(start, came, here, n_edges, length) AS (SELECT w.a, w.a, w.b, 1, w.weight FROM w JOIN deg ON deg.node = w.a AND k <> 2 UNION ALL SELECT start, here, w.b, n_edges + 1, length + w.weight FROM walk JOIN deg ON deg.node = here AND k = 2 JOIN w ON w.a = here AND w.b <> came)
+    SELECT CAST(n_edges AS BIGINT) AS n_edges, length FROM walk JOIN deg ON deg.node = here AND k <> 2 WHERE start < here)""", "v_segments", **TREE))
 add("C-21", lambda s, d: L.line_summary(vertices(s, d)).withColumn("length_m", F.round("length_m", 4)), with_views("SELECT a.*, round(length_m, 4) AS length_m FROM (SELECT line_id, count(*) AS n_vertices, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM v GROUP BY 1) a JOIN len l ON l.line_id = a.line_id", "v_segments", **VQ, **SEGS, **ROLES))
 add("C-22", lambda s, d: view(s, d, "v_points").select("point_id", geodesy.utm_epsg("lon", "lat").alias("epsg")), with_views("SELECT point_id, CAST(32601 + floor((lon + 180) / 6) AS INTEGER) AS epsg FROM v_points", "v_points"))
 add("C-23", lambda s, d: L.simplify_lines(vertices(s, d), 120.0), with_views("""SELECT line_id, pos, x, y FROM v JOIN (SELECT DISTINCT line_id, unnest([a, b]) AS pos FROM (
