@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import COMPASS_16, sector_number
+from .ranks import percentiles
 
 METRICS = ("mean_CWEF_Wm", "E_storm_MJm", "K_dir", "CV")
 STEPS = (0.2, 0.4, 0.6, 0.8)
@@ -82,21 +83,23 @@ def annual_metrics(daily: DataFrame, keys: tuple[str, ...] = ("point_id",), **op
 
 
 def quintile_ranks(df: DataFrame, metrics: dict[str, str]) -> DataFrame:
-    """A rank 1 .. 5 per metric (new name by column) against linear percentiles of all rows; ties share a rank, null stays null."""
+    """A rank 1 .. 5 per metric (new name by column) against linear percentiles of all rows; ties share a rank, null stays null.
+
+    df is written down once; its percentiles are found by histograms, whose size does not grow with the rows.
+    """
+    from ..shared import written
+
     present = {m: r for m, r in metrics.items() if m in df.columns}
-    out = df
-    if present:
-        steps = F.array(*[F.lit(s) for s in STEPS])
-        bounds = df.agg(*[F.percentile(m, steps).alias(f"_{r}") for m, r in present.items()])
-        out = out.crossJoin(F.broadcast(bounds))  # one row
+    out = written(df, "ranked") if present else df
+    bounds = percentiles(out, list(present), STEPS) if present else {}
     for m, r in metrics.items():
-        if m in present:
-            value, edges = F.col(m), F.col(f"_{r}")
+        if m in bounds:
+            value, edges = F.col(m), [F.lit(float(e)) for e in bounds[m]]
             rank = F.when(value.isNull(), F.lit(None)).when(value <= edges[0], 1).when(value <= edges[1], 2).when(value <= edges[2], 3).when(value <= edges[3], 4).otherwise(5)
             out = out.withColumn(r, rank.cast("int"))
         else:
             out = out.withColumn(r, F.lit(None).cast("int"))
-    return out.drop(*[f"_{r}" for r in present.values()])
+    return out
 
 
 def combined_rank(df: DataFrame, ranks: tuple[str, ...]) -> DataFrame:
