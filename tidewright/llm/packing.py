@@ -61,6 +61,7 @@ class Encoder:
             self._lengths[i] = len(token)
         self._encode = lambda texts: self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         self._most, self._older, self._later, self._first, self._newline = cache_words, {}, {}, {}, self.whole("\n")
+        self._marks = {mark: self.whole(mark) for mark in ".,;:!?"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self._encode([text])[0].ids, dtype="<u4").tobytes()
@@ -75,12 +76,20 @@ class Encoder:
             known[piece] = data[start + 4 * skip : end]
             start = end
 
+    def _looked_up(self, pieces: set[str]) -> set[str]:
+        """Those of the pieces that are not known; what was known the time before last is again."""
+        new = pieces.difference(self._later)
+        known = new.intersection(self._older)
+        older = self._older
+        self._later.update({p: older[p] for p in known})
+        return new - known
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self._later) > self._most:  # what was met since the time before last stays known
             self._older, self._later = self._later, {}
         if len(self._first) > self._most:
             self._first = {}
-        older, later, first, cut, pieces, heads = self._older, self._later, self._first, [], set(), set()
+        later, first, cut, pieces, heads = self._later, self._first, [], set(), set()
         for text in texts:
             if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)) or any(map(text.__contains__, self._special)):
                 cut.append(None)
@@ -92,11 +101,14 @@ class Encoder:
                 pieces.update(rest)
                 lines.append((head, rest))
             cut.append(lines)
-        new = pieces.difference(later)
-        known = new.intersection(older)
-        later.update({p: older[p] for p in known})
-        if len(new) > len(known):
-            self._learn(later, list(new - known), " ", 0)
+        if new := self._looked_up(pieces):
+            # a mark after a letter is a word of its own, so only what stands before it has to be known
+            marked = [p for p in new if p[-1:] in self._marks and p[-2:-1].isalpha()]
+            bare = {p[:-1] for p in marked}
+            if unknown := self._looked_up(bare) | new.difference(marked, later):
+                self._learn(later, list(unknown), " ", 0)
+            marks = self._marks
+            later.update({p: later[p[:-1]] + marks[p[-1]] for p in marked})
         if new_first := heads.difference(first):
             self._learn(first, list(new_first), "\n", 1)
         out = []
