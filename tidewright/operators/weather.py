@@ -78,32 +78,34 @@ def variables_key(names: Column | str) -> Column:
 def nearest_nodes(points: DataFrame, nodes: DataFrame, k: int = 1, cell: float = 25000.0) -> DataFrame:
     """point_id, grid_id, distance_m, rank: the k nearest nodes of each point (x, y in metres; ties by grid_id).
 
-    Nodes are dealt into square cells. A point looks into the cells up to r around its own; it is done once its k-th
-    neighbour is no farther than r cells, which nothing outside can beat. The others look again with twice the r, until
-    r spans all nodes. So a point meets the nodes around it, and no point meets all of them unless they lie apart.
+    Nodes are dealt into square cells. A point looks into its own cell and the eight around it; it is done once its k-th
+    neighbour is no farther than a cell is wide, which nothing outside can beat. The others look again among cells of
+    twice the width, until one is as wide as all points and nodes together. So a point has nine rows a round, however far
+    its nodes are, and meets only nodes that are at most about four times as far away as the ones it takes.
     """
-    cells = nodes.select("grid_id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     p = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
     box = p.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first() + nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if None in box:
         return p.join(nodes.select("grid_id"), F.lit(False)).select("point_id", "grid_id", F.lit(0.0).alias("distance_m"), F.lit(0).alias("rank"))
-    widest = int(max(max(box[1], box[5]) - min(box[0], box[4]), max(box[3], box[7]) - min(box[2], box[6])) / cell) + 2
+    widest = max(max(box[1], box[5]) - min(box[0], box[4]), max(box[3], box[7]) - min(box[2], box[6]))
     order = Window.partitionBy("point_id").orderBy("distance_m", "grid_id")
-    found, r = None, 1
+    found = None
     while True:
-        r = min(r, widest)
-        around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda i: F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda j: F.struct((F.floor(F.col("px") / cell) + i).alias("cx"), (F.floor(F.col("py") / cell) + j).alias("cy"))))))
+        at = lambda c, width=cell: F.floor(F.col(c) / width)
+        around = F.explode(F.array(*[F.struct((at("px") + i).alias("cx"), (at("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        cells = nodes.select("grid_id", "x", "y", at("x").alias("cx"), at("y").alias("cy"))
         pairs = p.select("point_id", "px", "py", around.alias("c")).select("point_id", "px", "py", "c.*").join(cells, ["cx", "cy"])
         pairs = pairs.select("point_id", "grid_id", F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))).alias("distance_m"))
         ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if r < widest:
-            done = ranked.groupBy("point_id").agg(F.max("distance_m").alias("d"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= k) & (F.col("d") <= r * cell)).select("point_id")
+        last = cell >= widest
+        if not last:
+            done = ranked.groupBy("point_id").agg(F.max("distance_m").alias("d"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= k) & (F.col("d") <= cell)).select("point_id")
             ranked = ranked.join(done, "point_id", "left_semi")
             p = written(p.join(done, "point_id", "left_anti"), "points")  # else each round would find all those before it again
         found = ranked if found is None else found.unionByName(ranked)
-        if r >= widest or p.isEmpty():
+        if last or p.isEmpty():
             return found
-        r *= 2
+        cell *= 2
 
 
 def assign_nearest(points: DataFrame, nodes: DataFrame, series: DataFrame) -> DataFrame:

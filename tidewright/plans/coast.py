@@ -20,7 +20,7 @@ from ..sources import files as S
 from ..streaming.backfill import SeriesStore, backfill
 from .climate import daily
 from .fixtures import Registry, view, with_views
-from .space import traced
+from .space import GQ, GV, traced
 
 registry = Registry()
 add = registry.add
@@ -165,7 +165,7 @@ add("C-30", lambda s, d: X.shore_normal_from_fetch(view(s, d, "v_trace")), with_
 # ---- P ------------------------------------------------------------------------------------------------------------
 
 _roles = lambda s, d: vertices(s, d).join(L.tag_main(vertices(s, d)).select("line_id", "coastline_role"), "line_id")
-add("P-01", lambda s, d: _roles(s, d).where("coastline_role = 'main'").agg(F.count(F.lit(1)).alias("n")), with_views("SELECT count(*) AS n FROM v WHERE line_id = (SELECT arg_max(line_id, row(length_m, -line_id)) FROM len)", "v_segments", **VQ, **SEGS, **ROLES))
+add("P-01", lambda s, d: _roles(s, d).where("coastline_role = 'main'").select("line_id", "pos", "x", "y"), with_views("SELECT line_id, pos, x, y FROM v WHERE line_id = (SELECT arg_max(line_id, row(length_m, -line_id)) FROM len)", "v_segments", **VQ, **SEGS, **ROLES))
 _coarse = lambda s, d: vertices(s, d).withColumns({"x": F.round(F.col("x") / 500), "y": F.round(F.col("y") / 500)})
 add("P-02", lambda s, d: L.node_points(_coarse(s, d)), with_views("SELECT line_id, pos, x, y FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY line_id, pos) AS nth FROM (SELECT line_id, pos, round(x / 500) AS x, round(y / 500) AS y FROM v)) WHERE nth = 1", "v_segments", **VQ))
 STEP = {"tot": "SELECT line_id, sum(length) AS total, max(pos) AS last FROM segs GROUP BY 1", "marks": "SELECT line_id, last, unnest(range(0, CAST(floor(total / 700) AS BIGINT) + 1)) * 700.0::DOUBLE AS c FROM tot UNION ALL SELECT line_id, last, total FROM tot WHERE total % 700 <> 0",
@@ -175,7 +175,7 @@ add("P-03", lambda s, d: _steps(s, d).select("line_id", F.round("chainage_m", 4)
 add("P-04", lambda s, d: L.equal_radius_points(vertices(s, d), 200.0))
 add("P-05", lambda s, d: L.combine_points(("nodes", L.node_points(_coarse(s, d))), ("vertices", _coarse(s, d).where("pos > 3"))).groupBy("source_strategy").count(), with_views("SELECT 'nodes' AS source_strategy, count(*) AS count FROM (SELECT DISTINCT round(x / 500), round(y / 500) FROM v)", "v_segments", **VQ))
 add("P-06", lambda s, d: _steps(s, d).agg(F.lit("equal_step").alias("strategy"), F.count(F.lit(1)).alias("n_points"), F.countDistinct("line_id").alias("n_lines")), with_views("SELECT 'equal_step' AS strategy, count(*) AS n_points, count(DISTINCT line_id) AS n_lines FROM placed", "v_segments", **VQ, **SEGS, **STEP))
-add("P-07", lambda s, d: L.line_summary(vertices(s, d)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length_m"), 3).alias("length_m")), with_views("SELECT count(*) AS n, round(sum(length_m), 3) AS length_m FROM len", "v_segments", **VQ, **SEGS, **ROLES))
+add("P-07", lambda s, d: L.line_summary(vertices(s, d)).select("line_id", "n_vertices", F.round("length_m", 3).alias("length_m")), with_views("SELECT l.line_id, n AS n_vertices, round(length_m, 3) AS length_m FROM len l JOIN (SELECT line_id, count(*) AS n FROM v GROUP BY 1) c ON c.line_id = l.line_id", "v_segments", **VQ, **SEGS, **ROLES))
 
 # ---- F on geometry --------------------------------------------------------------------------------------------------
 
@@ -207,20 +207,20 @@ add("S-03", lambda s, d: _prop(S.extract_box(S.read_geojson(s, collection(s, d,
 
 def _overpass(s, d):
     nodes = view(s, d, "v_segments").select(F.to_json(F.struct(F.lit("node").alias("type"), F.col("seg_id").alias("id"), F.col("y0").alias("lat"), F.col("x0").alias("lon"))).alias("j"))
-    ways = view(s, d, "v_segments").where("seg_id % 5 = 0").select(F.to_json(F.struct(F.lit("way").alias("type"), F.col("seg_id").alias("id"), F.array("seg_id", F.col("seg_id") + 1, F.col("seg_id") + 1000000).alias("nodes"))).alias("j"))
+    ways = view(s, d, "v_segments").select(F.to_json(F.struct(F.lit("way").alias("type"), F.col("seg_id").alias("id"), F.array("seg_id", F.col("seg_id") + 1, F.col("seg_id") + 1000000).alias("nodes"))).alias("j"))
     return nodes.unionByName(ways).agg(F.concat(F.lit('{"elements":['), F.array_join(F.collect_list("j"), ","), F.lit("]}")).alias("payload"))
 
 
-add("S-04", lambda s, d: S.parse_overpass(_overpass(s, d)).select("way_id", F.size("coords").alias("n")), with_views("SELECT a.seg_id AS way_id, 2 AS n FROM v_segments a JOIN v_segments b ON b.seg_id = a.seg_id + 1 WHERE a.seg_id % 5 = 0", "v_segments"))
+add("S-04", lambda s, d: S.parse_overpass(_overpass(s, d)).select("way_id", F.size("coords").alias("n")), with_views("SELECT a.seg_id AS way_id, 2 AS n FROM v_segments a JOIN v_segments b ON b.seg_id = a.seg_id + 1 ", "v_segments"))
 
 
 def _ways(s, d):
     v = view(s, d, "v_segments")
-    ways = v.where("seg_id % 5 = 0").select(F.col("seg_id").alias("way_id"), F.when(F.col("seg_id") % 2 == 0, F.array("seg_id", F.col("seg_id") + 1)).otherwise(F.array("seg_id", F.lit(-1), F.col("seg_id") + 1)).alias("node_ids"))
+    ways = v.select(F.col("seg_id").alias("way_id"), F.when(F.col("seg_id") % 2 == 0, F.array("seg_id", F.col("seg_id") + 1)).otherwise(F.array("seg_id", F.lit(-1), F.col("seg_id") + 1)).alias("node_ids"))
     return S.ways_to_lines(ways, v.select(F.col("seg_id").alias("node_id"), F.col("x0").alias("lon"), F.col("y0").alias("lat")), whole_only=True).select("way_id", F.size("coords").alias("n"))
 
 
-add("S-05", _ways, with_views("SELECT a.seg_id AS way_id, 2 AS n FROM v_segments a JOIN v_segments b ON b.seg_id = a.seg_id + 1 WHERE a.seg_id % 10 = 0", "v_segments"))
+add("S-05", _ways, with_views("SELECT a.seg_id AS way_id, 2 AS n FROM v_segments a JOIN v_segments b ON b.seg_id = a.seg_id + 1 WHERE a.seg_id % 2 = 0", "v_segments"))
 add("S-06", lambda s, d: L.clip_segments(view(s, d, "v_segments"), *BOX).where("t1 > t0").agg(F.count(F.lit(1)).alias("n")), with_views("SELECT count(*) AS n FROM inside WHERE t1 > t0", "v_segments", **CLIP))
 _batches = lambda s, d: view(s, d, "v_points").withColumns({"lat": F.col("lat") + 1e-5, "lon": F.col("lon") + 1e-5}).withColumn("batch", F.floor(F.col("point_id") / 25).cast("int"))
 add("S-07", lambda s, d: S.archive_parameters(_batches(s, d), "2024-01-01", "2024-01-31"), with_views("SELECT CAST(floor(point_id / 25) AS INTEGER) AS batch, string_agg(printf('%.3f', lat + 1e-5), ',' ORDER BY point_id) AS latitude, string_agg(printf('%.3f', lon + 1e-5), ',' ORDER BY point_id) AS longitude, '2024-01-01' AS start_date, '2024-01-31' AS end_date FROM v_points GROUP BY 1", "v_points"))
@@ -316,9 +316,10 @@ def _partitioned(df, name, by):
     return df.sparkSession.read.parquet(path)
 
 
-add("K-07", lambda s, d: _partitioned(view(s, d, "v_wind"), "k07", "point_id").where("point_id = 7").select("date", "ws_kmh"), with_views("SELECT date, ws_kmh FROM v_wind WHERE point_id = 7", "v_wind"))
-add("K-08", lambda s, d: _partitioned(G.long_frame(traced(s, d)), "k08", "azimuth_deg").groupBy(F.col("azimuth_deg").cast("double").alias("azimuth_deg")).agg(F.count(F.lit(1)).alias("n")), with_views("SELECT CAST(a AS DOUBLE) AS azimuth_deg, count(*) AS n FROM v_points, range(360) r(a) GROUP BY 1", "v_points"))
-add("K-09", lambda s, d: S.read_csv(s, _saved_csv(s, traced(s, d).where("azimuth_deg = 90").select("point_id", "azimuth_deg", "hit_found"), "k09"), "point_id long, azimuth_deg double, hit_found boolean").select("point_id", "azimuth_deg"), with_views("SELECT point_id, 90.0::DOUBLE AS azimuth_deg FROM v_points", "v_points"))
+add("K-07", lambda s, d: _partitioned(view(s, d, "v_wind"), "k07", "point_id").select(F.col("point_id").cast("long").alias("point_id"), "date", "ws_kmh"), with_views("SELECT point_id, date, ws_kmh FROM v_wind", "v_wind"))
+_FETCH = "SELECT point_id, azimuth_deg, round(fetch_length_m, 3) AS fetch_length_m, hit_found FROM traced"
+add("K-08", lambda s, d: _partitioned(G.long_frame(traced(s, d)), "k08", "azimuth_deg").select("point_id", F.col("azimuth_deg").cast("double").alias("azimuth_deg"), F.round("fetch_length_m", 3).alias("fetch_length_m"), "hit_found"), with_views(_FETCH, *GV, **GQ))
+add("K-09", lambda s, d: S.read_csv(s, _saved_csv(s, traced(s, d).where("azimuth_deg = 90").select("point_id", "azimuth_deg", F.round("fetch_length_m", 3).alias("fetch_length_m"), "hit_found"), "k09"), "point_id long, azimuth_deg double, fetch_length_m double, hit_found boolean"), with_views(_FETCH + " WHERE azimuth_deg = 90", *GV, **GQ))
 
 
 def _saved_csv(s, df, name):

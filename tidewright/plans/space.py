@@ -36,11 +36,11 @@ def _clamped(s, d):
 
 add("T-04", _clamped, with_views("SELECT point_id, greatest(CAST(min(obs_date) - 30000 AS DATE), DATE '1940-01-01') AS start_date, least(max(obs_date), DATE '1997-06-23') AS end_date, greatest(CAST(min(obs_date) - 30000 AS DATE), DATE '1940-01-01') <= least(max(obs_date), DATE '1997-06-23') AS is_valid FROM v_cached GROUP BY 1", "v_cached"))
 GAPS = """SELECT point_id, min(obs_date) AS start_date, max(obs_date) AS end_date FROM (SELECT *, obs_date - CAST(row_number() OVER (PARTITION BY point_id ORDER BY obs_date) AS INTEGER) AS island FROM
-          (SELECT p.point_id, CAST(c.x AS DATE) AS obs_date FROM (SELECT DISTINCT point_id FROM v_cached) p, generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-31', INTERVAL 1 DAY) c(x) EXCEPT SELECT point_id, obs_date FROM v_cached)) GROUP BY point_id, island"""
-_gaps = lambda s, d: T.missing_ranges(view(s, d, "v_cached"), view(s, d, "v_cached"), "1995-01-01", "1995-12-31")
+          (SELECT p.point_id, CAST(c.x AS DATE) AS obs_date FROM (SELECT DISTINCT point_id FROM v_cached) p, generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 DAY) c(x) EXCEPT SELECT point_id, obs_date FROM v_cached)) GROUP BY point_id, island"""
+_gaps = lambda s, d: T.missing_ranges(view(s, d, "v_cached"), view(s, d, "v_cached"), "1992-01-01", "1998-12-31")
 add("T-05", _gaps, with_views(GAPS, "v_cached"))
-add("T-06", lambda s, d: T.merge_segments(view(s, d, "v_segments_cache").where("obs_date between '1995-01-01' and '1995-12-31'"), "1995-01-01", "1995-12-31"), with_views(
-    """SELECT p.point_id, CAST(c.x AS DATE) AS obs_date, value, l.point_id IS NULL AS is_missing FROM (SELECT DISTINCT point_id FROM v_segments_cache WHERE obs_date BETWEEN '1995-01-01' AND '1995-12-31') p CROSS JOIN generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-31', INTERVAL 1 DAY) c(x)
+add("T-06", lambda s, d: T.merge_segments(view(s, d, "v_segments_cache").where("obs_date between '1992-01-01' and '1998-12-31'"), "1992-01-01", "1998-12-31"), with_views(
+    """SELECT p.point_id, CAST(c.x AS DATE) AS obs_date, value, l.point_id IS NULL AS is_missing FROM (SELECT DISTINCT point_id FROM v_segments_cache WHERE obs_date BETWEEN '1992-01-01' AND '1998-12-31') p CROSS JOIN generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 DAY) c(x)
        LEFT JOIN (SELECT point_id, obs_date, arg_max(value, path_seq) AS value FROM v_segments_cache GROUP BY 1, 2) l ON l.point_id = p.point_id AND l.obs_date = c.x""", "v_segments_cache"))
 add("T-07", lambda s, d: T.download_tasks(_gaps(s, d), 3), with_views("SELECT start_date, end_date, batch, list_sort(list(point_id)) AS points FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY start_date, end_date ORDER BY point_id) - 1) / 3) AS INTEGER) AS batch FROM gaps) GROUP BY ALL", "v_cached", gaps=GAPS))
 add("T-08", lambda s, d: view(s, d, "v_points").select("point_id", T.variables_key(F.array(F.concat(F.lit("v"), F.col("point_id").cast("string")), F.lit("a"))).alias("key")), with_views("SELECT point_id, substr(sha256('a|v' || point_id), 1, 12) AS key FROM v_points", "v_points"))
