@@ -27,8 +27,8 @@ def odd_rows():
             turn += R.choice([1, 1, 1, 2])
     rows += [(300, None, "user", "No turn."), (300, None, "user", "No turn."), (300, 3, "assistant", "Yes."), (300, 3, "assistant", "Yes!")]
     rows += [(-7, 0, "user", "Negative.")]
-    rows += [(900, t, "user" if t % 3 else "assistant", f"Turn {t}." if t % 5 else "Same.") for t in range(90)]
-    rows += [(901, t, "user" if t % 3 else "assistant", f"Turn {t}." if t % 5 else "Same.") for t in range(90)]
+    rows += [(900, t, "user" if t % 3 else "assistant", f"Turn {t}." if t % 5 else "Same.") for t in range(11)]
+    rows += [(901, t, "user" if t % 3 else "assistant", f"Turn {t}." if t % 5 else "Same.") for t in range(11)]
     return rows
 
 
@@ -107,7 +107,7 @@ def test_trie_equals_sql(spark, turns):
 
 def test_trie_of_long_and_equal_conversations(spark):
     """Conversations that are equal for more levels than a block, and many copies."""
-    rows = [(c * 100, t, "user", f"turn {t}" if t < 19 or c < 6 else f"own {c}") for c in range(1, 9) for t in range(21)]
+    rows = [(c * 100, t, "user", f"turn {t}" if t < 9 or c < 6 else f"own {c}") for c in range(1, 9) for t in range(11)]
     rows += [(c * 100, 0, "user", "copy") for c in range(20, 260)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     assert rows_of(trie.conversation_trie(df)) == by_sql(spark, df, trie.OP12_SQL)
