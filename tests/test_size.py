@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidewright.operators import bathymetry as B
 from tidewright.operators import coast as L
 
 
@@ -18,3 +19,17 @@ def test_vertices_are_not_broadcast(spark):
     v = some_vertices(spark)
     for df in (L.snap_vertices(v, 60.0), L.protected_vertices(v, v.where("pos % 10 = 0")), L.simplify_by_anchors(v, v.where("pos % 10 = 0"))):
         assert "Broadcast" not in plan_of(df)
+
+
+def test_transects_of_one_file_are_many_tasks(spark):
+    points = spark.range(64).coalesce(1).select(F.col("id").alias("point_id"), F.lit(37.0).alias("lon"), F.lit(43.0).alias("lat"))
+    assert B.transects(points, [45.0]).select(F.spark_partition_id()).distinct().count() > 3
+
+
+def test_depths_are_not_gathered(spark):
+    """Points meet their cell once: no row for each corner and no grouping of the points; equal points stay two rows."""
+    grid = spark.createDataFrame([(x, y, float(10 * x + y)) for x in range(3) for y in range(3)], "ix long, iy long, z double")
+    points = spark.createDataFrame([(1, 0.5, 0.25), (1, 0.5, 0.25), (2, 2.0, 2.0), (3, 2.5, 0.0)], "point_id int, lon double, lat double")
+    found = B.depth_at(points, grid, 0.0, 0.0, 1.0, 3, 3)
+    assert sorted((r["point_id"], r["z"], r["outside"]) for r in found.collect() if not r["outside"]) == [(1, 5.25, False), (1, 5.25, False), (2, 22.0, False)]
+    assert [(r["point_id"], r["z"]) for r in found.collect() if r["outside"]] == [(3, None)]
