@@ -58,3 +58,16 @@ def test_bridges_stay_out_of_the_box(spark):
     assert found((10.0, 10.0, 35.0, 35.0)) == {(1, 2), (3, 4)}  # from 5 to 6 it leads through
     assert found(None) == {(1, 2), (3, 4), (5, 6)}
     assert found((12.0, 10.0, 35.0, 35.0)) == {(1, 2), (3, 4), (5, 6)}  # along the edge
+
+
+def test_a_line_of_equal_waves_is_not_split_wave_by_wave(spark, monkeypatch):
+    """Of equally far vertices the first is split off: a round for each took a line of n waves n rounds."""
+    from tidewright import shared
+
+    n, tables, written = 12_000, [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name="table": tables.append(name) or written(df, name))
+    x, y = np.arange(n, dtype=float), np.where(np.arange(n) % 100 == 50, 9.0, 0.0)
+    df = spark.createDataFrame([(1, i, float(x[i]), float(y[i])) for i in range(n)], "line_id long, pos long, x double, y double")
+    found = sorted(r["pos"] for r in coast.simplify_lines(df, 1.5).collect())
+    assert found == np.flatnonzero(coast.douglas_peucker(x, y, 1.5)).tolist()
+    assert len(tables) < 8
