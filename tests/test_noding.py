@@ -64,3 +64,26 @@ def test_pieces(spark, wide, n):
     whole = graph.build_edges(node_edges(pieces, 0.5))
     assert whole.count() == len(edges)
     assert graph.components(whole).count() == len({p for e in edges for p in e})
+
+
+def test_rounding_is_exact():
+    import numpy as np
+
+    from tidewright.operators.noding import MOST, _rounded
+
+    rng = np.random.default_rng(5)
+    den = rng.integers(1, MOST**2 * 2, 3000)
+    t, r = rng.integers(0, den + 1), rng.integers(-MOST, MOST, 3000)
+    den[:1000] = rng.integers(1, 9, 1000)  # halves
+    t[:1000] = rng.integers(0, den[:1000] + 1)
+    assert _rounded(t, r, den).tolist() == [(2 * a * b + c) // (2 * c) for a, b, c in zip(t.tolist(), r.tolist(), den.tolist(), strict=True)]
+
+
+def test_segments_meet_in_the_cells_they_pass_only(spark):
+    """A long slanting segment used to be sent to all cells of its box."""
+    from tidewright.operators.noding import _met
+
+    df = spark.createDataFrame([(0, 5, 5, 9995, 9995)], "seg_id long, ax long, ay long, bx long, by long")
+    cells = {(r["cx"], r["cy"]) for r in _met(df, 100).collect()}
+    assert {(i, i) for i in range(100)} <= cells
+    assert len(cells) < 400
