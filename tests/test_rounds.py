@@ -71,3 +71,21 @@ def test_a_line_of_equal_waves_is_not_split_wave_by_wave(spark, monkeypatch):
     found = sorted(r["pos"] for r in coast.simplify_lines(df, 1.5).collect())
     assert found == np.flatnonzero(coast.douglas_peucker(x, y, 1.5)).tolist()
     assert len(tables) < 8
+
+
+def test_fans_hit_what_rays_hit(spark):
+    """Ends on rays, segments along rays, around, near and behind the point; a point meets a segment once, not once a cell."""
+    from pyspark.sql import functions as F
+
+    from tidewright.operators import fetch
+
+    lines = [(R.uniform(-9e3, 9e3), R.uniform(-9e3, 9e3)) for _ in range(300)]
+    rows = [(x, y, x + R.uniform(-900, 900), y + R.uniform(-900, 900)) for x, y in lines]
+    rows += [(0.0, 50.0, 0.0, 900.0), (-40.0, 10.0, 60.0, 10.0), (0.0, 500.0, 300.0, 500.0), (0.2, 10.1, 70.0, 80.0), (-500.0, -500.0, -500.0, 500.0), (0.0, -99.0, 0.0, 99.0)]
+    segments = spark.createDataFrame(rows + rows[:5], "x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1234.5, -777.0, 123.0)], "point_id long, x double, y double, normal_azimuth_deg double")
+    sea = fetch.ray_ends(fetch.split_land_sector(fetch.point_azimuths(fetch.shifted_starts(points)))[0], 20_000.0)
+    plain = fetch.hits(sea, segments).select("point_id", "direction_id", F.round("hit_x", 3), F.round("hit_y", 3)).distinct()
+    expected = {tuple(r) for r in plain.collect()}
+    found = [tuple(r) for r in fetch.fan_hits(points, segments, max_m=20_000.0).collect()]
+    assert len(expected) > 500 and set(found) == expected and len(found) == len(expected)
