@@ -250,3 +250,10 @@ def test_cut():
     kept, removed, runs = suffix_dedup.cut(text, np.array([10, 130]), np.array([5, 0]))
     assert kept == text[:10] + text[65:130] + text[180:] and (removed, runs) == (105, 2)
     assert hashlib.sha256(suffix_dedup.cut(text, np.zeros(0, int), np.zeros(0, int))[0]).hexdigest() == hashlib.sha256(text).hexdigest()
+
+
+def test_blobs_of_the_suffix_dedup_travel_compressed():
+    blob = suffix_dedup.pack_columns([(np.arange(5000) // 7, 8), (np.arange(5000) % 90, 4)])
+    sent = suffix_dedup._rows([(0, suffix_dedup.ANCHORS, blob), (0, suffix_dedup.TEXTS, b"packed")]).column("data").to_pylist()
+    assert len(sent[0]) * 10 < len(blob) and sent[1] == b"packed"
+    assert suffix_dedup.unpacked(suffix_dedup.ANCHORS, sent[0]) == blob
