@@ -118,6 +118,28 @@ def test_encoder_equals_the_tokenizer_on_random_characters():
     assert packing.Encoder().encode(texts) == reference_ids(texts)
 
 
+class CountingDict(dict):
+    """Counts how often it is asked."""
+
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+
+def test_encoder_looks_a_distinct_piece_up_once_a_call():
+    texts = ["der Fluss, der Fluss\nund das Meer " * 300 + "Ende.", "Meer und Fluss,\nFluss. " * 500 + "Ende"]
+    encoder = packing.Encoder()
+    encoder._later, encoder._older, encoder._first = CountingDict(), CountingDict(), CountingDict()
+    assert encoder.encode(texts) == reference_ids(texts)
+    assert encoder._later.asked + encoder._older.asked + encoder._first.asked < 100
+
+
 def random_ids(r, n):
     return {i: np.array(r.choices(range(1000), k=r.choice([1, 5, 30, 63, 64, 65, 200])), "<u4").tobytes() for i in range(n)}
 

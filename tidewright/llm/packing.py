@@ -22,6 +22,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from .common import batch_texts, documents, runs_of_texts
 WINDOW = 2048
 END_ID = 1
 CACHE_WORDS = 150_000
+#: Bytes of text that are cut and looked up together: each of their distinct pieces is looked up once.
+TEXT_BYTES = 4 << 20
 #: White space other than blanks and line feeds, and pairs of these two.
 _ODD = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", " \n", "\n ", "\n\n")
 
@@ -46,7 +49,8 @@ class Encoder:
     The vocabulary's own pre-tokeniser never joins what stands on the two sides of a single blank or line feed between
     two words; the blank goes with the word after it, the line feed stands alone. So a text is cut there and the ids
     that the tokenizer gives for each piece are remembered; texts with any other white space, or with the name of a
-    special token, are encoded whole. special_as_text: such names are text like any other, not the tokens' ids.
+    special token, are encoded whole. Arrow cuts the texts of a call together and numbers their pieces, so each distinct
+    piece is looked up once a call, however often it occurs. special_as_text: such names are text like any other, not the tokens' ids.
     """
 
     def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS, special_as_text: bool = False):
@@ -76,48 +80,66 @@ class Encoder:
             known[piece] = data[start + 4 * skip : end]
             start = end
 
-    def _looked_up(self, pieces: set[str]) -> set[str]:
-        """Those of the pieces that are not known; what was known the time before last is again."""
-        new = pieces.difference(self._later)
-        known = new.intersection(self._older)
-        older = self._older
-        self._later.update({p: older[p] for p in known})
-        return new - known
+    def _looked_up(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of pieces, None for those that are not known; what was known the time before last is again."""
+        later, older = self._later, self._older
+        found = list(map(later.get, pieces))
+        for i, ids in enumerate(found):
+            if ids is None and (ids := older.get(pieces[i])) is not None:
+                later[pieces[i]] = found[i] = ids
+        return found
+
+    def _within(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces that follow a blank."""
+        found, later, marks = self._looked_up(pieces), self._later, self._marks
+        at = [i for i, ids in enumerate(found) if ids is None]
+        new = [pieces[i] for i in at]
+        # a mark after a letter is a word of its own, so only what stands before it has to be known
+        bare = [p[:-1] if p[-1] in marks and p[-2:-1].isalpha() else p for p in new]
+        if unknown := {b for b, ids in zip(bare, self._looked_up(bare), strict=True) if ids is None}:
+            self._learn(later, list(unknown), " ", 0)
+        for i, p, b in zip(at, new, bare, strict=True):
+            found[i] = later[b]
+            if p is not b:
+                later[p] = found[i] = found[i] + marks[p[-1]]
+        return found
+
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """The ids of pieces that begin a line."""
+        if new := set(heads).difference(self._first):
+            self._learn(self._first, list(new), "\n", 1)
+        return list(map(self._first.__getitem__, heads))
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that may be cut at every blank and line feed: Arrow cuts them, numbers their distinct pieces and lays the ids side by side."""
+        lines = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
+        cut = pc.split_pattern(lines.flatten(), " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct, head_at = coded.dictionary, cut.offsets.to_numpy()[:-1]
+        text_at = np.append(head_at, len(coded))[lines.offsets.to_numpy()]  # the piece at which a text begins
+        # a piece is known by its number and where it stands: after a blank, first in a text, or after a line feed
+        kind = np.zeros(len(coded), np.int64)
+        kind[head_at], kind[text_at[:-1]] = 2, 1
+        key = coded.indices.to_numpy() + kind * len(distinct)
+        used = np.zeros(3 * len(distinct), np.bool_)
+        used[key] = True
+        within, first, after = (distinct.filter(pa.array(u)).to_numpy(zero_copy_only=False).tolist() for u in used.reshape(3, -1))
+        heads = self._heads(first + after)
+        ids = self._within(within) + heads[: len(first)] + [self._newline + h for h in heads[len(first) :]]
+        laid = pa.array(ids, pa.large_binary()).take(pa.array((np.cumsum(used) - 1)[key]))
+        _, offsets, data = laid.buffers()
+        ends = np.frombuffer(offsets, np.int64)[text_at].tolist()
+        return [data.slice(a, b - a).to_pybytes() for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self._later) > self._most:  # what was met since the time before last stays known
             self._older, self._later = self._later, {}
         if len(self._first) > self._most:
             self._first = {}
-        later, first, cut, pieces, heads = self._later, self._first, [], set(), set()
-        for text in texts:
-            if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)) or any(map(text.__contains__, self._special)):
-                cut.append(None)
-                continue
-            lines = []
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                heads.add(head)
-                pieces.update(rest)
-                lines.append((head, rest))
-            cut.append(lines)
-        if new := self._looked_up(pieces):
-            # a mark after a letter is a word of its own, so only what stands before it has to be known
-            marked = [p for p in new if p[-1:] in self._marks and p[-2:-1].isalpha()]
-            bare = {p[:-1] for p in marked}
-            if unknown := self._looked_up(bare) | new.difference(marked, later):
-                self._learn(later, list(unknown), " ", 0)
-            marks = self._marks
-            later.update({p: later[p[:-1]] + marks[p[-1]] for p in marked})
-        if new_first := heads.difference(first):
-            self._learn(first, list(new_first), "\n", 1)
-        out = []
-        for text, lines in zip(texts, cut, strict=True):
-            if lines is None:
-                out.append(self.whole(text) if text else b"")
-            else:
-                out.append(self._newline.join([first[head] + b"".join(map(later.__getitem__, rest)) for head, rest in lines]))
-        return out
+        odd = [not t or t[0] in " \n" or t[-1] in " \n" or any(map(t.__contains__, _ODD)) or any(map(t.__contains__, self._special)) for t in texts]
+        plain = [t for t, o in zip(texts, odd, strict=True) if not o]
+        done = iter(self._encode_cut(plain) if plain else ())
+        return [next(done) if not o else self.whole(t) if t else b"" for t, o in zip(texts, odd, strict=True)]
 
     def __call__(self, text: str) -> bytes:
         return self.encode([text])[0]
@@ -253,7 +275,7 @@ def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool)
         number = 0
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch_texts(batch.column("text"))
-            for a, b in runs_of_texts(texts):
+            for a, b in runs_of_texts(texts, TEXT_BYTES):
                 for doc_id, ids in zip(doc_ids[a:b], encoder.encode([t.decode("utf-8", "replace") for t in texts[a:b]]), strict=True):
                     ids += end
                     keys[number] = (doc_id, len(ids) // 4)
