@@ -106,6 +106,31 @@ def test_profiles_are_of_all_points(spark):
     assert len(ends) == points * 2 and {r["distance_m"] for r in ends} == {20_000.0}
 
 
+def test_profiles_between_ends_have_depths(spark):
+    """B-05 stepped along a given azimuth, had no depths and took a sample's number for its distance."""
+    from tidewright.functions import geodesy
+    from tidewright.operators import bathymetry
+
+    lines = spark.createDataFrame([(1, 0, 37.0, 43.0, 37.3, 43.2), (2, 0, 36.5, 42.9, 36.5, 42.9), (3, 0, 38.9, 45.0, 39.4, 45.1)], "point_id long, direction int, lon0 double, lat0 double, lon1 double, lat1 double")
+    grid = view(spark, SMALL, "v_grid")
+    found = bathymetry.line_profiles(lines, grid, {"west": 36.5, "south": 42.9, "step": 0.125, "nx": 21, "ny": 21}, samples=5)
+    rows = {(r["point_id"], r["step"]): r for r in found.collect()}
+    assert len(rows) == 15 and (rows[1, 0]["lon"], rows[1, 0]["lat"], rows[1, 4]["lon"], rows[1, 4]["lat"]) == (37.0, 43.0, 37.3, 43.2)
+    length = float(geodesy.distance(*(np.array([v]) for v in (37.0, 43.0, 37.3, 43.2)))[0])
+    assert all(rows[1, i]["distance_m"] == pytest.approx(length * i / 4, abs=1e-5) for i in range(5))
+    node = {(r["ix"], r["iy"]): r["z"] for r in grid.collect()}
+    for r in rows.values():
+        fx, fy = (r["lon"] - 36.5) / 0.125, (r["lat"] - 42.9) / 0.125
+        ix, iy = min(int(fx), 19), min(int(fy), 19)
+        corners = sum((fx - ix if i else 1 - fx + ix) * (fy - iy if j else 1 - fy + iy) * node[ix + i, iy + j] for i in (0, 1) for j in (0, 1))
+        assert r["z"] == (None if r["outside"] else pytest.approx(corners, abs=1e-9)) and r["outside"] == (r["lon"] > 39.0)
+    assert {rows[2, i]["distance_m"] for i in range(5)} == {0.0} and any(r["outside"] for r in rows.values())
+    with pytest.raises(ValueError):
+        bathymetry.line_samples(lines, 1)
+    whole = QUERIES["B-05"](spark, SMALL)
+    assert {"distance_m", "lon", "lat", "z", "outside"} <= set(whole.columns) and whole.where("z is null and not outside").count() == 0 and whole.where("z is not null").count() > 0
+
+
 def test_geodesic_rays_meet_the_whole_coast(spark, monkeypatch):
     from tidewright.operators import fetch
     from tidewright.plans import space
