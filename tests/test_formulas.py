@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -90,6 +91,37 @@ def test_nearest_and_weights(spark):
     assert {row["point_id"]: row["ws"] for row in weather.assign_idw(p, n, gone, 3).collect()}[99] is None
 
 
+def test_series_are_not_shuffled_by_points(spark, monkeypatch):
+    """Every point, node and date was a row of a shuffle; now points of the same nodes meet a row a day, in many tasks."""
+    r = random.Random(8)
+    nodes = [(i, r.uniform(0, 1e5), r.uniform(0, 1e5)) for i in range(12)]
+    points = [(i, r.uniform(0, 1e5), r.uniform(0, 1e5)) for i in range(150)] + [(500, *nodes[3][1:])]
+    days = [(g, f"2024-01-{t:02}", None if (g, t) == (5, 2) else r.uniform(1, 9), r.uniform(0, 360)) for g, *_ in nodes for t in range(1, 7) if (g, t) not in {(4, 3), (3, 5)}]
+    p, n = spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(nodes, "grid_id long, x double, y double")
+    series = spark.createDataFrame(days, "grid_id long, date string, ws double, wd double")
+    by = {}
+    for g, t, ws, wd in days:
+        by.setdefault(t, {})[g] = (ws, wd)
+    want = {}
+    for i, x, y in points:
+        near = sorted((math.hypot(gx - x, gy - y), g) for g, gx, gy in nodes)[:4]
+        near = near[:1] if near[0][0] < 1e-9 else near
+        for t, at in by.items():
+            held = [(1 / max(d, 1e-9) ** 2, *at[g]) for d, g in near if g in at]
+            if held:
+                full = len(held) == len(near) and all(v[1] is not None for v in held)
+                wd = math.degrees(math.atan2(sum(w * math.sin(math.radians(a)) for w, _, a in held), sum(w * math.cos(math.radians(a)) for w, _, a in held))) % 360
+                want[i, t] = (sum(w * v for w, v, _ in held) / sum(v[0] for v in held), wd, len(held)) if full else (None, None, len(held))
+    monkeypatch.setattr(weather, "SHARE", 7)
+    out = weather.assign_idw(p, n, series)
+    assert {(v["point_id"], v["date"]): (v["ws"], v["wd"], v["neighbours"]) for v in out.collect()} == {key: tuple(pytest.approx(v) if isinstance(v, float) else v for v in row) for key, row in want.items()}
+    tree = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not {"Aggregate", "Repartition"} & set(re.findall(r"\w+", tree[: tree.index("Join")]))  # nothing is shuffled after points and days have met
+    nearest = weather.assign_nearest(p, n, series)
+    assert nearest.count() == sum(min((math.hypot(gx - x, gy - y), g) for g, gx, gy in nodes)[1] in at for _, x, y in points for at in by.values())
+    assert nearest.select(F.spark_partition_id()).distinct().count() > 3
+
+
 def test_fetch_against_all_pairs(spark):
     r = np.random.default_rng(4)
     p = r.uniform(0, 30000, (10, 2))
