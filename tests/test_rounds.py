@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tidewright import shared
 from tidewright.operators import coast
 
 R = random.Random(12)
@@ -35,6 +36,31 @@ def test_greedy_pairs(spark, kind):
     assert coast.greedy_pairs(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["anywhere", "crowds", "one place"])
+def test_bridges_meet_their_nearest_ends_only(spark, monkeypatch, kind):
+    """All ends within max_gap of one another were written as pairs, and again in each round, which grew with the square of the density."""
+    n = 700
+    if kind == "anywhere":
+        xy = [(R.uniform(0, 1000), R.uniform(0, 1000)) for _ in range(n)]
+    elif kind == "crowds":
+        xy = [(500.0 * R.randint(0, 1) + R.uniform(0, 40), 300.0 * R.randint(0, 2) + R.uniform(0, 40)) for _ in range(n - 60)] + [(R.uniform(0, 1000), R.uniform(0, 1000)) for _ in range(60)]
+    else:
+        xy = [(0.0, 0.0) if i % 2 else (float(R.randint(3, 5)), 0.0) for i in range(n)]  # ties everywhere
+    ends = [(str(R.randint(0, 2)) if kind != "one place" else str(i % 2), i, *p) for i, p in enumerate(xy)]
+    at = np.array(xy)
+    rows = []
+    for i, (origin, *_) in enumerate(ends):
+        d = np.sqrt((at[:, 0] - at[i, 0]) * (at[:, 0] - at[i, 0]) + (at[:, 1] - at[i, 1]) * (at[:, 1] - at[i, 1]))
+        rows += [(i, j, d[j]) for j in range(i + 1, n) if ends[j][0] != origin and 2 < d[j] <= 300]
+    df, tables, written = spark.createDataFrame(ends, "origin string, end_id long, x double, y double"), [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name="table": tables.append((name, (t := written(df, name)), t.count())) or t)
+    for chunk in (100, 50_000) if kind == "anywhere" else (1000,):
+        tables.clear()
+        assert {(r["a_end_id"], r["b_end_id"]) for r in coast.bridges(df, 2.0, 300.0, None, chunk).collect()} == in_order(rows)
+        assert max(c for name, _, c in tables if name == "partners") <= max(coast.PARTNERS * min(chunk, n), len(rows) if kind == "one place" else 0) < len(rows) * (2 if kind == "one place" else 1)
+    assert coast.bridges(df.limit(0)).collect() == []
+
+
 def test_lines_level_by_level(spark):
     rows, want = [], set()
     for line, n in ((1, 1), (2, 2), (3, 700), (4, 60), (5, 300)):
