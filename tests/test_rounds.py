@@ -1,12 +1,13 @@
 """What a loop or a recursion decides in order, decided in rounds."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
 from tidewright import shared
-from tidewright.operators import coast
+from tidewright.operators import coast, fetch
 
 R = random.Random(12)
 
@@ -115,3 +116,19 @@ def test_fans_hit_what_rays_hit(spark):
     expected = {tuple(r) for r in plain.collect()}
     found = [tuple(r) for r in fetch.fan_hits(points, segments, max_m=20_000.0).collect()]
     assert len(expected) > 500 and set(found) == expected and len(found) == len(expected)
+
+
+def test_fans_send_rays_by_number_and_coast_to_few_shares(spark):
+    """A row was shuffled for each ray, its ends with it, and a copy of the coast for every 256 points."""
+    from pyspark.sql import functions as F
+
+    from tidewright.operators import fetch
+
+    points = spark.range(9000).select(F.col("id").alias("point_id"), (F.col("id") % 90 * 10.0).alias("x"), F.floor(F.col("id") / 90).cast("double").alias("y"), F.lit(0.0).alias("normal_azimuth_deg"))
+    segments = spark.createDataFrame([(-100.0, 5000.0, 2000.0, 5000.0)], "x0 double, y0 double, x1 double, y1 double")
+    found = fetch.fan_hits(points.unionByName(points.limit(5)), segments, max_m=20_000.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Generate (pos)?explode\(\[0\.0", plan) and "collect_list(struct" not in plan
+    assert found.rdd.getNumPartitions() == fetch.CORE_SHARES * spark.sparkContext.defaultParallelism < 9000 / 256
+    rows = found.where("direction_id = 1").select("point_id", "hit_x", "hit_y")
+    assert rows.count() == rows.distinct().count() == 9000 and rows.where("hit_y <> 5000").count() == 0
