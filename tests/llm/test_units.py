@@ -5,6 +5,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewright.llm import exact_dedup, language, linear, minhash, packing, quality, sentence_spans, suffix_dedup, toxicity, warc
@@ -279,3 +280,17 @@ def test_blobs_of_the_suffix_dedup_travel_compressed():
     sent = suffix_dedup._rows([(0, suffix_dedup.ANCHORS, blob), (0, suffix_dedup.TEXTS, b"packed")]).column("data").to_pylist()
     assert len(sent[0]) * 10 < len(blob) and sent[1] == b"packed"
     assert suffix_dedup.unpacked(suffix_dedup.ANCHORS, sent[0]) == blob
+
+
+def test_packing_gives_ids_away_by_bytes(monkeypatch):
+    """A task held the ids of 20,000 pieces, whatever their size."""
+    from tidewright.llm import packing
+
+    texts = [" ".join(f"word{i}" for i in range(3000)) for _ in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run = packing.pack_rows(packing.WINDOW, packing.END_ID, None, True)
+    whole = list(run(iter([batch])))
+    monkeypatch.setattr(packing, "FLUSH_BYTES", 100_000)
+    parts = list(run(iter([batch])))
+    assert len(whole) == 1 and len(parts) > 5 and sum((b.to_pylist() for b in parts), []) == whole[0].to_pylist()
+    assert all(sum(map(len, b.column("ids").to_pylist())) < 200_000 for b in parts[:-1])

@@ -242,7 +242,8 @@ class Packer:
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, made_by string, ids binary"
-FLUSH_ROWS = 20_000
+#: Pieces, and bytes of their ids, that a task holds before it gives them away.
+FLUSH_ROWS, FLUSH_BYTES = 20_000, 8 << 20
 
 
 def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -256,16 +257,21 @@ def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool)
         keys: dict[int, tuple[int | None, int]] = {}  # doc_id, tokens; of documents that are not emitted yet
         left: dict[int, int] = {}  # tokens of each still to be emitted
         rows: list[tuple] = []
+        held = 0  # bytes of ids in rows
 
         def emit(doc: int, start: int, ids: bytes, sequence: int, offset: int, made_by: str) -> None:
+            nonlocal held
             doc_id, tokens = keys[doc]
             length = len(ids) // 4
+            held += len(ids) if with_ids else 0
             rows.append((doc_id, start, length, zlib.crc32(ids), tokens, sequence, offset, made_by, ids if with_ids else None))
             left[doc] -= length
             if not left[doc]:
                 del keys[doc], left[doc]
 
         def flushed() -> pa.RecordBatch:
+            nonlocal held
+            held = 0
             columns = list(zip(*rows, strict=True))
             rows.clear()
             kinds = {"ids": pa.binary(), "made_by": pa.string()}
@@ -282,7 +288,7 @@ def pack_rows(window: int, end_id: int, vocabulary: str | None, with_ids: bool)
                     left[number] = len(ids) // 4
                     packer.add(number, ids)
                     number += 1
-                    if len(rows) >= FLUSH_ROWS:
+                    if len(rows) >= FLUSH_ROWS or held >= FLUSH_BYTES:
                         yield flushed()
         packer.finish()
         if rows:
